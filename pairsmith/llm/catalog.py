@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pairsmith.llm import chat_windows, decontaminate, piece_codec, sharding, token_count, vector_search
+from pairsmith.llm import chat_windows, decontaminate, html_text, language_id, piece_codec, sharding, token_count, vector_search
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (token_count, piece_codec, decontaminate, sharding, chat_windows, vector_search):
+for module in (language_id, html_text, token_count, piece_codec, decontaminate, sharding, chat_windows, vector_search):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
