@@ -16,49 +16,82 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairsmith.llm.base import cut, slices, table
 from pairsmith.llm.shingles import differing_bits, parity_bits, set_id, shingle_sets
 
-#: Shingles that are known to be frequent, at most: the size of the one table that is broadcast. Order alone depends on
+#: Slots known to hold frequent shingles, at most: the size of the one table that is broadcast. Order alone depends on
 #: it; the result does not.
 FREQUENT = 1 << 20
-#: Occurrences within a window of so many hashes from which a shingle is reported, and in all from which it is frequent.
-WINDOW, LOCALLY, OVERALL = 1 << 22, 4, 16
+#: Shingles are counted in 2^32 slots by the upper half of their hash, slots in ranges of 2^20, over windows of so many
+#: hashes; from OVERALL occurrences on a slot is frequent.
+RANGES, WINDOW, OVERALL = 1 << 12, 1 << 22, 8
 #: Ids of documents whose sets are fetched by a broadcast list; beyond, by a join.
 LISTED = 1 << 21
+#: Members and queries that are compared at a time when a group is opened.
+OPENED = 1024
 
 
 def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, sorted, and their counts."""
+    """The most frequent slots, sorted, and their counts over all documents.
+
+    Each window of hashes is sorted and sent as differences of two bytes, a blob a range; a range is counted in one
+    array of fixed size while its blobs stream by."""
+    span = (1 << 32) // RANGES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
-        def counted() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            own = n >= LOCALLY
-            return pa.record_batch([pa.array(h[own].view(np.int64)), pa.array(n[own])], ["h", "n"])
+        def packed() -> pa.RecordBatch:
+            slots = np.sort(np.concatenate(held))
+            cuts = np.searchsorted(slots, np.arange(RANGES + 1, dtype=np.uint64) * span)
+            own = np.flatnonzero(np.diff(cuts))
+            blobs = []
+            for r in own.tolist():
+                steps = np.diff(slots[cuts[r] : cuts[r + 1]], prepend=np.uint32(r * span))
+                blobs.append(b"2" + steps.astype(np.uint16).tobytes() if steps.max() < 1 << 16 else b"4" + steps.tobytes())
+            return pa.record_batch([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], ["r", "steps"])
 
         for batch in batches:
             for part in slices(batch, "_text", 1 << 20):
-                held += shingle_sets(part.column("_text").cast(pa.binary()).to_pylist(), width)
-                size += sum(map(len, held[-part.num_rows :]))
+                for h in shingle_sets(part.column("_text").cast(pa.binary()).to_pylist(), width):
+                    held.append((h >> np.uint64(32)).astype(np.uint32))
+                    size += len(h)
                 if size >= WINDOW:
-                    yield counted()
+                    yield packed()
                     held, size = [], 0
-        if held:
-            yield counted()
+        if size:
+            yield packed()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, counts = -1, np.zeros(span, np.int64)
+
+        def done() -> pa.RecordBatch:
+            own = np.flatnonzero(counts >= OVERALL)
+            return pa.record_batch([pa.array(own + now * span, pa.int64()), pa.array(counts[own])], ["h", "n"])
 
-    got = docs.select("_text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OVERALL)
+        for batch in batches:
+            for r, blob in zip(batch.column("r").to_pylist(), batch.column("steps").to_pylist(), strict=True):
+                if r != now:
+                    if now >= 0:
+                        yield done()
+                    now = r
+                    counts[:] = 0
+                at = np.cumsum(np.frombuffer(blob, np.uint16 if blob[:1] == b"2" else np.uint32, offset=1), dtype=np.int64)
+                np.add.at(counts, at, 1)
+        if now >= 0:
+            yield done()
+
+    got = docs.select("_text").mapInArrow(run, "r int, steps binary").repartition("r").sortWithinPartitions("r").mapInArrow(count, "h long, n long")
     got = got.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    h, n = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    h, n = got.column("h").to_numpy(), got.column("n").to_numpy()
     order = np.argsort(h)
-    return h[order], n[order]
+    return h[order].astype(np.uint32), n[order].astype(np.int32)
 
 
 def _sketches(docs: DataFrame, frequent, width: int, least: int, of: int) -> DataFrame:
@@ -80,8 +113,9 @@ def _sketches(docs: DataFrame, frequent, width: int, least: int, of: int) -> Dat
                     nodes.append(set_id(h))
                     often = np.zeros(n, np.int64)
                     if len(known):
-                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        often = np.where(known[at] == h, counts[at], 0)
+                        slot = (h >> np.uint64(32)).astype(np.uint32)
+                        at = np.minimum(np.searchsorted(known, slot), len(known) - 1)
+                        often = np.where(known[at] == slot, counts[at], 0)
                     own = np.lexsort((h, often))[: n - -(-least * n // of) + 1]
                     prefixes.append(h[own].view(np.int64))
                     rare.append(int((often[own] == 0).sum()))
@@ -141,6 +175,38 @@ def _alike(pairs: DataFrame, least: int, of: int, exact: bool) -> DataFrame:
     return pairs.select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long")
 
 
+def _opened(asking: DataFrame, members: DataFrame, bits: DataFrame, least: int, of: int) -> DataFrame:
+    """Pairs (a, b) of an asking node and a member of the group g it asks whose sizes and bits allow a link. Both sides
+    come in blocks of about OPENED rows by hash, so that no group is too large for a task; only what may link leaves it."""
+    own = asking.select("node").union(members.select("node")).distinct()
+    own = cut(bits.join(own, "node", "left_semi").dropDuplicates(["node"]))
+    blocks = asking.groupBy("g").agg(F.ceil(F.count("*") / OPENED).alias("qs")).join(members.groupBy("g").agg(F.ceil(F.count("*") / OPENED).alias("ms")), "g")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = asking.join(own, "node").join(blocks, "g").select("g", "node", "n", "bits", block("qs").alias("qb"), every("ms").alias("mb"))
+    m = members.join(own, "node").join(blocks, "g").select(F.col("g").alias("mg"), F.col("node").alias("mnode"), F.col("n").alias("mn"), F.col("bits").alias("mbits"), every("qs").alias("mqb"), block("ms").alias("mmb"))
+
+    def compare(qs: pd.DataFrame, ms: pd.DataFrame) -> pd.DataFrame:
+        found = {"a": [], "b": []}
+        classes = []
+        for size, part in ms.groupby(ms["mbits"].map(len)):
+            classes.append((size, part["mnode"].to_numpy(), part["mn"].to_numpy().astype(np.int64), np.frombuffer(b"".join(part["mbits"]), np.uint8).reshape(len(part), size)))
+        for node, n, raw in zip(qs["node"], qs["n"], qs["bits"], strict=True):
+            for size, nodes, ns, rows in classes:
+                x = np.frombuffer(raw, np.uint8)
+                while len(x) > size:
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while rows.shape[1] > len(x):
+                    rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+                both = (n + ns - np.bitwise_count(rows ^ x).sum(1, dtype=np.int64)) // 2
+                ok = (of * both >= least * (n + ns - both)) & (nodes != node)
+                found["b"] += nodes[ok].tolist()
+                found["a"] += [node] * int(ok.sum())
+        return pd.DataFrame(found, dtype="int64")
+
+    return q.groupBy("g", "qb", "mb").cogroup(m.groupBy("mg", "mqb", "mmb")).applyInPandas(compare, "a long, b long")
+
+
 def _with(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
     """pairs (a, b) with the value and size of both nodes."""
     left = side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col(value).alias("x"))
@@ -176,8 +242,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", widt
     component; rows with one key but different texts are linked only by their texts; a null key never becomes an id
     unless all keys of the component are null. Other columns are not read.
 
-    The prefix rows of rare shingles are shuffled once; those of frequent ones are aggregated before they are shuffled
-    and joined with a table of bounded size. Groups are joined by shared prefix shingles, never all with all."""
+    The prefix rows of rare shingles are shuffled once; leaders of frequent ones are aggregated before the shuffle, and
+    their join is one that Spark splits where a shingle is hot. Groups are joined by shared prefix shingles, never all
+    with all; an opened group is compared in blocks."""
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("_key"), F.xxhash64(text).alias("_id"), F.col(text).alias("_text"))
     frequent = spark.sparkContext.broadcast(_frequent(docs, width))
@@ -190,7 +257,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", widt
     rare = rows.where("pos < rare").select("tok", "node", "n", "pos").repartition("tok")
     often = rows.where("pos >= rare").select("tok", "node", "n", "pos")
     shared = rare.join(rare.groupBy("tok").agg(*lead).where("lo < hi").select("tok", "lead"), "tok")
-    shared = shared.unionByName(often.join(F.broadcast(often.groupBy("tok").agg(*lead).where("lo < hi").select("tok", "lead")), "tok"))  # at most FREQUENT rows
+    shared = shared.unionByName(often.join(often.groupBy("tok").agg(*lead).where("lo < hi").select("tok", "lead"), "tok"))
     shared = cut(shared.groupBy("tok", "node", "n", "pos").agg(F.first("lead").alias("lead")))
 
     def may(n1: str, n2: str, p1: str, p2: str) -> F.Column:
@@ -238,8 +305,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", widt
         asked = several.join(sets.select(F.col("root").alias("q"), "node"), "q").select("g", "node")
         hit = asked.join(hashes.select("node", "n", "h"), "node").join(matrix.select(F.col("root").alias("g"), "h"), ["g", "h"]).groupBy("g", "node", "n").count()
         opened = hit.join(least_n.withColumnRenamed("root", "g"), "g").where(f"count >= ceil({least} * (cast(n as long) + mn) / {least + of})")
-        inside = sets.select(F.col("root").alias("g"), F.col("node").alias("b"), F.col("n").alias("nb"))
-        pairs = pairs.unionByName(opened.join(inside, "g").where(f"{of} * cast(least(n, nb) as long) >= {least} * greatest(n, nb)").select(F.col("node").alias("a"), "b"))
+        close = cut(_opened(opened.select("g", "node"), sets.select(F.col("root").alias("g"), "node"), bits, least, of))
+        pairs = pairs.unionByName(close)
     links = links.unionByName(verified(pairs))
 
     root = components(links)
