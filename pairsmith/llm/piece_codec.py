@@ -40,11 +40,22 @@ class Codec:
                 self.byte[int(p[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.id[p], self.cost[i] = i, -model.get_score(i)
-        self.longest = max(map(len, self.id))
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.split: dict[int, tuple[int, int] | None] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, float] = {}
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        # pieces that merges can make, and the lengths of those that end in three given characters
+        self.live = {p: i for p, i in self.id.items() if len(p) == 1 or self.parts_of(i) is not None}
+        ends: dict[str, set[int]] = {}
+        for p in self.live:
+            if len(p) > 2:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        self.ends = {k: sorted(v, reverse=True) for k, v in ends.items()}
+        self.beside = {p[i : i + 2] for p in self.live for i in range(len(p) - 1)}  # pairs of characters within pieces
+        # states of the composition that have been reached: the piece that ends there, and the state before it
+        self.next: dict[int, int] = {}
+        self.last, self.back = [-1], [0]
         known = {c for p in self.id for c in p}
         self.alone = "".join(re.escape(c) for c in "\n\t\r" if c not in known)  # no piece holds them: units end there
         one = f"[{self.alone}]|" if self.alone else ""
@@ -81,7 +92,7 @@ class Codec:
 
     def weight(self, a: int, b: int) -> float:
         """Of the arc for piece b after piece a: infinity if merges would cross the border."""
-        if (free := self.apart.get((a, b))) is None:
+        if (known := self.apart.get(a << 32 | b)) is None:
             free, x, y, until, ties = True, a, b, INFINITY, False
             while True:
                 w = self.id.get(self.pieces[x] + self.pieces[y])
@@ -94,40 +105,72 @@ class Codec:
                     break
                 else:  # of merges with one score the leftmost comes first
                     until, ties, y = self.made(y), True, self.parts_of(y)[0]
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) > self.MOST:
                 self.apart.clear()
-            self.apart[a, b] = free
-        return self.cost[b] if free else INFINITY
+            known = self.apart[a << 32 | b] = self.cost[b] if free else INFINITY
+        return known
+
+    def reach(self, unit: str, i: int, path: list[int]) -> int:
+        """A new state: the first i characters of a unit, whose shorter prefixes are the states of path. Weights other than
+        infinity lie on one arc only, so the search ends at the first, from the longest piece on."""
+        live, last, weight = self.live, self.last, self.weight
+        back, piece = path[i - 1], live.get(unit[i - 1], -1)
+        if piece >= 0 and i > 1:
+            for n in (*self.ends.get(unit[i - 3 : i], ()), 2) if i > 2 else (2,):
+                if n <= i and (t := live.get(unit[i - n : i])) is not None and ((p := last[path[i - n]]) < 0 or weight(p, t) < INFINITY):
+                    back, piece = path[i - n], t
+                    break
+        self.last.append(piece)
+        self.back.append(back)
+        return len(self.last) - 1
 
     def shortest(self, unit: str) -> list[int]:
         """Piece ids on the path of least weight through one unit; a character that is no piece becomes its bytes."""
-        n = len(unit)
-        dist, back, last = [0.0] + [INFINITY] * n, [0] * (n + 1), [-1] * (n + 1)
-        for i in range(1, n + 1):
-            if unit[i - 1] not in self.id:
-                dist[i], back[i], last[i] = dist[i - 1], i - 1, -1
-                continue
-            for j in range(max(0, i - self.longest), i):
-                if (t := self.id.get(unit[j:i])) is None or i - j > 1 and self.parts_of(t) is None:
-                    continue
-                w = dist[j] + (self.cost[t] if last[j] < 0 else self.weight(last[j], t))
-                if w < dist[i]:
-                    dist[i], back[i], last[i] = w, j, t
-        out, i = [], n
-        while i:
-            out.append([last[i]] if last[i] >= 0 else [self.byte[b] for b in unit[i - 1].encode("utf-8", "surrogatepass")])
-            i = back[i]
+        if len(self.last) > self.MOST:
+            self.next, self.last, self.back = {}, [-1], [0]
+        state, path, to = 0, [0], self.next
+        for i, c in enumerate(map(ord, unit), 1):
+            key = state << 21 | c
+            if (known := to.get(key)) is None:
+                known = to[key] = self.reach(unit, i, path)
+            path.append(state := known)
+        out = []
+        if -1 not in map(self.last.__getitem__, path[1:]):
+            while state:
+                out.append(self.last[state])
+                state = self.back[state]
+            return out[::-1]
+        at = {s: i for i, s in enumerate(path)}
+        while state:
+            t = self.last[state]
+            out.append([t] if t >= 0 else [self.byte[b] for b in unit[at[state] - 1].encode("utf-8", "surrogatepass")])
+            state = self.back[state]
         return [t for ids in reversed(out) for t in ids]
 
+    def part(self, unit: str) -> list[int]:
+        ids = self.known.get(unit)
+        if ids is None and (ids := self.older.get(unit)) is None:
+            ids = self.shortest(unit)
+            if len(unit) <= 48:
+                self.known[unit] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
         known, out = self.known, []
         for unit in self.unit.findall(self.normalise(text)):
             ids = known.get(unit)
             if ids is None:
-                ids = self.shortest(unit)
+                if (ids := self.older.get(unit)) is None:
+                    ids, start, beside = [], 0, self.beside
+                    for i in range(1, len(unit)):
+                        if unit[i - 1 : i + 1] not in beside:  # no piece crosses: both parts have paths of their own
+                            ids += self.part(unit[start:i])
+                            start = i
+                    ids = ids + self.part(unit[start:]) if start else self.part(unit)
                 if len(unit) <= 48:
-                    if len(known) > self.MOST:
-                        known.clear()
+                    if len(known) > self.MOST:  # the tables of known units come in two generations
+                        self.older = known
+                        known = self.known = {}
                     known[unit] = ids
             out += ids
         return out
