@@ -84,7 +84,7 @@ def slot_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", slots: in
     return df.select(slot_of(F.col(key), slots).alias("slot"), size.alias("size")).groupBy("slot").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
 
 
-def assign(df: DataFrame, slot_map: SlotMap, key: str = "doc_id", text: str = "text", spread: int = 64) -> DataFrame:
+def assign(df: DataFrame, slot_map: SlotMap, key: str = "doc_id", text: str = "text", spread: int = 16) -> DataFrame:
     """key, size, text_crc32, virtual_slot, shard, slot (the row's place in its shard: 0, 1, ... without gaps),
     map_version and grown_shard (under the map with one more shard).
 
