@@ -300,7 +300,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", widt
         members = cut(ends.join(group, "root", "left").select("root", F.coalesce("node", "root").alias("node")))
         sets = cut(_sets(docs, keys.join(members.select("node").distinct(), "node", "left_semi"), width).join(members, "node"))
         hashes = _unpacked(sets)
-        matrix = hashes.join(several.select(F.col("g").alias("root")).distinct(), "root", "left_semi").groupBy("root", "h").agg(F.lit(1).alias("one"))
+        matrix = hashes.select("root", "h").distinct()
         least_n = sets.groupBy("root").agg(F.min("n").alias("mn"))
         asked = several.join(sets.select(F.col("root").alias("q"), "node"), "q").select("g", "node")
         hit = asked.join(hashes.select("node", "n", "h"), "node").join(matrix.select(F.col("root").alias("g"), "h"), ["g", "h"]).groupBy("g", "node", "n").count()
