@@ -90,7 +90,7 @@ def fit(df: DataFrame, declared: str, text: str, key: str) -> Model | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "_text", 1 << 20):
+            for part in slices(batch, "_text", 1 << 18):
                 tri, begins, within = trigrams(part.column("_text").to_pylist())
                 ends = [*begins[1:].tolist(), len(tri)]
                 for lang, a, b in zip(part.column("lang").to_pylist(), begins.tolist(), ends, strict=True):
@@ -111,7 +111,7 @@ def fit(df: DataFrame, declared: str, text: str, key: str) -> Model | None:
 def _likelihoods(df: DataFrame, model, text: str, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, 1 << 20):
+            for part in slices(batch, text, 1 << 18):
                 texts = pc.fill_null(part.column(text), "").to_pylist()
                 got = pa.array(list(model.value.likelihoods(texts)), pa.list_(pa.float64()))
                 letters = pa.array([any(map(str.isalpha, t)) for t in texts], pa.bool_())

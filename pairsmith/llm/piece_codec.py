@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +27,29 @@ SPACE = "\u2581"
 INFINITY = float("inf")
 
 
-class Codec:
+class Known(dict):
+    """Packed ids of units in two generations of bounded size, so that common units stay."""
+
     MOST = 300_000
 
+    def __init__(self, codec: Codec) -> None:
+        self.codec, self.older = codec, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older.get(unit)
+        if ids is None:
+            ids = self.codec.of_unit(unit)
+        if len(unit) <= 48:
+            if len(self) > self.MOST:
+                self.older = dict(self)
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
+class Codec:
+    MOST = 200_000
+
     def __init__(self, path: str) -> None:
         import sentencepiece
 
@@ -43,19 +66,18 @@ class Codec:
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.split: dict[int, tuple[int, int] | None] = {}
         self.apart: dict[int, float] = {}
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known = Known(self)
         # pieces that merges can make, and the lengths of those that end in three given characters
         self.live = {p: i for p, i in self.id.items() if len(p) == 1 or self.parts_of(i) is not None}
         ends: dict[str, set[int]] = {}
         for p in self.live:
             if len(p) > 2:
                 ends.setdefault(p[-3:], set()).add(len(p))
-        self.ends = {k: sorted(v, reverse=True) for k, v in ends.items()}
+        self.ends = {k: (*sorted(v, reverse=True), 2) for k, v in ends.items()}
         self.beside = {p[i : i + 2] for p in self.live for i in range(len(p) - 1)}  # pairs of characters within pieces
         # states of the composition that have been reached: the piece that ends there, and the state before it
         self.next: dict[int, int] = {}
-        self.last, self.back = [-1], [0]
+        self.last, self.back, self.strange = [-1], [0], set()  # strange: with a character that is no piece on the path
         known = {c for p in self.id for c in p}
         self.alone = "".join(re.escape(c) for c in "\n\t\r" if c not in known)  # no piece holds them: units end there
         one = f"[{self.alone}]|" if self.alone else ""
@@ -113,21 +135,25 @@ class Codec:
     def reach(self, unit: str, i: int, path: list[int]) -> int:
         """A new state: the first i characters of a unit, whose shorter prefixes are the states of path. Weights other than
         infinity lie on one arc only, so the search ends at the first, from the longest piece on."""
-        live, last, weight = self.live, self.last, self.weight
+        live, last, apart = self.live, self.last, self.apart
         back, piece = path[i - 1], live.get(unit[i - 1], -1)
         if piece >= 0 and i > 1:
-            for n in (*self.ends.get(unit[i - 3 : i], ()), 2) if i > 2 else (2,):
-                if n <= i and (t := live.get(unit[i - n : i])) is not None and ((p := last[path[i - n]]) < 0 or weight(p, t) < INFINITY):
-                    back, piece = path[i - n], t
-                    break
+            for n in self.ends.get(unit[i - 3 : i], (2,)) if i > 2 else (2,):
+                if (t := live.get(unit[i - n : i] if n <= i else None)) is not None:
+                    p = last[path[i - n]]
+                    if p < 0 or (apart.get(p << 32 | t) or self.weight(p, t)) < INFINITY:
+                        back, piece = path[i - n], t
+                        break
         self.last.append(piece)
         self.back.append(back)
+        if piece < 0 or back in self.strange:
+            self.strange.add(len(self.last) - 1)
         return len(self.last) - 1
 
     def shortest(self, unit: str) -> list[int]:
         """Piece ids on the path of least weight through one unit; a character that is no piece becomes its bytes."""
         if len(self.last) > self.MOST:
-            self.next, self.last, self.back = {}, [-1], [0]
+            self.next, self.last, self.back, self.strange = {}, [-1], [0], set()
         state, path, to = 0, [0], self.next
         for i, c in enumerate(map(ord, unit), 1):
             key = state << 21 | c
@@ -135,7 +161,7 @@ class Codec:
                 known = to[key] = self.reach(unit, i, path)
             path.append(state := known)
         out = []
-        if -1 not in map(self.last.__getitem__, path[1:]):
+        if state not in self.strange:
             while state:
                 out.append(self.last[state])
                 state = self.back[state]
@@ -147,33 +173,29 @@ class Codec:
             state = self.back[state]
         return [t for ids in reversed(out) for t in ids]
 
-    def part(self, unit: str) -> list[int]:
+    def part(self, unit: str) -> bytes:
         ids = self.known.get(unit)
-        if ids is None and (ids := self.older.get(unit)) is None:
-            ids = self.shortest(unit)
+        if ids is None:
+            ids = self.known.older.get(unit) or array("I", self.shortest(unit)).tobytes()
             if len(unit) <= 48:
                 self.known[unit] = ids
         return ids
 
+    def of_unit(self, unit: str) -> bytes:
+        """The ids of a unit, cut where no piece crosses: the parts have paths of their own."""
+        ids, start, beside = [], 0, self.beside
+        for i in range(1, len(unit)):
+            if unit[i - 1 : i + 1] not in beside:
+                ids.append(self.part(unit[start:i]))
+                start = i
+        return b"".join(ids) + self.part(unit[start:])
+
+    def packed(self, text: str) -> bytes:
+        """Piece ids of a text, four bytes each."""
+        return b"".join(map(self.known.__getitem__, self.unit.findall(self.normalise(text))))
+
     def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for unit in self.unit.findall(self.normalise(text)):
-            ids = known.get(unit)
-            if ids is None:
-                if (ids := self.older.get(unit)) is None:
-                    ids, start, beside = [], 0, self.beside
-                    for i in range(1, len(unit)):
-                        if unit[i - 1 : i + 1] not in beside:  # no piece crosses: both parts have paths of their own
-                            ids += self.part(unit[start:i])
-                            start = i
-                    ids = ids + self.part(unit[start:]) if start else self.part(unit)
-                if len(unit) <= 48:
-                    if len(known) > self.MOST:  # the tables of known units come in two generations
-                        self.older = known
-                        known = self.known = {}
-                    known[unit] = ids
-            out += ids
-        return out
+        return memoryview(self.packed(text)).cast("I").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: space marks become spaces, the leading one goes, runs of byte pieces are read as UTF-8."""
@@ -213,10 +235,12 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...]
         for batch in batches:
             for part in slices(batch, "_text", 1 << 20):
                 texts = pc.fill_null(part.column("_text"), "").to_pylist()
-                ids = [c.encode(t) for t in texts]
-                back = list(map(c.decode, ids))
+                packed = list(map(c.packed, texts))
+                ids = np.frombuffer(b"".join(packed), np.int32)
+                ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
+                back = [c.decode(ids[a:b].tolist()) for a, b in pairwise(ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in keep), pa.array(map(len, texts), pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string()), pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_())],
+                    [*(part.column(k) for k in keep), pa.array(map(len, texts), pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array(back, pa.string()), pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_())],
                     [*keep, "n_chars", "n_pieces", "ids", "decoded", "exact"],
                 )
 
