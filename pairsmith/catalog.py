@@ -1,4 +1,440 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL, by operator."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairsmith.functions import similarity, tokens
+from pairsmith.operators import blocking, features, joins, sampling, tables, values
+from pairsmith.plans.rules import parse_rules
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+PAIR = ["ltable_id", "rtable_id"]
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL that gives the same rows."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("_id"), "text")
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "benchmark").select(F.col("item_id").alias("_id"), "text")
+
+
+def turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of successive turns as a pair table: ids are conv_id * 1000 + turn."""
+    c = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("rtable_role"), F.col("text").alias("rtable_text"))
+    out = c.join(nxt, ["conv_id", "turn"])
+    return out.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ltable_id"), (F.col("conv_id") * 1000 + F.col("turn") + 1).alias("rtable_id"), F.col("role").alias("ltable_role"), F.col("text").alias("ltable_text"), "rtable_role", "rtable_text")
+
+
+def named(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers and suppliers of one nation as a pair table with name and balance."""
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("ltable_id"), F.col("c_nationkey").alias("k"), F.col("c_name").alias("ltable_name"), F.col("c_acctbal").alias("ltable_bal"))
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("rtable_id"), F.col("s_nationkey").alias("k"), F.col("s_name").alias("rtable_name"), F.col("s_acctbal").alias("rtable_bal"))
+    return c.join(s, "k").drop("k")
+
+
+def same_text(spark: SparkSession, sf: str) -> DataFrame:
+    return joins.exact_join(docs(spark, sf), None, "text").select(F.col("ltable_id").alias("id1"), F.col("rtable_id").alias("id2"))
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "embeddings").select(F.col("vec_id").alias("value"), F.col("embedding").alias("vec"), "label")
+
+
+def vector_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate pairs of vectors: neighbours by id among those of one label."""
+    from pyspark.sql import Window
+
+    v = vectors(spark, sf)
+    nxt = F.lead("value").over(Window.partitionBy("label").orderBy("value"))
+    return v.select(F.col("value").alias("l"), nxt.alias("r")).where("r is not null")
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+# SQL building blocks
+def dlm(c: str) -> str:
+    return rf"""list_distinct(list_filter(string_split_regex({c}, '[ "'',\\\t\r\n]+'), lambda x: x <> ''))"""
+
+
+def qgm(c: str, q: int = 3) -> str:
+    return f"list_distinct(list_filter(list_transform(range(1, greatest(length({c}) - {q} + 2, 1)), lambda i: substring({c}, i, {q})), lambda g: regexp_full_match(g, '[A-Za-z0-9]{{{q}}}')))"
+
+
+TURNS = "p AS (SELECT a.conv_id * 1000 + a.turn AS ltable_id, a.conv_id * 1000 + a.turn + 1 AS rtable_id, a.role AS ltable_role, a.text AS ltable_text, b.role AS rtable_role, b.text AS rtable_text FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+NAMED = "p AS (SELECT c_custkey AS ltable_id, s_suppkey AS rtable_id, c_name AS ltable_name, s_name AS rtable_name, c_acctbal AS ltable_bal, s_acctbal AS rtable_bal FROM customer JOIN supplier ON c_nationkey = s_nationkey)"
+SETS = f"s AS (SELECT ltable_id, rtable_id, {dlm('ltable_text')} AS a, {dlm('rtable_text')} AS b FROM p), n AS (SELECT ltable_id, rtable_id, len(list_intersect(a, b)) AS o, len(a) AS x, len(b) AS y FROM s)"
+GOLD = "g AS (SELECT a.doc_id AS id1, b.doc_id AS id2 FROM documents a JOIN documents b ON a.text = b.text AND a.text <> '' AND a.doc_id < b.doc_id)"
+VPAIRS = "vp AS (SELECT * FROM (SELECT vec_id AS l, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r IS NOT NULL)"
+
+
+def cosine(a: str, b: str) -> str:
+    return f"list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+
+
+def edges(tau: float) -> str:
+    return f"e AS (SELECT DISTINCT least(l, r) AS src, greatest(l, r) AS dst FROM vp JOIN embeddings x ON x.vec_id = l JOIN embeddings y ON y.vec_id = r WHERE l <> r AND {cosine('x.embedding', 'y.embedding')} >= {tau})"
+
+
+def self_join(need: str) -> str:
+    return f"""WITH t AS (SELECT doc_id, unnest({dlm('text')}) AS w FROM documents), n AS (SELECT doc_id, count(*) AS l FROM t GROUP BY 1),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS o FROM t a JOIN t b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT i AS ltable_id, j AS rtable_id, CAST(o AS INTEGER) AS overlap, CAST(x.l AS INTEGER) AS size_l, CAST(y.l AS INTEGER) AS size_r FROM p JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j WHERE o >= {need}"""
+
+
+def rs_join(need: str) -> str:
+    return f"""WITH t AS (SELECT doc_id, unnest({dlm('text')}) AS w FROM documents), n AS (SELECT doc_id, count(*) AS l FROM t GROUP BY 1),
+u AS (SELECT item_id, unnest({dlm('text')}) AS w FROM benchmark), m AS (SELECT item_id, count(*) AS l FROM u GROUP BY 1),
+p AS (SELECT doc_id AS i, item_id AS j, count(*) AS o FROM t JOIN u USING (w) GROUP BY 1, 2)
+SELECT i AS ltable_id, j AS rtable_id, CAST(o AS INTEGER) AS overlap, CAST(x.l AS INTEGER) AS size_l, CAST(y.l AS INTEGER) AS size_r FROM p JOIN n x ON x.doc_id = i JOIN m y ON y.item_id = j WHERE o >= {need}"""
+
+
+# tokenizers
+def _tokens(c) -> F.Column:
+    return F.array_join(F.array_sort(c), " ")
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort({dlm('text')}), ' ') AS toks FROM documents")
+def t1_dlm(spark, sf):
+    return docs(spark, sf).select(F.col("_id").alias("doc_id"), _tokens(tokens.dlm(F.col("text"))).alias("toks"))
+
+
+@query(f"SELECT p_partkey, array_to_string(list_sort({qgm('p_name')}), ' ') AS toks FROM part")
+def t2_qgm3(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", _tokens(tokens.qgm(F.col("p_name"))).alias("toks"))
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split(p_type, ' '), lambda x: x <> ''))), ' ') AS toks FROM part")
+def t3_wspace(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", _tokens(tokens.wspace(F.col("p_type"))).alias("toks"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[a-zA-Z0-9]+'))), ' ') AS toks FROM documents")
+def t4_alnum(spark, sf):
+    return docs(spark, sf).select(F.col("_id").alias("doc_id"), _tokens(tokens.alphanumeric(F.col("text"))).alias("toks"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(lower(text), ' +', ' ', 'g'), ' ') AS t0, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS t1 FROM documents")
+def t5_normalise(spark, sf):
+    return docs(spark, sf).select(F.col("_id").alias("doc_id"), tokens.normalise(F.col("text")).alias("t0"), tokens.normalise(F.col("text"), 1).alias("t1"))
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest({dlm('text')}) AS tok FROM documents), d AS (SELECT tok, count(*) AS df FROM t GROUP BY 1) SELECT doc_id, round(sum(log10((SELECT count(*) FROM documents) / df)), 6) AS weight FROM t JOIN d USING (tok) GROUP BY 1")
+def t6_idf(spark, sf):
+    d = docs(spark, sf)
+    each = d.select("_id", F.explode(tokens.dlm(F.col("text"))).alias("tok"))
+    return tokens.record_weights(each, tokens.idf(each, d.count()), "_id").select(F.col("_id").alias("doc_id"), r6("weight").alias("weight"))
+
+
+@query(r"SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(lower(text), '[^\p{L}_]+'), lambda x: length(x) BETWEEN 2 AND 15), ' ') AS toks FROM conversations")
+def t8_preprocess(spark, sf):
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(tokens.simple_preprocess(F.col("text")), " ").alias("toks"))
+
+
+# measures
+@query(f"WITH {TURNS}, {SETS} SELECT ltable_id, rtable_id, CAST(o AS DOUBLE) AS overlap, round(o / (x + y - o), 6) AS jac, round(o / sqrt(x * y), 6) AS cos, round(2 * o / (x + y), 6) AS dice, round(o / least(x, y), 6) AS coeff FROM n")
+def m1_m5_set_sims(spark, sf):
+    t = turns(spark, sf).select(*PAIR, tokens.dlm(F.col("ltable_text")).alias("a"), tokens.dlm(F.col("rtable_text")).alias("b"))
+    return t.select(*PAIR, *(r6(similarity.feature(n, F.col("a"), F.col("b"))).alias(n) for n in ("overlap", "jac", "cos", "dice", "coeff")))
+
+
+WEIGHTED = f"""WITH {TURNS}, v AS (SELECT unnest({dlm('text')}) AS tok FROM conversations), d AS (SELECT tok, log10((SELECT count(*) FROM conversations) / count(*)) AS w FROM v GROUP BY 1),
+l AS (SELECT ltable_id, rtable_id, unnest({dlm('ltable_text')}) AS tok FROM p), r AS (SELECT ltable_id, rtable_id, unnest({dlm('rtable_text')}) AS tok FROM p),
+m AS (SELECT coalesce(l.ltable_id, r.ltable_id) AS ltable_id, coalesce(l.rtable_id, r.rtable_id) AS rtable_id, coalesce(l.tok, r.tok) AS tok, l.tok IS NOT NULL AS il, r.tok IS NOT NULL AS ir FROM l FULL JOIN r ON l.ltable_id = r.ltable_id AND l.rtable_id = r.rtable_id AND l.tok = r.tok),
+q AS (SELECT ltable_id, rtable_id, sum(CASE WHEN il AND ir THEN w ELSE 0 END) AS o, sum(CASE WHEN il THEN w ELSE 0 END) AS x, sum(CASE WHEN ir THEN w ELSE 0 END) AS y FROM m JOIN d USING (tok) GROUP BY 1, 2)
+SELECT ltable_id, rtable_id, round(o / (x + y - o) + o / sqrt(x * y) + 2 * o / (x + y) + o / least(x, y), 6) AS score FROM q"""
+
+
+@query(WEIGHTED)
+def k2_topk_weighted(spark, sf):
+    c = read(spark, sf, "conversations")
+    w = tokens.idf(c.select(F.explode(tokens.dlm(F.col("text"))).alias("tok")), c.count())
+    return blocking.weighted_scores(turns(spark, sf), "ltable_text", "rtable_text", w).withColumn("score", r6("score"))
+
+
+@query(f"WITH {NAMED} SELECT ltable_id, rtable_id, CAST(levenshtein(ltable_name, rtable_name) AS DOUBLE) AS lev, round(1 - levenshtein(ltable_name, rtable_name) / greatest(length(ltable_name), length(rtable_name)), 6) AS lev_sim, CAST(ltable_name = rtable_name AS DOUBLE) AS exm FROM p")
+def m11_lev(spark, sf):
+    a, b = F.col("ltable_name"), F.col("rtable_name")
+    return named(spark, sf).select(*PAIR, similarity.levenshtein_feature(a, b).alias("lev"), r6(similarity.levenshtein_similarity(a, b)).alias("lev_sim"), similarity.exact(a, b).alias("exm"))
+
+
+ANM = "CASE WHEN abs({a}) < 1e-5 OR abs({b}) < 1e-5 THEN 0 WHEN abs({a} - {b}) / greatest(abs({a}), abs({b})) <= 1e-5 THEN 1 ELSE 1 - abs({a} - {b}) / greatest(abs({a}), abs({b})) END"
+
+
+@query(f"WITH {NAMED} SELECT ltable_id, rtable_id, round({ANM.format(a='ltable_bal', b='rtable_bal')}, 6) AS anm FROM p")
+def m14_abs_norm(spark, sf):
+    return named(spark, sf).select(*PAIR, r6(similarity.absolute_norm(F.col("ltable_bal"), F.col("rtable_bal"))).alias("anm"))
+
+
+@query(f"WITH {VPAIRS} SELECT l, r, round({cosine('x.embedding', 'y.embedding')}, 6) AS sim FROM vp JOIN embeddings x ON x.vec_id = l JOIN embeddings y ON y.vec_id = r")
+def m18_cosine(spark, sf):
+    v = vectors(spark, sf).drop("label")
+    p = vector_pairs(spark, sf).join(v.toDF("l", "a"), "l").join(v.toDF("r", "b"), "r")
+    return p.select("l", "r", r6(similarity.vector_cosine(F.col("a"), F.col("b"))).alias("sim"))
+
+
+@query()
+def m15_jaro_winkler(spark, sf):
+    p = read(spark, sf, "part").select("p_name").distinct().join(read(spark, sf, "part").select("p_type").distinct())
+    return p.select("p_name", "p_type", r6(similarity.slow("jaro_winkler")(F.col("p_name"), F.col("p_type"))).alias("jw"), r6(similarity.slow("monge_elkan")(F.col("p_name"), F.col("p_type"))).alias("me"))
+
+
+# joins
+@query(self_join("ceil(0.8 / 1.8 * (x.l + y.l) - 1e-5)"))
+def j1_jaccard_self(spark, sf):
+    return joins.set_join(docs(spark, sf), None, "jac", 0.8, tokens.dlm(F.col("text")))
+
+
+@query(rs_join("ceil(0.3 / 1.3 * (x.l + y.l) - 1e-5)"))
+def j1_jaccard_rs(spark, sf):
+    return joins.set_join(docs(spark, sf), items(spark, sf), "jac", 0.3, tokens.dlm(F.col("text")))
+
+
+@query(self_join("ceil(0.85 * sqrt(x.l * y.l) - 1e-5)"))
+def j2_cosine_self(spark, sf):
+    return joins.set_join(docs(spark, sf), None, "cos", 0.85, tokens.dlm(F.col("text")))
+
+
+@query(self_join("ceil(0.9 / 2 * (x.l + y.l) - 1e-5)"))
+def j3_dice_self(spark, sf):
+    return joins.set_join(docs(spark, sf), None, "dice", 0.9, tokens.dlm(F.col("text")))
+
+
+def part_names(spark, sf):
+    n = read(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("_id"))
+    return n.select("_id", F.col("p_name").alias("name"))
+
+
+NAMES = "n AS (SELECT min(p_partkey) AS id, p_name AS name FROM part GROUP BY p_name)"
+
+
+@query(f"WITH {NAMES} SELECT a.id AS ltable_id, b.id AS rtable_id, CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance FROM n a JOIN n b ON a.id < b.id WHERE levenshtein(a.name, b.name) <= 4")
+def j4_edit_self(spark, sf):
+    return joins.edit_join(part_names(spark, sf), None, 4.0, "name")
+
+
+@query(f"WITH {NAMES}, t AS (SELECT min(p_partkey) AS id, p_type AS name FROM part GROUP BY p_type) SELECT a.id AS ltable_id, b.id AS rtable_id, CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance FROM n a JOIN t b ON levenshtein(a.name, b.name) <= 9")
+def j4_edit_rs(spark, sf):
+    t = read(spark, sf, "part").groupBy("p_type").agg(F.min("p_partkey").alias("_id")).select("_id", F.col("p_type").alias("name"))
+    return joins.edit_join(part_names(spark, sf), t, 9.0, "name")
+
+
+@query(rs_join("20"))
+def j5_overlap_rs(spark, sf):
+    return joins.set_join(docs(spark, sf), items(spark, sf), "overlap", 20, tokens.dlm(F.col("text")))
+
+
+@query(f"WITH t AS (SELECT item_id, unnest({dlm('text')}) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS l FROM t GROUP BY 1), p AS (SELECT a.item_id AS i, b.item_id AS j, count(*) AS o FROM t a JOIN t b ON a.w = b.w AND a.item_id < b.item_id GROUP BY 1, 2) SELECT i AS ltable_id, j AS rtable_id, CAST(o AS INTEGER) AS overlap, CAST(x.l AS INTEGER) AS size_l, CAST(y.l AS INTEGER) AS size_r FROM p JOIN n x ON x.item_id = i JOIN n y ON y.item_id = j WHERE o >= 4")
+def j5_overlap_self(spark, sf):
+    return joins.set_join(items(spark, sf), None, "overlap", 4, tokens.dlm(F.col("text")))
+
+
+@query("SELECT a.doc_id AS ltable_id, b.doc_id AS rtable_id FROM documents a JOIN documents b ON a.text = b.text AND a.text <> '' AND a.doc_id < b.doc_id")
+def j6_exact_self(spark, sf):
+    return joins.exact_join(docs(spark, sf), None, "text")
+
+
+@query("SELECT c_custkey AS ltable_id, s_suppkey AS rtable_id FROM customer JOIN supplier ON replace(c_name, 'Customer', '') = replace(s_name, 'Supplier', '')")
+def j6_exact_rs(spark, sf):
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("_id"), F.replace("c_name", F.lit("Customer"), F.lit("")).alias("name"))
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("_id"), F.replace("s_name", F.lit("Supplier"), F.lit("")).alias("name"))
+    return joins.exact_join(c, s, "name")
+
+
+@query(f"SELECT ltable_id, rtable_id, round(sim, 6) AS sim FROM (SELECT c_custkey AS ltable_id, s_suppkey AS rtable_id, {ANM.format(a='c_acctbal', b='s_acctbal')} AS sim FROM customer, supplier) WHERE sim >= 0.98")
+def j7_numeric_rs(spark, sf):
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("_id"), F.col("c_acctbal").alias("bal"))
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("_id"), F.col("s_acctbal").alias("bal"))
+    return joins.numeric_join(c, s, 0.98, "bal").withColumn("sim", r6("sim"))
+
+
+RULES_RS = "2\ntext_text_jac_dlm_dc0_dlm_dc0 + 0.3\ntext_text_overlap_dlm_dc0_dlm_dc0 + 20\n"
+RULES_SELF = "3\ntext_text_jac_dlm_dc0_dlm_dc0 + 0.8\ntext_text_dice_dlm_dc0_dlm_dc0 + 0.9\ntext_text_exm + 1.0\n"
+
+
+@query(f"SELECT ltable_id, rtable_id, count(*) AS n_rules FROM (SELECT * FROM ({rs_join('ceil(0.3 / 1.3 * (x.l + y.l) - 1e-5)')}) UNION ALL SELECT * FROM ({rs_join('20')})) GROUP BY 1, 2")
+def j8_block_rs(spark, sf):
+    return blocking.block(parse_rules(RULES_RS), docs(spark, sf), items(spark, sf))
+
+
+BLOCKED = f"""c AS (SELECT ltable_id, rtable_id, count(*) AS n_rules FROM (SELECT ltable_id, rtable_id FROM ({self_join('ceil(0.8 / 1.8 * (x.l + y.l) - 1e-5)')}) UNION ALL SELECT ltable_id, rtable_id FROM ({self_join('ceil(0.9 / 2 * (x.l + y.l) - 1e-5)')}) UNION ALL SELECT id1, id2 FROM g) GROUP BY 1, 2)"""
+
+
+def blocked(spark, sf):
+    return blocking.block(parse_rules(RULES_SELF), docs(spark, sf))
+
+
+@query(f"WITH {GOLD}, {BLOCKED} SELECT * FROM c")
+def j9_block_self(spark, sf):
+    return blocked(spark, sf)
+
+
+@query("WITH v AS (SELECT p_partkey AS id, p_brand, p_type FROM part), d AS (SELECT DISTINCT p_type, p_brand FROM v) SELECT DISTINCT a.p_partkey AS ltable_id, b.p_partkey AS rtable_id FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey")
+def j10_interchangeable(spark, sf):
+    p = read(spark, sf, "part").select(F.col("p_partkey").alias("_id"), "p_brand")
+    g = p.select(F.col("p_brand").alias("value"), F.xxhash64("p_brand").alias("group_id")).distinct()
+    return joins.interchangeable_join(p, g, "jac", 1.0, "p_brand", lambda c: tokens.dlm(c))
+
+
+# evaluation and ranking
+@query(f"WITH {GOLD}, {BLOCKED} SELECT (SELECT count(*) FROM c) AS n_candidates, (SELECT count(*) FROM g) AS n_gold, (SELECT count(*) FROM c JOIN g ON id1 = ltable_id AND id2 = rtable_id) AS n_hits, 1.0::DOUBLE AS recall, round((SELECT count(*) FROM c) / ((SELECT count(*) FROM documents) * ((SELECT count(*) FROM documents) - 1) / 2), 9) AS cssr")
+def a4_recall(spark, sf):
+    return blocking.recall(blocked(spark, sf), same_text(spark, sf), docs(spark, sf)).withColumn("cssr", F.round("cssr", 9))
+
+
+@query(f"WITH {GOLD}, {BLOCKED} SELECT n_rules, count(*) AS n_pairs, count(id1) AS n_hits FROM c LEFT JOIN g ON id1 = ltable_id AND id2 = rtable_id GROUP BY 1")
+def a5_recall_by_hits(spark, sf):
+    return blocking.recall_by_rules(blocked(spark, sf), same_text(spark, sf))
+
+
+@query(f"WITH {GOLD}, {BLOCKED}, h AS (SELECT count(*) AS n FROM c JOIN g ON id1 = ltable_id AND id2 = rtable_id), k AS (SELECT (SELECT count(*) FROM c) AS n_predicted, (SELECT count(*) FROM g) AS n_gold, n AS n_hits FROM h) SELECT *, round(n_hits / n_predicted, 6) AS precision, round(n_hits / n_gold, 6) AS recall, round(2 * n_hits / (n_predicted + n_gold), 6) AS f1 FROM k")
+def a9_prf(spark, sf):
+    return blocking.quality(blocked(spark, sf), same_text(spark, sf)).withColumns({c: r6(c) for c in ("precision", "recall", "f1")})
+
+
+@query(f"WITH {GOLD}, {BLOCKED} SELECT CASE WHEN j.n IS NULL THEN 'first' ELSE 'both' END AS part, count(*) AS n_pairs, count(id1) AS n_hits FROM c LEFT JOIN (SELECT ltable_id AS jl, rtable_id AS jr, 1 AS n FROM ({self_join('ceil(0.8 / 1.8 * (x.l + y.l) - 1e-5)')})) j ON jl = ltable_id AND jr = rtable_id LEFT JOIN g ON id1 = ltable_id AND id2 = rtable_id GROUP BY 1")
+def a13_compare(spark, sf):
+    return blocking.compare(blocked(spark, sf), j1_jaccard_self(spark, sf), same_text(spark, sf))
+
+
+@query(f"WITH RECURSIVE {VPAIRS}, {edges(0.1)}, b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), r(node, other) AS (SELECT src, src FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON b.src = r.other) SELECT node, min(other) AS component FROM r GROUP BY 1")
+def a14_components(spark, sf):
+    return values.components(semantic(spark, sf))
+
+
+@query(f"WITH {TURNS}, {SETS}, z AS (SELECT ltable_id, rtable_id, o / (x + y - o) + o / sqrt(x * y) + 2 * o / (x + y) + o / least(x, y) AS score FROM n WHERE x > 0 AND y > 0) SELECT ltable_id, rtable_id, round(score, 6) AS score FROM z ORDER BY round(score, 9) DESC, ltable_id, rtable_id LIMIT 100")
+def k1_topk_ta(spark, sf):
+    return blocking.top_k(turns(spark, sf), 100, "ltable_text", "rtable_text").withColumn("score", r6("score"))
+
+
+@query(f"WITH {TURNS}, {SETS} SELECT ltable_id, rtable_id, round(0.75 * coalesce(o / (x + y - o), 0) + 0.25 * coalesce(CASE WHEN ltable_role = rtable_role THEN 1 ELSE 0 END, 0), 6) AS score FROM n JOIN p USING (ltable_id, rtable_id)")
+def k3_topk_scores(spark, sf):
+    rules = parse_rules("2\ntext_text_jac_dlm_dc0_dlm_dc0 + 0.5\nrole_role_exm + 1\n")
+    return blocking.rule_scores(turns(spark, sf), rules, [3.0, 1.0]).select(*PAIR, r6("score").alias("score"))
+
+
+@query(f"WITH {TURNS}, w AS (SELECT ltable_id, rtable_id, list_filter(string_split_regex(ltable_text, '[ \"'',\\\\\\t\\r\\n]+'), lambda x: x <> '') AS a, list_filter(string_split_regex(rtable_text, '[ \"'',\\\\\\t\\r\\n]+'), lambda x: x <> '') AS b FROM p), l AS (SELECT ltable_id, rtable_id, tok, count(*) AS x FROM (SELECT ltable_id, rtable_id, unnest(a) AS tok FROM w) GROUP BY ALL), r AS (SELECT ltable_id, rtable_id, tok, count(*) AS y FROM (SELECT ltable_id, rtable_id, unnest(b) AS tok FROM w) GROUP BY ALL) SELECT ltable_id, rtable_id, round(sum(least(coalesce(x, 0), coalesce(y, 0))) / sum(greatest(coalesce(x, 0), coalesce(y, 0))), 6) AS score FROM l FULL JOIN r USING (ltable_id, rtable_id, tok) GROUP BY 1, 2")
+def k10_syntactic_slim(spark, sf):
+    return blocking.multiset_jaccard(turns(spark, sf), "ltable_text", "rtable_text").withColumn("score", r6("score"))
+
+
+@query("WITH t AS (SELECT count(*) AS n FROM customer) SELECT 'c_name' AS attr, 'str_eq_1w' AS type UNION ALL SELECT 'c_mktsegment', 'str_eq_1w' UNION ALL SELECT 'c_acctbal', 'numeric'")
+def p8_attr_types(spark, sf):
+    return tables.attribute_types(read(spark, sf, "customer"), ["c_name", "c_mktsegment", "c_acctbal"])
+
+
+@query(f"WITH t AS (SELECT 'p_name' AS attr, unnest({dlm('p_name')}) AS w FROM part UNION ALL SELECT 'p_type', unnest({dlm('p_type')}) FROM part UNION ALL SELECT 'p_brand', unnest({dlm('p_brand')}) FROM part) SELECT attr, count(DISTINCT w) AS n_tokens FROM t GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+def p9_representative(spark, sf):
+    return tables.representative(read(spark, sf, "part"), ["p_name", "p_type", "p_brand"])
+
+
+@query("SELECT c.c_custkey AS ltable_id, s.s_suppkey AS rtable_id, c_name AS ltable_name, s_name AS rtable_name FROM customer c JOIN supplier s ON replace(c_name, 'Customer', '') = replace(s_name, 'Supplier', '')")
+def p1_enrich(spark, sf):
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("_id"), F.col("c_name").alias("name"))
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("_id"), F.col("s_name").alias("name"))
+    return blocking.attach(j6_exact_rs(spark, sf), c, s, ["name"])
+
+
+# features
+@query(f"WITH {TURNS}, {SETS} SELECT ltable_id, rtable_id, round(o / (x + y - o), 6) AS text_text_jac_dlm_dc0_dlm_dc0, CAST(o AS DOUBLE) AS text_text_overlap_dlm_dc0_dlm_dc0, CAST(ltable_role = rtable_role AS DOUBLE) AS role_role_exm FROM n JOIN p USING (ltable_id, rtable_id)")
+def f2_features(spark, sf):
+    from pairsmith.plans.rules import parse_features
+
+    fs = parse_features("3\ntext_text_jac_dlm_dc0_dlm_dc0\ntext_text_overlap_dlm_dc0_dlm_dc0\nrole_role_exm\n")
+    return features.extract(turns(spark, sf), fs).withColumn(fs[0].name, r6(fs[0].name))
+
+
+@query(f"WITH {NAMED}, f AS (SELECT ltable_id, rtable_id, CASE WHEN ltable_bal > 0 AND rtable_bal > 0 THEN {ANM.format(a='ltable_bal', b='rtable_bal')} END AS anm FROM p) SELECT ltable_id, rtable_id, round(coalesce(anm, (SELECT avg(anm) FROM f)), 6) AS anm FROM f")
+def s15_impute_mean(spark, sf):
+    anm = F.when((F.col("ltable_bal") > 0) & (F.col("rtable_bal") > 0), similarity.absolute_norm(F.col("ltable_bal"), F.col("rtable_bal")))
+    return tables.impute(named(spark, sf).select(*PAIR, anm.alias("anm")), ["anm"]).select(*PAIR, r6("anm").alias("anm"))
+
+
+# values
+def semantic(spark, sf, tau: float = 0.1):
+    return values.semantic_edges(vector_pairs(spark, sf), vectors(spark, sf), tau).select("src", "dst")
+
+
+@query(f"WITH {VPAIRS}, {edges(0.1)} SELECT src, dst FROM e")
+def v5_graph_edges(spark, sf):
+    return semantic(spark, sf)
+
+
+@query(f"WITH {VPAIRS}, {edges(0.1)}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h AS (SELECT DISTINCT x.src AS l, y.dst AS r FROM b x JOIN b y ON x.dst = y.src WHERE x.src < y.dst) SELECT src, dst FROM e UNION SELECT l, r FROM h JOIN embeddings u ON u.vec_id = l JOIN embeddings v ON v.vec_id = r WHERE {cosine('u.embedding', 'v.embedding')} >= 0.1")
+def v7_two_hop(spark, sf):
+    return values.two_hop(semantic(spark, sf), vectors(spark, sf), 0.1)
+
+
+SCORED = f"s AS (SELECT a.vec_id AS ltable_id, b.vec_id AS rtable_id, {cosine('a.embedding', 'b.embedding')} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"
+
+
+def scored(spark, sf):
+    v = vectors(spark, sf)
+    p = v.toDF("ltable_id", "a", "label").join(v.toDF("rtable_id", "b", "label"), "label").where("ltable_id < rtable_id")
+    return p.select(*PAIR, similarity.vector_cosine(F.col("a"), F.col("b")).alias("score"))
+
+
+@query(f"WITH {SCORED}, f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY ltable_id ORDER BY score DESC, rtable_id) = 1) SELECT ltable_id, rtable_id, round(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY rtable_id ORDER BY score DESC, ltable_id) = 1")
+def v11_two_way_slim(spark, sf):
+    return values.two_way_slim(scored(spark, sf)).select(*PAIR, r6("score").alias("score"))
+
+
+@query(f"WITH {SCORED}, f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY ltable_id ORDER BY score DESC, rtable_id) <= 3) SELECT ltable_id, rtable_id, round(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY rtable_id ORDER BY score DESC, ltable_id) <= 3")
+def v12_knn(spark, sf):
+    return values.two_way_nearest(scored(spark, sf), 3).select(*PAIR, r6("score").alias("score"))
+
+
+@query(f"WITH {SCORED} SELECT ltable_id, rtable_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY ltable_id ORDER BY score DESC, rtable_id) = 1")
+def a12_slim(spark, sf):
+    return tables.slim(scored(spark, sf), "ltable_id", "rtable_id").select(*PAIR, r6("score").alias("score"))
+
+
+@query(f"WITH {SCORED} SELECT CAST(least(greatest(floor((score + 1) / 2 * 20), 0), 19) AS INTEGER) AS bin, count(*) AS n FROM s GROUP BY 1")
+def a17_histogram(spark, sf):
+    return tables.histogram(scored(spark, sf), "score", 20, -1.0, 1.0)
+
+
+# samples
+@query("SELECT doc_id, quality, toxic, ((doc_id % 1073741824) * 1103515245 + 12345) % 2147483648 < CAST(0.67 * 2147483648 AS BIGINT) AS train FROM labels")
+def d9_split(spark, sf):
+    train, rest = sampling.split(read(spark, sf, "labels"), "doc_id", 0.67)
+    return train.withColumn("train", F.lit(True)).unionByName(rest.withColumn("train", F.lit(False)))
+
+
+@query(f"WITH {TURNS}, q AS (SELECT ltable_id, rtable_id, {qgm('ltable_text')} AS a, {qgm('rtable_text')} AS b FROM p) SELECT ltable_id, rtable_id FROM q WHERE len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) >= 0.3")
+def d5_step2(spark, sf):
+    return sampling.step2(turns(spark, sf), "text", 0.3).select(*PAIR)
+
+
+@query()
+def d1_down_rs(spark, sf):
+    return sampling.down_sample(docs(spark, sf), items(spark, sf), 400, 20, "text")
+
+
+@query()
+def d3_cluster_self(spark, sf):
+    return sampling.cluster_sample(docs(spark, sf), 0.8, 0.4, "text")
