@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,6 +24,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def mapped(df: DataFrame, run: Callable, schema: str, rows: int = 1000) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of fewer rows than Spark's default of 10,000, which long texts would make
+    too large for an executor. A session's own setting stands."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(rows))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts hold about ``most`` bytes each (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

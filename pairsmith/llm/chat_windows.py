@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import table
+from pairsmith.llm.base import mapped, table
 from pairsmith.llm.token_count import counter
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -156,7 +156,7 @@ def chat_windows(df: DataFrame, tokenizer: str, budget: int = 512, history: int
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    return rows.mapInArrow(run, "conv_id long, window long, text string, loss array<struct<s:long,e:long>>, n_turns long, n_repeated long, n_tokens long, over_budget boolean")
+    return rows.transform(mapped, run, "conv_id long, window long, text string, loss array<struct<s:long,e:long>>, n_turns long, n_repeated long, n_tokens long, over_budget boolean")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if out:
             yield _batch(out)
 
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.transform(mapped, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

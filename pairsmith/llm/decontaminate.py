@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import cut, slices, table
+from pairsmith.llm.base import cut, mapped, slices, table
 
 #: Lower-cases A-Z and blanks all that is no word byte; bytes over 127 belong to words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -46,7 +46,7 @@ def _count_words(df: DataFrame, wanted: frozenset[bytes]) -> dict[bytes, int]:
         if held:
             yield pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["w", "n"])
 
-    return {bytes(r.w): r.n for r in df.mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).toLocalIterator()}
+    return {bytes(r.w): r.n for r in df.transform(mapped, run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).toLocalIterator()}
 
 
 class Index:
@@ -136,7 +136,7 @@ def _searched(df: DataFrame, index, text: str) -> DataFrame:
                 new = {"n_words": pa.array(ns, pa.int64()), "hit_spans": pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), "items": pa.array(items, pa.list_(pa.int64()))}
                 yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) if c in new else part.column(c) for c in names], names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.transform(mapped, run, df.schema)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pairsmith.llm.base import slices, table
+from pairsmith.llm.base import mapped, slices, table
 
 _TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^A-Za-z>][^>]*>|<![^>]*>"
@@ -255,7 +255,7 @@ def extract(df: DataFrame, source: str = "html", to: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), texts], [*names, to])
 
     ddl = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), f"`{to}` string"])
-    return df.select(*names, source).mapInArrow(run, ddl)
+    return df.select(*names, source).transform(mapped, run, ddl)
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,13 +18,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import slices, table
+from pairsmith.llm.base import cut, mapped, slices, table
 
 BUCKETS = 1 << 14
 #: Rows with a declared language from which the trigram models are fitted, at most; everything else covers all rows.
 TRAIN_ROWS = 4_000
 #: Languages that are modelled: the commonest of the training rows, at most.
 MOST_LANGUAGES = 64
+#: Hosts whose priors are broadcast; more are joined by shuffle.
+BROADCAST_HOSTS = 50_000
 #: Neighbouring trigrams overlap, so their evidence counts less than independent evidence would.
 TEMPER = 0.5
 
@@ -101,7 +103,7 @@ def fit(df: DataFrame, declared: str, text: str, key: str) -> Model | None:
 
     chosen = rows.where(F.xxhash64("k", "lang") <= last).drop("k")
     known = [r.lang for r in drawn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    counts = chosen.where(F.col("lang").isin(known)).mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = chosen.where(F.col("lang").isin(known)).transform(mapped, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(known)
     out = np.zeros((BUCKETS, len(languages)))
     np.add.at(out, (counts["bucket"].to_numpy(), counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=np.int64)), counts["n"].to_numpy())
@@ -118,7 +120,7 @@ def _likelihoods(df: DataFrame, model, text: str, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), got, letters], [*keep, "_ll", "_letters"])
 
     ddl = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "_ll array<double>, _letters boolean"])
-    return df.mapInArrow(run, ddl)
+    return df.transform(mapped, run, ddl)
 
 
 def identify(df: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", key: str = "doc_id", model: Model | None = None, strength: float = 20.0) -> DataFrame:
@@ -130,8 +132,8 @@ def identify(df: DataFrame, text: str = "text", declared: str | None = "lang", h
     decided alike; ties go to the language first in the alphabet. Without a model one is fitted on the declarations;
     if there are none, nothing is known and every text with letters is accepted with lang_id null.
 
-    Rows move only if the table of host priors is too large to broadcast (Spark decides by its size); its join is then
-    an ordinary one, which Spark splits where a host is hot. Counts are aggregated before they are shuffled."""
+    Rows move only if there are more than BROADCAST_HOSTS hosts; the join with their priors is then an ordinary one,
+    which Spark splits where a host is hot. Counts are aggregated before they are shuffled."""
     spark = df.sparkSession
     added = ["lang_id", "lang_confidence", "lang_accepted"]
     df = df.drop(*added)
@@ -153,7 +155,10 @@ def identify(df: DataFrame, text: str = "text", declared: str | None = "lang", h
     top = (F.array_position("_ll", F.array_max("_ll")) - 1).cast("int")
     alone = alone.where("_letters").select("_tag", *levels, top.alias("_top")).where(F.col("_top") < n)
     cells = [F.sum((F.col("_top") == i).cast("long")).alias(f"c{i}") for i in range(n)]
-    by_tag = {r["_tag"]: [r[f"c{i}"] for i in range(n)] for r in alone.groupBy("_tag").agg(*cells).collect()}  # one row a language
+    c = [f"c{i}" for i in range(n)]
+    sums = [F.sum(x).alias(x) for x in c]
+    counted = cut(alone.groupBy("_tag", *levels).agg(*cells))
+    by_tag = {r["_tag"]: [r[x] for x in c] for r in counted.groupBy("_tag").agg(*sums).collect()}  # one row a language
     total = [sum(r[i] for r in by_tag.values()) for i in range(n)]
     whole = F.array(*(F.lit((t + 1) / (sum(total) + n)) for t in total))
 
@@ -162,12 +167,13 @@ def identify(df: DataFrame, text: str = "text", declared: str | None = "lang", h
         size = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
         return F.zip_with(own, above, lambda c, p: (c + strength * p) / (size + strength))
 
-    c = [f"c{i}" for i in range(n)]
-    by_host = alone.groupBy(*levels).agg(*cells)
-    by_domain = by_host.groupBy("_domain", "_suffix").agg(*(F.sum(x).alias(x) for x in c))
-    suffix = by_domain.groupBy("_suffix").agg(*(F.sum(x).alias(x) for x in c)).select("_suffix", smoothed(c, whole).alias("_up"))
+    by_host = counted.groupBy(*levels).agg(*sums)
+    by_domain = by_host.groupBy("_domain", "_suffix").agg(*sums)
+    suffix = by_domain.groupBy("_suffix").agg(*sums).select("_suffix", smoothed(c, whole).alias("_up"))
     domain = by_domain.join(suffix, "_suffix").select("_domain", smoothed(c, F.col("_up")).alias("_up"))
-    priors = by_host.join(domain, "_domain").select("_host", smoothed(c, F.col("_up")).alias("_prior"))
+    priors = cut(by_host.join(domain, "_domain").select("_host", smoothed(c, F.col("_up")).alias("_prior")))
+    if priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        priors = F.broadcast(priors)
 
     # P(declaration | language), counted; a missing declaration is no evidence
     tags = [t for t in by_tag if t is not None]

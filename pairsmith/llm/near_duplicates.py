@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import cut, slices, table
+from pairsmith.llm.base import cut, mapped, slices, table
 from pairsmith.llm.shingles import differing_bits, parity_bits, set_id, shingle_sets
 
 #: Slots known to hold frequent shingles, at most: the size of the one table that is broadcast. Order alone depends on
@@ -87,7 +87,7 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
         if now >= 0:
             yield done()
 
-    got = docs.select("_text").mapInArrow(run, "r int, steps binary").repartition("r").sortWithinPartitions("r").mapInArrow(count, "h long, n long")
+    got = docs.select("_text").transform(mapped, run, "r int, steps binary").repartition("r").sortWithinPartitions("r").transform(mapped, count, "h long, n long")
     got = got.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
     h, n = got.column("h").to_numpy(), got.column("n").to_numpy()
     order = np.argsort(h)
@@ -122,7 +122,7 @@ def _sketches(docs: DataFrame, frequent, width: int, least: int, of: int) -> Dat
                     bits.append(parity_bits(h))
                 yield pa.record_batch([part.column("_key"), part.column("_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(rare, pa.int32()), pa.array(bits, pa.binary())], ["_key", "_id", "node", "n", "prefix", "rare", "bits"])
 
-    return docs.mapInArrow(run, "_key long, _id long, node long, n int, prefix array<long>, rare int, bits binary")
+    return docs.transform(mapped, run, "_key long, _id long, node long, n int, prefix array<long>, rare int, bits binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -153,7 +153,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     ids, sets = [x for x, ok in zip(ids, there, strict=True) if ok], [x for x, ok in zip(sets, there, strict=True) if ok]
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "n", "set"])
 
-    out = docs.mapInArrow(run, "node long, n int, set binary")
+    out = docs.transform(mapped, run, "node long, n int, set binary")
     if not few:
         out = out.join(wanted.select("node").distinct(), "node", "left_semi")
     return out.dropDuplicates(["node"])
@@ -172,7 +172,7 @@ def _alike(pairs: DataFrame, least: int, of: int, exact: bool) -> DataFrame:
                     keep.append(of * both >= least * (m + n - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "x", "y", "na", "nb").transform(mapped, run, "a long, b long")
 
 
 def _opened(asking: DataFrame, members: DataFrame, bits: DataFrame, least: int, of: int) -> DataFrame:
@@ -327,7 +327,7 @@ def _unpacked(sets: DataFrame) -> DataFrame:
                 n = list(map(len, h))
                 yield pa.record_batch([*(pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in ("root", "node", "n")), pa.array(np.concatenate(h))], ["root", "node", "n", "h"])
 
-    return sets.select("root", "node", "n", "set").mapInArrow(run, "root long, node long, n int, h long")
+    return sets.select("root", "node", "n", "set").transform(mapped, run, "root long, node long, n int, h long")
 
 
 def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

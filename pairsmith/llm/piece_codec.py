@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from pairsmith.llm.base import slices, table
+from pairsmith.llm.base import mapped, slices, table
 
 SPACE = "\u2581"
 INFINITY = float("inf")
@@ -30,7 +30,7 @@ INFINITY = float("inf")
 class Known(dict):
     """Packed ids of units in two generations of bounded size, so that common units stay."""
 
-    MOST = 300_000
+    MOST = 200_000
 
     def __init__(self, codec: Codec) -> None:
         self.codec, self.older = codec, {}
@@ -48,7 +48,7 @@ class Known(dict):
 
 
 class Codec:
-    MOST = 200_000
+    MOST = 100_000
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -245,7 +245,7 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...]
                 )
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_chars long, n_pieces long, ids array<int>, decoded string, exact boolean"])
-    return df.select(*keep, df[text].alias("_text")).mapInArrow(run, ddl)
+    return df.select(*keep, df[text].alias("_text")).transform(mapped, run, ddl)
 
 
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

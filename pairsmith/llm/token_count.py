@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from pairsmith.llm.base import slices, table
+from pairsmith.llm.base import mapped, slices, table
 
 #: Characters with the Unicode property White_Space.
 WHITE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -311,7 +311,7 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
                 yield pa.record_batch([*(part.column(k).cast(pa.int64()) for k in keep), pc.binary_length(texts).cast(pa.int64()), n, pc.greater(n, limit)], schema=out)
 
     ddl = ", ".join([*(f"`{k}` long" for k in keep), "n_bytes long", "n_tokens long", "over_limit boolean"])
-    return df.select(*keep, df[text].alias("_text")).mapInArrow(run, ddl)
+    return df.select(*keep, df[text].alias("_text")).transform(mapped, run, ddl)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

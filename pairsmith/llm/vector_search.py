@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import cut, table
+from pairsmith.llm.base import cut, mapped, table
 
 CENTRES, WIDTH = 16, 2
 #: Rows from which codebooks are fitted at most; all rows are coded and searched.
@@ -137,7 +137,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, vector: str = "embeddin
                 codes = pack(assign_codes(_pad(x), book.value))
                 yield pa.record_batch([part.column("u"), part.column("id"), part.column("q"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())], ["u", "id", "q", "v", "c"])
 
-    coded = cut(rows.withColumn("u", F.monotonically_increasing_id()).mapInArrow(code, "u long, id long, q boolean, v binary, c binary"))
+    coded = cut(rows.withColumn("u", F.monotonically_increasing_id()).transform(mapped, code, "u long, id long, q boolean, v binary, c binary"))
     counts = coded.agg(F.count("*"), F.sum(F.col("q").cast("long"))).first()
     if not counts[1]:
         return empty
