@@ -29,7 +29,7 @@ from pairsmith.llm.shingles import differing_bits, parity_bits, set_id, shingle_
 FREQUENT = 1 << 20
 #: Shingles are counted in 2^32 slots by the upper half of their hash, slots in ranges of 2^20, over windows of so many
 #: hashes; from OVERALL occurrences on a slot is frequent.
-RANGES, WINDOW, OVERALL = 1 << 12, 1 << 22, 8
+RANGES, WINDOW, OVERALL = 1 << 12, 1 << 21, 8
 #: Ids of documents whose sets are fetched by a broadcast list; beyond, by a join.
 LISTED = 1 << 21
 #: Members and queries that are compared at a time when a group is opened.
@@ -58,7 +58,7 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
             return pa.record_batch([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], ["r", "steps"])
 
         for batch in batches:
-            for part in slices(batch, "_text", 1 << 20):
+            for part in slices(batch, "_text", 1 << 19):
                 for h in shingle_sets(part.column("_text").cast(pa.binary()).to_pylist(), width):
                     held.append((h >> np.uint64(32)).astype(np.uint32))
                     size += len(h)
@@ -101,7 +101,7 @@ def _sketches(docs: DataFrame, frequent, width: int, least: int, of: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = frequent.value
         for batch in batches:
-            for part in slices(batch, "_text", 1 << 20):
+            for part in slices(batch, "_text", 1 << 19):
                 nodes, sizes, prefixes, rare, bits = [], [], [], [], []
                 for h in shingle_sets(part.column("_text").cast(pa.binary()).to_pylist(), width):
                     n = len(h)
@@ -144,7 +144,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 own = batch.column("_key").fill_null(-(1 << 63)).to_numpy()
                 at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
                 batch = batch.filter(pa.array(keys[at] == own if len(keys) else np.zeros(len(own), bool)))
-            for part in slices(batch, "_text", 1 << 20):
+            for part in slices(batch, "_text", 1 << 19):
                 sets = [h for h in shingle_sets(part.column("_text").cast(pa.binary()).to_pylist(), width) if len(h)]
                 ids = [set_id(h) for h in sets]
                 if few and sets:

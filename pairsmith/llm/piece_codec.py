@@ -153,7 +153,7 @@ class Codec:
     def shortest(self, unit: str) -> list[int]:
         """Piece ids on the path of least weight through one unit; a character that is no piece becomes its bytes."""
         if len(self.last) > self.MOST:
-            self.next, self.last, self.back, self.strange = {}, [-1], [0], set()
+            self.forget()
         state, path, to = 0, [0], self.next
         for i, c in enumerate(map(ord, unit), 1):
             key = state << 21 | c
@@ -173,6 +173,16 @@ class Codec:
             state = self.back[state]
         return [t for ids in reversed(out) for t in ids]
 
+    def forget(self) -> None:
+        """Drops the states, which come again when they are needed."""
+        self.next, self.last, self.back, self.strange = {}, [-1], [0], set()
+
+    def rest(self) -> None:
+        """Between tasks only the common units stay."""
+        self.forget()
+        self.apart.clear()
+        self.known.older = {}
+
     def part(self, unit: str) -> bytes:
         ids = self.known.get(unit)
         if ids is None:
@@ -243,6 +253,7 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...]
                     [*(part.column(k) for k in keep), pa.array(map(len, texts), pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array(back, pa.string()), pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_())],
                     [*keep, "n_chars", "n_pieces", "ids", "decoded", "exact"],
                 )
+        c.rest()
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_chars long, n_pieces long, ids array<int>, decoded string, exact boolean"])
     return df.select(*keep, df[text].alias("_text")).transform(mapped, run, ddl)

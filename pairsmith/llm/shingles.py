@@ -16,7 +16,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for i, b in enumerate((_BASE, _INVERSE)):
             x = np.full(size, b, np.uint64)
             x[0] = 1
