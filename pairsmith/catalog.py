@@ -430,11 +430,324 @@ def d5_step2(spark, sf):
     return sampling.step2(turns(spark, sf), "text", 0.3).select(*PAIR)
 
 
-@query()
+def order_sql(key: str, seed: int = 0) -> str:
+    return f"((({key} % 1073741824) + {seed}) * 1103515245 + 12345) % 2147483648"
+
+
+def down_sql(table: str, key: str, own: bool) -> str:
+    """The SQL of a down sample of 20 rows of a table and 20 documents for each; in a self join others than those rows."""
+    free = f"doc_id NOT IN (SELECT {key} FROM picked)" if own else "true"
+    pair = "SELECT DISTINCT least(l, r) AS ltable_id, greatest(l, r) AS rtable_id" if own else "SELECT l AS ltable_id, r AS rtable_id"
+    return f"""WITH picked AS (SELECT {key}, text FROM {table} ORDER BY {order_sql(key)}, {key} LIMIT 20), t AS (SELECT doc_id AS l, unnest({dlm('text')}) AS w FROM documents WHERE {free}), u AS (SELECT {key} AS r, unnest({dlm('text')}) AS w FROM picked),
+near AS (SELECT l, r FROM (SELECT l, r, count(*) AS n FROM t JOIN u USING (w) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, l) <= 10),
+pool AS (SELECT doc_id AS l FROM documents WHERE {free} ORDER BY {order_sql('doc_id', 1)}, doc_id LIMIT 40), have AS (SELECT r, count(*) AS k FROM near GROUP BY 1),
+rest AS (SELECT l, {key} AS r, row_number() OVER (PARTITION BY {key} ORDER BY (({order_sql('l')}) * 31 + {order_sql(key)}) % 2147483648, l) AS i FROM pool, picked WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.l = pool.l AND n.r = {key}))
+{pair} FROM (SELECT l, r FROM near UNION ALL SELECT l, rest.r FROM rest LEFT JOIN have ON have.r = rest.r WHERE i <= 20 - coalesce(k, 0))"""
+
+
+@query(down_sql("benchmark", "item_id", False))
 def d1_down_rs(spark, sf):
     return sampling.down_sample(docs(spark, sf), items(spark, sf), 400, 20, "text")
 
 
-@query()
+CLUSTERED = f"""t AS (SELECT doc_id, unnest({dlm('text')}) AS w FROM documents), n AS (SELECT doc_id, count(*) AS l FROM t GROUP BY 1),
+o AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS o FROM t a JOIN t b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2),
+q AS (SELECT i, j, o, x.l + y.l AS z FROM o JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j),
+b AS (SELECT i AS src, j AS dst FROM q WHERE o >= ceil(0.8 / 1.8 * z - 1e-5) UNION ALL SELECT j, i FROM q WHERE o >= ceil(0.8 / 1.8 * z - 1e-5)),
+r(node, other) AS (SELECT src, src FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON b.src = r.other), c AS (SELECT node, min(other) AS part FROM r GROUP BY 1),
+k AS (SELECT i, j, coalesce(x.part, i) AS ci, coalesce(y.part, j) AS cj FROM q LEFT JOIN c x ON x.node = i LEFT JOIN c y ON y.node = j WHERE o >= ceil(0.4 / 1.4 * z - 1e-5))"""
+
+
+@query(f"WITH RECURSIVE {CLUSTERED} SELECT i AS ltable_id, j AS rtable_id FROM k WHERE ci <> cj QUALIFY row_number() OVER (PARTITION BY least(ci, cj), greatest(ci, cj) ORDER BY i, j) = 1")
 def d3_cluster_self(spark, sf):
     return sampling.cluster_sample(docs(spark, sf), 0.8, 0.4, "text")
+
+
+# cleaning and labels
+HOLES = "h AS (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS seg, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS bal FROM customer)"
+
+
+def holed(spark, sf):
+    """Customers without the balances below zero and one of the segments."""
+    return read(spark, sf, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("seg"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("bal"))
+
+
+@query(f"WITH {HOLES} SELECT * FROM h WHERE seg IS NOT NULL AND bal IS NOT NULL")
+def p2_perfect(spark, sf):
+    return tables.perfect(holed(spark, sf))
+
+
+@query(f"WITH {HOLES} SELECT c_custkey, coalesce(seg, 'none') AS seg, coalesce(bal, 0) AS bal FROM h")
+def p3_fill_nulls(spark, sf):
+    return tables.fill_nulls(holed(spark, sf))
+
+
+@query(f"WITH {HOLES} SELECT c_custkey, coalesce(bal, 0) AS bal FROM h")
+def p4_impute_constant(spark, sf):
+    return tables.impute(holed(spark, sf).select("c_custkey", "bal"), ["bal"], "constant")
+
+
+@query(f"WITH {GOLD}, {BLOCKED} SELECT c.*, CAST(id1 IS NOT NULL AS INTEGER) AS label FROM c LEFT JOIN g ON id1 = ltable_id AND id2 = rtable_id")
+def p5_label_by_gold(spark, sf):
+    return blocking.labelled(blocked(spark, sf), same_text(spark, sf))
+
+
+@query(f"WITH {GOLD}, {BLOCKED} SELECT CAST(id1 IS NOT NULL AS INTEGER) AS label, count(*) AS n FROM c LEFT JOIN g ON id1 = ltable_id AND id2 = rtable_id GROUP BY 1")
+def a15_candidate_counts(spark, sf):
+    return blocking.labelled(blocked(spark, sf), same_text(spark, sf)).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {GOLD}, {BLOCKED} SELECT ltable_id, rtable_id FROM c EXCEPT SELECT id1, id2 FROM g")
+def j14_negatives(spark, sf):
+    return joins.members(blocked(spark, sf), same_text(spark, sf), inside=False).select(*PAIR)
+
+
+@query(f"WITH {TURNS} SELECT ltable_id AS left_id, rtable_id AS right_id, ltable_role AS left_role, ltable_text AS left_text, rtable_role AS right_role, rtable_text AS right_text FROM p")
+def p6_external_columns(spark, sf):
+    return tables.for_external_matcher(turns(spark, sf))
+
+
+@query(f"WITH {TURNS}, {SETS} SELECT ltable_id, rtable_id, round((coalesce(o / (x + y - o), 0) + CASE WHEN x > 0 AND y > 0 THEN o ELSE 0 END) / nullif(CASE WHEN x > 0 AND y > 0 THEN 2 ELSE 0 END, 0), 6) AS avg_text FROM n")
+def p7_average_by_attribute(spark, sf):
+    from pairsmith.plans.rules import parse_features
+
+    fs = parse_features("2\ntext_text_jac_dlm_dc0_dlm_dc0\ntext_text_overlap_dlm_dc0_dlm_dc0\n")
+    return tables.average_by_attribute(features.extract(turns(spark, sf), fs), [f.name for f in fs]).select(*PAIR, r6("avg_text").alias("avg_text"))
+
+
+@query(rf"SELECT p_partkey, regexp_replace(concat(p_name, '，', p_type, '。'), '{tokens.CJK_MARKS}', '#', 'g') AS clean FROM part")
+def p11_full_width_marks(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", tokens.replace_cjk_marks(F.concat("p_name", F.lit("，"), "p_type", F.lit("。"))).alias("clean"))
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS item_id, nullif(trim(regexp_replace(lower(text), ' +', ' ', 'g'), ' '), '') AS text FROM benchmark")
+def s6_normalised_read(spark, sf):
+    from pairsmith.sources.tables import read_parquet
+
+    return read_parquet(spark, f"{sf}/benchmark.parquet", normalise=True)
+
+
+@query(rf"SELECT doc_id, array_to_string(list_sort(list_filter({dlm('text')}, lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]'))), ' ') AS toks FROM documents")
+def t9_alnum_filter(spark, sf):
+    return docs(spark, sf).select(F.col("_id").alias("doc_id"), _tokens(tokens.delimited_alnum(F.col("text"))).alias("toks"))
+
+
+@query(f"WITH t AS (SELECT unnest({dlm('text')}) AS tok FROM documents) SELECT tok, count(*) AS df, round(log10((SELECT count(*) FROM documents) / count(*)), 6) AS w FROM t GROUP BY 1")
+def a1_idf(spark, sf):
+    d = docs(spark, sf)
+    return tokens.idf(d.select(F.explode(tokens.dlm(F.col("text"))).alias("tok")), d.count()).withColumn("w", r6("w"))
+
+
+# more measures and joins
+@query(f"WITH {VPAIRS} SELECT l, r, round(CASE WHEN x.embedding = y.embedding THEN 0 ELSE {cosine('x.embedding', 'y.embedding')} / 2 END, 6) AS factor FROM vp JOIN embeddings x ON x.vec_id = l JOIN embeddings y ON y.vec_id = r")
+def m19_coherent_factor(spark, sf):
+    v = vectors(spark, sf).drop("label")
+    p = vector_pairs(spark, sf).join(v.toDF("l", "a"), "l").join(v.toDF("r", "b"), "r")
+    return p.select("l", "r", r6(similarity.coherent_factor(F.array("a"), F.array("b"))).alias("factor"))
+
+
+@query("SELECT DISTINCT l_discount AS p, round(CASE WHEN l_discount > 0 AND l_discount < 1 THEN -(l_discount * log2(l_discount) + (1 - l_discount) * log2(1 - l_discount)) ELSE 0 END, 6) AS entropy FROM lineitem")
+def m20_entropy(spark, sf):
+    p = read(spark, sf, "lineitem").select(F.col("l_discount").alias("p")).distinct()
+    return p.select("p", (r6(similarity.binary_entropy(F.col("p"))) + 0.0).alias("entropy"))
+
+
+@query(f"WITH {NAMED} SELECT ltable_id, rtable_id, round(CASE WHEN ltable_bal = 0 AND rtable_bal = 0 THEN 0 ELSE 2 * abs(ltable_bal - rtable_bal) / (abs(ltable_bal) + abs(rtable_bal)) END, 6) AS rel_diff FROM p")
+def m22_relative_difference(spark, sf):
+    return named(spark, sf).select(*PAIR, r6(similarity.relative_difference(F.col("ltable_bal"), F.col("rtable_bal"))).alias("rel_diff"))
+
+
+@query(f"SELECT ltable_id, rtable_id, round(sim, 6) AS sim FROM (SELECT a.c_custkey AS ltable_id, b.c_custkey AS rtable_id, {ANM.format(a='a.c_acctbal', b='b.c_acctbal')} AS sim FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey) WHERE sim >= 0.999")
+def j7_numeric_self(spark, sf):
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("_id"), F.col("c_acctbal").alias("bal"))
+    return joins.numeric_join(c, None, 0.999, "bal").withColumn("sim", r6("sim"))
+
+
+# more rankings and evaluation
+@query(f"WITH {GOLD}, {BLOCKED}, k AS (SELECT *, row_number() OVER (ORDER BY n_rules DESC, ltable_id, rtable_id) AS rank FROM c), h AS (SELECT rank FROM k JOIN g ON id1 = ltable_id AND id2 = rtable_id WHERE rank <= 100) SELECT " + ", ".join(f"count(*) FILTER (rank <= {100 * m // 50}) AS hits_{m}" for m in (1, 3, 5, 8, 10, 20, 50)) + " FROM h")
+def a6_recall_curve(spark, sf):
+    return blocking.recall_curve(blocked(spark, sf), same_text(spark, sf), 100, "n_rules")
+
+
+UTILITY_RULES = "3\ntext_text_jac_dlm_dc0_dlm_dc0 + 0.05\ntext_text_overlap_dlm_dc0_dlm_dc0 + 2\nrole_role_exm + 1\n"
+UTILITY = f"""{TURNS}, {SETS}, v AS (SELECT n.ltable_id // 1000 % 2 AS label, unnest([
+{{'rule': 'text_text_jac_dlm_dc0_dlm_dc0', 'attr': 'text', 'v': CASE WHEN x > 0 AND y > 0 THEN o / (x + y - o) END, 't': 0.05}},
+{{'rule': 'text_text_overlap_dlm_dc0_dlm_dc0', 'attr': 'text', 'v': CASE WHEN x > 0 AND y > 0 THEN o END, 't': 2}},
+{{'rule': 'role_role_exm', 'attr': 'role', 'v': CASE WHEN ltable_role = rtable_role THEN 1 ELSE 0 END, 't': 1}}]) AS f FROM n JOIN p USING (ltable_id, rtable_id)),
+k AS (SELECT f.rule AS rule, f.attr AS attr, count(*) FILTER (f.v >= f.t AND label = 1) AS h, count(*) FILTER (f.v >= f.t) AS q, count(*) FILTER (f.v IS NULL) AS m, sum(label) AS pos FROM v GROUP BY 1, 2),
+u AS (SELECT rule, attr, coalesce(h / nullif(q + m, 0), 0) AS precision, coalesce(h / nullif(pos, 0), 0) AS recall FROM k),
+w AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM u)"""
+
+
+def utility(spark, sf):
+    sample = turns(spark, sf).withColumn("label", (F.floor(F.col("ltable_id") / 1000) % 2).cast("int"))
+    return blocking.rule_utility(sample, parse_rules(UTILITY_RULES))
+
+
+@query(f"WITH {UTILITY} SELECT rule, attr, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM w")
+def a7_rule_utility(spark, sf):
+    return utility(spark, sf).withColumns({c: r6(c) for c in ("precision", "recall", "f1")})
+
+
+@query(f"WITH {UTILITY} SELECT attr, round(avg(f1), 6) AS f1 FROM w GROUP BY 1")
+def a8_attribute_utility(spark, sf):
+    return blocking.attribute_utility(utility(spark, sf)).withColumn("f1", r6("f1"))
+
+
+@query(f"WITH {TURNS}, {SETS} SELECT ltable_id, rtable_id FROM n JOIN p USING (ltable_id, rtable_id) ORDER BY CASE WHEN ltable_role = rtable_role THEN 1 ELSE 0 END DESC, floor(CASE WHEN x > 0 AND y > 0 THEN o / (x + y - o) END * 100) DESC NULLS LAST, ltable_id, rtable_id LIMIT 50")
+def k4_by_attribute(spark, sf):
+    jac = similarity.feature("jac", tokens.dlm(F.col("ltable_text")), tokens.dlm(F.col("rtable_text")))
+    return blocking.by_attribute(turns(spark, sf), {"role": similarity.exact(F.col("ltable_role"), F.col("rtable_role")), "text": jac}, 50)
+
+
+@query(f"WITH {GOLD}, {BLOCKED}, x AS (SELECT ltable_id, rtable_id, n_rules, {dlm('a.text')} AS s, {dlm('b.text')} AS t FROM c JOIN documents a ON a.doc_id = ltable_id JOIN documents b ON b.doc_id = rtable_id), n AS (SELECT ltable_id, rtable_id, n_rules, len(list_intersect(s, t)) AS o, len(s) AS x, len(t) AS y FROM x) SELECT ltable_id, rtable_id, n_rules FROM n ORDER BY o / (x + y - o) + o / sqrt(x * y) + 2 * o / (x + y) + o / least(x, y) DESC, ltable_id, rtable_id LIMIT 150")
+def k6_block_top(spark, sf):
+    return blocking.block(parse_rules(RULES_SELF), docs(spark, sf), max_pairs=150, rank_attr="text")
+
+
+@query(f"WITH {TURNS}, {SETS} SELECT ltable_id, rtable_id, round(z, 6) AS score FROM (SELECT ltable_id, rtable_id, round(o / (x + y - o), 6) + o + CASE WHEN ltable_role = rtable_role THEN 1 ELSE 0 END AS z FROM n JOIN p USING (ltable_id, rtable_id)) ORDER BY z DESC, ltable_id, rtable_id LIMIT 50")
+def k7_top_features(spark, sf):
+    f = f2_features(spark, sf)
+    return blocking.top_k_features(f, [c for c in f.columns if c not in PAIR], 50).select(*PAIR, r6("score").alias("score"))
+
+
+# features over groups of interchangeable values: brands that share their last digit, or (as a graph) their first one
+BRANDS = "pp AS (SELECT a.p_partkey AS ltable_id, b.p_partkey AS rtable_id, a.p_brand AS ltable_brand, b.p_brand AS rtable_brand FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1), v AS (SELECT DISTINCT p_brand AS value, right(p_brand, 1) AS group_id FROM part)"
+BRAND_EDGES = "e AS (SELECT a.value AS src, b.value AS dst FROM v a JOIN v b ON left(a.value, 7) = left(b.value, 7) AND a.value <> b.value)"
+BRAND_FEATURES = "3\nbrand_brand_jac_qgm_3_qgm_3\nbrand_brand_lev\nbrand_brand_exm\n"
+BRAND_JAC = f"len(list_intersect({qgm('a')}, {qgm('b')})) / len(list_distinct(list_concat({qgm('a')}, {qgm('b')})))"
+
+
+def brand_pairs(spark, sf):
+    p = read(spark, sf, "part").select("p_partkey", "p_brand")
+    return p.toDF("ltable_id", "ltable_brand").withColumn("rtable_id", F.col("ltable_id") + 1).join(p.toDF("rtable_id", "rtable_brand"), "rtable_id")
+
+
+def brand_groups(spark, sf):
+    return read(spark, sf, "part").select(F.col("p_brand").alias("value"), F.expr("right(p_brand, 1)").alias("group_id")).distinct()
+
+
+def brand_features():
+    from pairsmith.plans.rules import parse_features
+
+    return parse_features(BRAND_FEATURES)
+
+
+def _features(df):
+    out = df.withColumn("brand_brand_jac_qgm_3_qgm_3", r6("brand_brand_jac_qgm_3_qgm_3"))
+    return out.select(*PAIR, *(f.name for f in brand_features()))
+
+
+@query(f"WITH {BRANDS}, f AS (SELECT *, min(value) OVER (PARTITION BY group_id) AS first FROM v), q AS (SELECT ltable_id, rtable_id, x.first AS a, y.first AS b FROM pp JOIN f x ON x.value = ltable_brand JOIN f y ON y.value = rtable_brand) SELECT ltable_id, rtable_id, round({BRAND_JAC}, 6) AS brand_brand_jac_qgm_3_qgm_3, CAST(levenshtein(a, b) AS DOUBLE) AS brand_brand_lev, CAST(a = b AS DOUBLE) AS brand_brand_exm FROM q")
+def f3_consistent(spark, sf):
+    return _features(features.consistent(brand_pairs(spark, sf), brand_groups(spark, sf), "brand", brand_features()))
+
+
+@query(f"WITH {BRANDS}, m AS (SELECT x.group_id AS gl, y.group_id AS gr, x.value AS a, y.value AS b FROM v x, v y), z AS (SELECT gl, gr, CASE WHEN gl = gr THEN 1 ELSE max({BRAND_JAC}) END AS jac, CASE WHEN gl = gr THEN 0 ELSE min(levenshtein(a, b)) END AS lev, CASE WHEN gl = gr THEN 1 ELSE max(CAST(a = b AS DOUBLE)) END AS exm FROM m GROUP BY 1, 2) SELECT ltable_id, rtable_id, round(jac, 6) AS brand_brand_jac_qgm_3_qgm_3, CAST(lev AS DOUBLE) AS brand_brand_lev, CAST(exm AS DOUBLE) AS brand_brand_exm FROM pp JOIN z ON gl = right(ltable_brand, 1) AND gr = right(rtable_brand, 1)")
+def f4_interchangeable(spark, sf):
+    return _features(features.interchangeable(brand_pairs(spark, sf), brand_groups(spark, sf), "brand", brand_features()))
+
+
+def brand_edges(spark, sf):
+    v = brand_groups(spark, sf).select("value", F.substring("value", 1, 7).alias("k"))
+    return v.toDF("src", "k").join(v.toDF("dst", "k"), "k").where("src <> dst").select("src", "dst")
+
+
+@query(f"WITH {BRANDS}, {BRAND_EDGES}, w AS (SELECT src, dst FROM e UNION ALL SELECT value, value FROM v), m AS (SELECT x.src AS l, y.src AS r, x.dst AS a, y.dst AS b FROM w x, w y), z AS (SELECT l, r, l <> r AND left(l, 7) = left(r, 7) AS edge, max({BRAND_JAC}) AS jac, min(levenshtein(a, b)) AS lev, max(CAST(a = b AS DOUBLE)) AS exm FROM m GROUP BY 1, 2) SELECT ltable_id, rtable_id, round(CASE WHEN edge THEN 1 ELSE jac END, 6) AS brand_brand_jac_qgm_3_qgm_3, CAST(CASE WHEN edge THEN 0 ELSE lev END AS DOUBLE) AS brand_brand_lev, CASE WHEN edge THEN 1 ELSE exm END AS brand_brand_exm FROM pp JOIN z ON l = ltable_brand AND r = rtable_brand")
+def f5_neighbouring(spark, sf):
+    return _features(features.neighbouring(brand_pairs(spark, sf), brand_edges(spark, sf), "brand", brand_features()))
+
+
+# more on values
+@query(f"WITH RECURSIVE {VPAIRS}, {edges(0.1)}, b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), r(node, other) AS (SELECT src, src FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON b.src = r.other) SELECT node AS value, min(other) AS group_id FROM r GROUP BY 1")
+def v4_groups(spark, sf):
+    return values.groups(semantic(spark, sf))
+
+
+@query(f"WITH {VPAIRS} SELECT DISTINCT least(l, r) AS src, greatest(l, r) AS dst FROM vp JOIN embeddings x ON x.vec_id = l JOIN embeddings y ON y.vec_id = r WHERE x.embedding <> y.embedding AND {cosine('x.embedding', 'y.embedding')} / 2 >= 0.05")
+def v6_word_edges(spark, sf):
+    v = vectors(spark, sf).select("value", F.array("vec").alias("vec"))
+    return values.semantic_edges(vector_pairs(spark, sf), v, 0.05, words=True).select("src", "dst")
+
+
+BOTH = "b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+
+
+@query(f"WITH {VPAIRS}, {edges(0.1)}, {BOTH}, s AS (SELECT l AS value, r AS target, dst AS best, {cosine('x.embedding', 'y.embedding')} AS sim FROM vp JOIN b ON src = l JOIN embeddings x ON x.vec_id = dst JOIN embeddings y ON y.vec_id = r) SELECT value, target, best, round(sim, 6) AS sim FROM s WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY value, target ORDER BY sim DESC, best) = 1")
+def v8_best_neighbour(spark, sf):
+    asked = vector_pairs(spark, sf).toDF("value", "target")
+    return values.best_neighbour(asked, semantic(spark, sf), vectors(spark, sf)).withColumn("sim", r6("sim"))
+
+
+@query("SELECT p_partkey, min(p_brand) OVER (PARTITION BY right(p_brand, 1)) AS p_brand FROM part")
+def v9_normalise_values(spark, sf):
+    return values.normalise_values(read(spark, sf, "part").select("p_partkey", "p_brand"), "p_brand", brand_groups(spark, sf))
+
+
+@query(f"WITH {VPAIRS}, {edges(0.1)}, {BOTH}, o AS (SELECT l, r, coalesce(x.dst, l) AS nl, coalesce(y.dst, r) AS nr FROM vp LEFT JOIN b x ON x.src = l LEFT JOIN b y ON y.src = r), s AS (SELECT l, r, nl, nr, {cosine('a.embedding', 'z.embedding')} AS sim FROM o JOIN embeddings a ON a.vec_id = nl JOIN embeddings z ON z.vec_id = nr) SELECT l AS ltable_id, r AS rtable_id, nl AS ltable_value, nr AS rtable_value FROM s QUALIFY row_number() OVER (PARTITION BY l, r ORDER BY round(sim, 12) DESC, nl, nr) = 1")
+def v10_rewrite_negatives(spark, sf):
+    p = vector_pairs(spark, sf).select(F.col("l").alias("ltable_id"), F.col("r").alias("rtable_id"), F.col("l").alias("ltable_value"), F.col("r").alias("rtable_value"))
+    return values.rewrite_negatives(p, semantic(spark, sf), vectors(spark, sf), "value")
+
+
+@query(f"WITH {BRANDS} SELECT count(*) AS n_linked, count(*) FILTER (ltable_id % 3 = 0) AS n_gold FROM pp WHERE right(ltable_brand, 1) = right(rtable_brand, 1)")
+def v13_expansion_check(spark, sf):
+    p = brand_pairs(spark, sf)
+    gold = p.where("ltable_id % 3 = 0").select(F.col("ltable_id").alias("id1"), F.col("rtable_id").alias("id2"))
+    return values.expansion_check(p, brand_groups(spark, sf), gold, "brand")
+
+
+@query(f"WITH {BRANDS} SELECT * FROM pp")
+def v14_restore(spark, sf):
+    p = read(spark, sf, "part").select(F.col("p_partkey").alias("_id"), F.col("p_brand").alias("brand"))
+    changed = brand_pairs(spark, sf).withColumns({"ltable_brand": F.lit("x"), "rtable_brand": F.lit("y")})
+    return values.restore(changed, p, p, "brand")
+
+
+# more samples
+@query(f"""WITH c AS (SELECT conv_id * 1000 + turn AS id, role, text, {dlm('text')} AS s, {qgm('text')} AS g FROM conversations WHERE role IN ('user', 'assistant')), t AS (SELECT id, role, unnest(s) AS w FROM c),
+n AS (SELECT a.id AS l, b.id AS r, count(*) AS o FROM t a JOIN t b ON a.w = b.w AND a.role = 'user' AND b.role = 'assistant' GROUP BY 1, 2)
+SELECT l AS ltable_id, r AS rtable_id FROM n JOIN c x ON x.id = l JOIN c y ON y.id = r WHERE o >= ceil(0.1 / 1.1 * (len(x.s) + len(y.s)) - 1e-5) AND len(x.g) > 0 AND len(y.g) > 0 AND len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) >= 0.1""")
+def d4_cluster_rs(spark, sf):
+    c = read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("_id"), "role", "text")
+    gold = spark.createDataFrame([], "id1 long, id2 long")
+    return sampling.cluster_sample_rs(c.where("role = 'user'"), c.where("role = 'assistant'"), 0.1, "text", gold, 0.1)
+
+
+@query(f"WITH t AS (SELECT item_id, {dlm('text')} AS s FROM benchmark), q AS (SELECT a.item_id AS ltable_id, b.item_id AS rtable_id, len(list_intersect(a.s, b.s)) AS o, len(a.s) AS x, len(b.s) AS y FROM t a JOIN t b ON a.item_id < b.item_id) SELECT ltable_id, rtable_id, CAST(o >= 4 AS INTEGER) AS label, round(o / (x + y - o), 6) AS jac FROM q WHERE o > 0")
+def d6_pre_sample(spark, sf):
+    positives = j5_overlap_self(spark, sf).select(F.col("ltable_id").alias("id1"), F.col("rtable_id").alias("id2"))
+    return sampling.pre_sample(items(spark, sf), positives, "text").withColumn("jac", r6("jac"))
+
+
+@query("WITH c AS (SELECT toxic, count(*) AS n FROM labels GROUP BY 1) SELECT toxic, (SELECT max(n) FROM c) AS n FROM c")
+def d8_balance(spark, sf):
+    return sampling.balance(read(spark, sf, "labels"), "toxic").groupBy("toxic").agg(F.count("*").alias("n"))
+
+
+@query(down_sql("documents", "doc_id", True))
+def d2_down_self(spark, sf):
+    return sampling.down_sample(docs(spark, sf), None, 400, 20, "text")
+
+
+# matchers: trained models, which SQL cannot express
+def _labelled_turns(spark, sf):
+    f = f2_features(spark, sf)
+    names = [c for c in f.columns if c not in PAIR]
+    return f.withColumn("label", (F.col(names[1]) >= 2).cast("int")), names
+
+
+@query()
+def l1_forest(spark, sf):
+    from pairsmith.operators import matching
+
+    table, names = _labelled_turns(spark, sf)
+    return matching.apply_forest(matching.train_forest(table, names), table, names).select(*PAIR, "label", "predicted")
+
+
+@query()
+def l9_mixture(spark, sf):
+    from pairsmith.operators import matching
+
+    table, names = _labelled_turns(spark, sf)
+    return matching.mixture(table.drop("label"), names)

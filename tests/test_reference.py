@@ -195,6 +195,25 @@ def test_types(spark):
     assert dict(tuple(r) for r in tables.attribute_types(t, t.columns).collect()) == {"a": "numeric", "b": "boolean", "c": "str_bt_1w_5w", "d": "un_determined"}
 
 
+def test_stream_links_new_rows(spark, tmp_path):
+    from pairsmith.streaming.linker import link_stream
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    base = spark.createDataFrame([(1, "a b c d"), (2, "x y z w")], "_id long, text string")
+    rules = parse_rules("1\ntext_text_jac_dlm_dc0_dlm_dc0 + 0.5\n")
+    seen = []
+    for batch in ([(10, "a b c e"), (11, None)], [(12, "x y z w"), (13, "q")]):
+        spark.createDataFrame(batch, "_id long, text string").write.mode("append").parquet(src)
+        stream = spark.readStream.schema("_id long, text string").parquet(src)
+        link_stream(stream, base, rules, out, str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination()
+        seen.append(rows(spark.read.parquet(out).select("ltable_id", "rtable_id")))
+    assert seen == [[(1, 10)], [(1, 10), (2, 12)]]
+
+
+def test_every_reference_query_has_sql_or_a_reason():
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"m15_jaro_winkler", "l1_forest", "l9_mixture"}
+
+
 def test_entry(spark):
     import __spark_entry__
 
