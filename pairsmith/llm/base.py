@@ -26,6 +26,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def hidden(df: DataFrame, *added: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with new names for its columns that begin with an underscore or are named in ``added``, and old names by new
+    ones: such names are the operators' own while they run. ``withColumnsRenamed`` gives the old names back."""
+    taken, own = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.startswith("_") or c.lower() in added:
+            new = f"own{c}"
+            while new.lower() in taken:
+                new = f"own{new}"
+            taken.add(new.lower())
+            own[new] = c
+    return df.withColumnsRenamed({c: new for new, c in own.items()}), own
+
+
 def mapped(df: DataFrame, run: Callable, schema: str, rows: int = 1000) -> DataFrame:
     """df.mapInArrow(run, schema) with batches of fewer rows than Spark's default of 10,000, which long texts would make
     too large for an executor. A session's own setting stands."""

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import cut, mapped, slices, table
+from pairsmith.llm.base import cut, hidden, mapped, slices, table
 
 BUCKETS = 1 << 14
 #: Rows with a declared language from which the trigram models are fitted, at most; everything else covers all rows.
@@ -130,18 +130,20 @@ def identify(df: DataFrame, text: str = "text", declared: str | None = "lang", h
     the levels above it. Rejected are texts without letters (null and empty ones too: confidence 0) and texts that the
     uniform model explains better than any language. Missing declarations and hosts are no evidence; repeated rows are
     decided alike; ties go to the language first in the alphabet. Without a model one is fitted on the declarations;
-    if there are none, nothing is known and every text with letters is accepted with lang_id null.
+    if there are none, nothing is known and every text with letters is accepted with lang_id null. Columns of the added
+    names are replaced; all others pass unchanged, whatever their names.
 
     Rows move only if there are more than BROADCAST_HOSTS hosts; the join with their priors is then an ordinary one,
     which Spark splits where a host is hot. Counts are aggregated before they are shuffled."""
     spark = df.sparkSession
     added = ["lang_id", "lang_confidence", "lang_accepted"]
-    df = df.drop(*added)
+    df, own = hidden(df.drop(*added))
+    text, declared, host, key = ({c: new for new, c in own.items()}.get(x, x) for x in (text, declared, host, key))
     if model is None and declared:
         model = fit(df, declared, text, key)
     if model is None:
         letters = F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False))
-        return df.withColumns({"lang_id": F.lit(None).cast("string"), "lang_confidence": F.lit(0.0), "lang_accepted": letters})
+        return df.withColumns({"lang_id": F.lit(None).cast("string"), "lang_confidence": F.lit(0.0), "lang_accepted": letters}).withColumnsRenamed(own)
     sent, langs, n = spark.sparkContext.broadcast(model), model.languages, len(model.languages)
     address = F.lower(F.coalesce(F.col(host), F.lit(""))) if host else F.lit("")
     name = F.regexp_replace(F.regexp_replace(address, "^[a-z][a-z0-9+.-]*://", ""), "[/?#:].*$", "")
@@ -192,7 +194,8 @@ def identify(df: DataFrame, text: str = "text", declared: str | None = "lang", h
     accepted = F.col("_letters") & (F.col("_best") >= unknown + F.log(F.lit(0.02)))
     which = F.element_at(F.array(*map(F.lit, langs)), F.array_position("_known", F.col("_best")).cast("int"))
     confidence = F.when(F.col("_letters"), 1 / (mass + F.exp(F.least(unknown + F.log(F.lit(0.02)) - F.col("_best"), F.lit(700.0))))).otherwise(0.0)
-    return scored.select(*kept, F.when(accepted, which).alias("lang_id"), confidence.alias("lang_confidence"), accepted.alias("lang_accepted"))
+    out = scored.select(*kept, F.when(accepted, which).alias("lang_id"), confidence.alias("lang_confidence"), accepted.alias("lang_accepted"))
+    return out.withColumnsRenamed(own)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

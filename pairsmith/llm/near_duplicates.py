@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import cut, mapped, slices, table
+from pairsmith.llm.base import cut, hidden, mapped, slices, table
 from pairsmith.llm.shingles import differing_bits, parity_bits, set_id, shingle_sets
 
 #: Slots known to hold frequent shingles, at most: the size of the one table that is broadcast. Order alone depends on
@@ -332,12 +332,14 @@ def _unpacked(sets: DataFrame) -> DataFrame:
 
 def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of df with the smallest key (then text hash) of their component, and all without words; of rows that
-    are equal in key and text one stays."""
+    are equal in key and text one stays. All columns pass unchanged, whatever their names."""
+    df, own = hidden(df, "text_hash", "component", "component_id", "n_shingles")
+    text, key = ({c: new for new, c in own.items()}.get(x, x) for x in (text, key))
     found = near_duplicates(df, text, key)
     words = found.where("component is not null").groupBy("component").agg(F.min(F.struct(key, "text_hash")).alias("k")).select(F.col(f"k.{key}").alias("_k"), F.col("k.text_hash").alias("_h"))
     stay = words.unionByName(found.where("component is null").select(F.col(key).alias("_k"), F.col("text_hash").alias("_h")).distinct())
     rows = df.withColumn("_text_hash", F.xxhash64(text))
-    return rows.join(stay, F.col(key).cast("long").eqNullSafe(F.col("_k")) & (F.col("_text_hash") == F.col("_h")), "left_semi").dropDuplicates([key, "_text_hash"]).drop("_text_hash")
+    return rows.join(stay, F.col(key).cast("long").eqNullSafe(F.col("_k")) & (F.col("_text_hash") == F.col("_h")), "left_semi").dropDuplicates([key, "_text_hash"]).drop("_text_hash").withColumnsRenamed(own)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

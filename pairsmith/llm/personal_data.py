@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import table
+from pairsmith.llm.base import hidden, table
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -195,16 +195,20 @@ def detect(df: DataFrame, text: str = "text", model: Classifier | None = None, t
 
     The base kinds hold every match of their rules; the added kinds those whose probability reaches the threshold.
     Spans of different kinds may overlap. Null and empty texts have none. A column named pii is replaced. Rows never
-    move; what is gathered is one count for each pattern of votes."""
+    move; what is gathered is one count for each pattern of votes. All other columns pass unchanged."""
+    df, own = hidden(df.drop("pii"))
+    text = {c: new for new, c in own.items()}.get(text, text)
     if model is None:
         model = train(df, text)
     keep = " or ".join(["x.ok and x.k in (" + ", ".join(f"'{k.name}'" for k in KINDS if k.base) + ")", *(f"x.k = '{k}' and {model.accepts(k, threshold)}" for k in ADDED)])
-    out = candidates(df.drop("pii"), text)
-    return out.withColumn("pii", F.expr(f"transform(filter(_spans, x -> {keep}), x -> named_struct('kind', x.k, 's', x.s, 'e', x.e))")).drop("_spans")
+    out = candidates(df, text)
+    return out.withColumn("pii", F.expr(f"transform(filter(_spans, x -> {keep}), x -> named_struct('kind', x.k, 's', x.s, 'e', x.e))")).drop("_spans").withColumnsRenamed(own)
 
 
 def redact(df: DataFrame, text: str = "text", pii: str = "pii") -> DataFrame:
-    """df with every span of ``pii`` replaced by its kind in brackets (that of the first of several which overlap)."""
+    """df with every span of ``pii`` replaced by its kind in brackets (that of the first of several which overlap). Null texts and texts without spans stay as they are, and so do all other columns."""
+    df, own = hidden(df)
+    text, pii = ({c: new for new, c in own.items()}.get(x, x) for x in (text, pii))
     merged = f"""aggregate(array_sort(transform({pii}, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind))),
       cast(array() as array<struct<s:int,e:int,kind:string>>),
       (m, x) -> if(size(m) > 0 and x.s < element_at(m, -1).e,
@@ -214,7 +218,7 @@ def redact(df: DataFrame, text: str = "text", pii: str = "pii") -> DataFrame:
       (o, x) -> named_struct('at', x.e, 'parts', concat(o.parts, array(substring(`{text}`, o.at + 1, x.s - o.at), concat('[', upper(x.kind), ']')))),
       o -> concat(array_join(o.parts, ''), substring(`{text}`, o.at + 1)))"""
     out = df.withColumn("_merged", F.expr(merged))
-    return out.withColumn(text, F.when(F.size("_merged") > 0, F.expr(built)).otherwise(F.col(text))).drop("_merged")
+    return out.withColumn(text, F.when(F.size("_merged") > 0, F.expr(built)).otherwise(F.col(text))).drop("_merged").withColumnsRenamed(own)
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

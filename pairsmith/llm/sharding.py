@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import table
+from pairsmith.llm.base import cut, table
 
 SLOTS = 4096
 
@@ -91,12 +91,13 @@ def assign(df: DataFrame, slot_map: SlotMap, key: str = "doc_id", text: str = "t
     Null keys have slot 0 of the virtual slots; null text has size 8 and the checksum of the empty text. Rows with one
     key share a shard. Places are numbered within small cells and offset by prefix sums over counts of cells: a cell is
     one of ``spread`` parts of a virtual slot by hash of the row and its input partition, so that neither a hot key nor
-    repeated rows meet in one task. Texts are never shuffled."""
+    repeated rows meet in one task. Texts are read once and never shuffled: the short rows are written to the checkpoint
+    folder, so that counts and places see the same cells even if a task runs again."""
     grown = slot_map.grown()
     raw = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key).alias("_key"), (F.octet_length(raw).cast("long") + 8).alias("size"), F.crc32(F.encode(raw, "UTF-8")).cast("long").alias("text_crc32"))
     rows = rows.withColumn("virtual_slot", slot_of(F.col("_key"), len(slot_map.owners)))
-    rows = rows.withColumn("_cell", F.pmod(F.xxhash64("_key", "size", "text_crc32", F.spark_partition_id()), F.lit(spread)).cast("int"))
+    rows = rows.withColumn("_cell", F.pmod(F.xxhash64("_key", "size", "text_crc32", F.spark_partition_id()), F.lit(spread)).cast("int")).transform(cut)
     cells = rows.groupBy("virtual_slot", "_cell").agg(F.count("*").alias("n")).withColumn("shard", slot_map.column(F.col("virtual_slot")))
     before = Window.partitionBy("shard").orderBy("virtual_slot", "_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("virtual_slot", "_cell", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_from"))

@@ -270,6 +270,31 @@ def test_vector_search(spark):
     assert [r.vec_id for r in vector_search.search(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2]
 
 
+CLASHING = "_text _key _id _tag _host _domain _suffix _top _ll _letters _known _best _prior _up _spans _raw _z0 _merged _k _h _text_hash own_text pii n_words hit_spans items contaminated lang_id lang_confidence lang_accepted text_hash component component_id n_shingles node tok g q u w h n".split()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    more = docs.withColumns({c: F.concat(F.lit(f"{c} of "), "doc_id") for c in CLASHING})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, out = stage(spark, docs, "/root/testdata/sf0.001"), stage(spark, more, "/root/testdata/sf0.001")
+        assert out.columns == more.columns, name
+        assert out.where(" or ".join(f"`{c}` <> concat('{c} of ', doc_id)" for c in CLASHING)).count() == 0, name
+        assert Counter(map(tuple, out.select(docs.columns).collect())) == Counter(map(tuple, plain.collect())), name
+    assert piece_codec.encode(more, PIECES).count() == token_count.token_counts(more, BPE).count() == docs.count()
+    assert near_duplicates.near_duplicates(more).count() == sharding.assign(more, sharding.SlotMap.of(3)).count() == docs.count()
+
+
+def test_sharding_of_repartitioned_rows(spark):
+    rows = spark.range(5000).select((F.col("id") % 7).alias("doc_id"), F.lit("same").alias("text")).repartition(9)
+    got = sharding.assign(rows, sharding.SlotMap.of(5)).toPandas()
+    assert len(got) == 5000
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
