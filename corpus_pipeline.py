@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import cut, table
+from pairsmith.llm.base import cut, hidden, table
 from pairsmith.llm.decontaminate import contamination
 from pairsmith.llm.language_id import identify
 from pairsmith.llm.near_duplicates import one_of_each
@@ -15,7 +15,9 @@ from pairsmith.llm.piece_codec import encode
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without letters or in no modelled language go."""
-    return identify(docs).where("lang_accepted").select(*docs.columns)
+    added = ("lang_id", "lang_confidence", "lang_accepted")
+    rows, own = hidden(docs, *added)
+    return identify(rows).where("lang_accepted").drop(*added).withColumnsRenamed(own).select(*docs.columns)
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +27,17 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"), min_items=1)
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    added = ("n_words", "hit_spans", "items", "contaminated")
+    rows, own = hidden(docs, *added)
+    found = contamination(rows, table(spark, sf_dir, "benchmark"), min_items=1)
+    return found.where(~F.col("contaminated")).drop(*added).withColumnsRenamed(own).select(*docs.columns)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind and n_chars counted anew."""
-    return redact(detect(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows, own = hidden(docs, "pii")
+    found = redact(detect(rows)).drop("pii").withColumnsRenamed(own)
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
