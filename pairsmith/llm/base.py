@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,12 +21,25 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
 
     The folder is the session's spark.checkpoint.dir; a temporary one stands in only where none is set (tests)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a compressed Parquet table in the same folder: for rows with whole texts, which checkpoints hold as they are.
+    Small row groups bound what a writing task holds."""
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+    return sc.getCheckpointDir()
+
+
 def hidden(df: DataFrame, *added: str) -> tuple[DataFrame, dict[str, str]]:
     """df with new names for its columns that begin with an underscore or are named in ``added``, and old names by new
     ones: such names are the operators' own while they run. ``withColumnsRenamed`` gives the old names back."""
