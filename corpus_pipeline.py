@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import cut, hidden, table
+from pairsmith.llm.base import hidden, table, written
 from pairsmith.llm.decontaminate import contamination
 from pairsmith.llm.language_id import identify
 from pairsmith.llm.near_duplicates import one_of_each
@@ -54,5 +54,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, cut(docs) if i else docs, sf_dir)
+        docs = stage(spark, written(docs) if i else docs, sf_dir)
     return docs
