@@ -332,14 +332,21 @@ def _unpacked(sets: DataFrame) -> DataFrame:
 
 def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of df with the smallest key (then text hash) of their component, and all without words; of rows that
-    are equal in key and text one stays. All columns pass unchanged, whatever their names."""
+    are equal in key and text one stays. All columns pass unchanged, whatever their names.
+
+    Only rows that are not alone with their key and text are shuffled with their texts once more to choose one of them."""
     df, own = hidden(df, "text_hash", "component", "component_id", "n_shingles")
     text, key = ({c: new for new, c in own.items()}.get(x, x) for x in (text, key))
-    found = near_duplicates(df, text, key)
-    words = found.where("component is not null").groupBy("component").agg(F.min(F.struct(key, "text_hash")).alias("k")).select(F.col(f"k.{key}").alias("_k"), F.col("k.text_hash").alias("_h"))
-    stay = words.unionByName(found.where("component is null").select(F.col(key).alias("_k"), F.col("text_hash").alias("_h")).distinct())
+    found = near_duplicates(df, text, key).groupBy(key, "text_hash", "component").agg(F.count("*").alias("n"))
+    found = cut(found)
+    words = found.where("component is not null").groupBy("component").agg(F.min(F.struct(key, "text_hash", "n")).alias("k")).select(F.col(f"k.{key}").alias("_k"), F.col("k.text_hash").alias("_h"), F.col("k.n").alias("_n"))
+    stay = cut(words.unionByName(found.where("component is null").select(F.col(key).alias("_k"), F.col("text_hash").alias("_h"), F.col("n").alias("_n"))))
     rows = df.withColumn("_text_hash", F.xxhash64(text))
-    return rows.join(stay, F.col(key).cast("long").eqNullSafe(F.col("_k")) & (F.col("_text_hash") == F.col("_h")), "left_semi").dropDuplicates([key, "_text_hash"]).drop("_text_hash").withColumnsRenamed(own)
+
+    def staying(which: str) -> DataFrame:
+        return rows.join(stay.where(which), F.col(key).cast("long").eqNullSafe(F.col("_k")) & (F.col("_text_hash") == F.col("_h")), "left_semi")
+
+    return staying("_n = 1").unionByName(staying("_n > 1").dropDuplicates([key, "_text_hash"])).drop("_text_hash").withColumnsRenamed(own)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
