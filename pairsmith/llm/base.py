@@ -20,9 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the session's spark.checkpoint.dir; a temporary one stands in only where none is set (tests)."""
+    The folder is the session's spark.checkpoint.dir; a temporary one stands in only where none is set (tests). What was
+    shuffled to compute df is then of no more use. Spark deletes it once the driver's JVM has collected the plan, which
+    by itself may take half an hour, so a collection is asked for."""
     _folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def written(df: DataFrame) -> DataFrame:
