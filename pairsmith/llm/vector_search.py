@@ -3,7 +3,8 @@
 Vectors are coded in subspaces of two dimensions with 16 centres each, four bits a subspace. Codes and codebooks
 minimise an anisotropic loss: the part of a residual parallel to its vector, which moves large inner products, costs
 ``eta`` times what the orthogonal part costs. A query scans the codes of a block with lookup tables, two subspaces a
-lookup; the best of the block are scored exactly, and the best of all blocks are the result.
+lookup; the best of the block are scored exactly, and the best of all blocks are the result. Equal vectors of a block
+are scanned once and give their rows in order of id.
 """
 
 from __future__ import annotations
@@ -110,6 +111,34 @@ def takes_part(vector: Column) -> Column:
     return F.coalesce(ok & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _members(group: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``most`` rows of each group, filled up with -1 (more of one vector cannot be among most - 1 results), and
+    the first row of each."""
+    order = np.argsort(group, kind="stable")
+    size = np.bincount(group)
+    start = np.cumsum(size) - size
+    place = np.arange(len(group)) - np.repeat(start, size)
+    out = np.full((len(size), min(most, int(size.max()))), -1)
+    kept = place < most
+    out[group[order][kept], place[kept]] = order[kept]
+    return out, out[:, 0]
+
+
+def _reranked(rough: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Columns to score exactly, ascending, for runs of queries from the given one on: the ``most`` largest of each row and
+    all that tie with the last of them. Runs are shorter where ties are many, which bounds what is scored at a time."""
+    most = min(rough.shape[1], most)
+    width = (rough >= np.partition(rough, -most, axis=1)[:, -most, None]).sum(1)
+    at = 0
+    while at < len(rough):
+        n, widest = 1, int(width[at])
+        while at + n < len(rough) and (n + 1) * max(widest, width[at + n]) <= max(len(rough) * most, widest):
+            widest = max(widest, int(width[at + n]))
+            n += 1
+        yield at, np.sort(np.argpartition(rough[at : at + n], -widest, axis=1)[:, -widest:], axis=1)
+        at += n
+
+
 def search(df: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", key: str = "vec_id", rerank: int = 200, rows_per_block: int = 8192, queries_per_block: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for each row that is_query names, the k rows of df with the largest
     inner product (in double precision) among those found, its own row left out; ties go to the smaller key.
@@ -117,8 +146,8 @@ def search(df: DataFrame, is_query: Column, k: int = 20, vector: str = "embeddin
     Vectors that are null, zero or hold null, NaN or infinite components take no part; nor do those whose dimension is
     not the commonest (the smaller of two as common). Repeated rows are rows of their own. Codebooks come from at most
     TRAIN_ROWS rows; every row is coded. Blocks hold bounded numbers of rows and queries by hash of the row, so equal
-    keys or vectors gather nowhere; each pair of blocks is one group of bounded size, which reranks ``rerank`` rows a
-    query exactly and passes on k."""
+    keys or vectors gather nowhere; each pair of blocks is one group of bounded size, which reranks ``rerank``
+    different vectors a query exactly, with all whose rough score ties with the last of them, and passes on k rows."""
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(takes_part(F.col("v")))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -152,22 +181,25 @@ def search(df: DataFrame, is_query: Column, k: int = 20, vector: str = "embeddin
         if not len(d) or not len(q):
             return empty
         d = d.sort_values(["id", "u"], ignore_index=True)
-        x = np.frombuffer(b"".join(d["v"]), np.float64).reshape(len(d), -1)
-        packed = np.frombuffer(b"".join(d["c"]), np.uint8).reshape(len(d), -1)
-        u, ids = d["u"].to_numpy(), d["id"]
+        group, _ = pd.factorize(d["v"])  # equal vectors, numbered by their first row in order of id
+        members, first = _members(group, k + 1)
+        x = np.frombuffer(b"".join(d["v"].iloc[first]), np.float64).reshape(len(first), -1)
+        packed = np.frombuffer(b"".join(d["c"].iloc[first]), np.uint8).reshape(len(first), -1)
+        u, ids = d["u"].to_numpy(), d["id"].to_numpy()
         out = []
         for at in range(0, len(q), 128):
             own = q.iloc[at : at + 128]
             y = np.frombuffer(b"".join(own["v"]), np.float64).reshape(len(own), -1)
-            rough = scan(y, packed, book.value)
-            rough[own["u"].to_numpy()[:, None] == u[None]] = -np.inf
-            most = min(len(d), rerank)
-            best = np.sort(np.argpartition(-rough, most - 1, axis=1)[:, :most], axis=1)
-            score = np.einsum("qd,qrd->qr", y, x[best])
-            score[np.take_along_axis(rough, best, 1) == -np.inf] = -np.inf
-            top = np.argsort(-score, axis=1, kind="stable")[:, :k]  # rows go by id: ties keep the smaller
-            hit = np.take_along_axis(best, top, 1).ravel()
-            out.append(pd.DataFrame({"qu": np.repeat(own["u"].to_numpy(), top.shape[1]), "query_id": np.repeat(own["id"].to_numpy(), top.shape[1]), "vec_id": ids.to_numpy()[hit], "score": np.take_along_axis(score, top, 1).ravel()}))
+            for a, best in _reranked(scan(y, packed, book.value), rerank + 1):
+                part = own.iloc[a : a + len(best)]
+                score = np.einsum("qd,qrd->qr", y[a : a + len(best)], x[best])
+                top = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]  # vectors go by id: ties keep the smaller
+                row = members[np.take_along_axis(best, top, 1)]  # query, vector, row of it or -1
+                score = np.where((row < 0) | (u[row] == part["u"].to_numpy()[:, None, None]), -np.inf, np.take_along_axis(score, top, 1)[:, :, None])
+                row, score = row.reshape(len(part), -1), score.reshape(len(part), -1)
+                top = np.lexsort((row, -score), axis=1)[:, :k]
+                hit = np.take_along_axis(row, top, 1).ravel()
+                out.append(pd.DataFrame({"qu": np.repeat(part["u"].to_numpy(), top.shape[1]), "query_id": np.repeat(part["id"].to_numpy(), top.shape[1]), "vec_id": ids[hit], "score": np.take_along_axis(score, top, 1).ravel()}))
         out = pd.concat(out)
         return out[out["score"] != -np.inf]
 

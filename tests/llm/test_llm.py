@@ -270,6 +270,26 @@ def test_vector_search(spark):
     assert [r.vec_id for r in vector_search.search(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2]
 
 
+def test_vector_search_equal_and_near_vectors(spark):
+    """Large groups of copies, and of vectors that differ by less than their code, next to the queries."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 16))
+    same, near = rng.permutation(3000)[:1000], rng.permutation(3000)[:600]
+    x[near] = 3 * x[1] + rng.normal(size=(600, 16)) * 1e-9
+    x[same] = 3 * x[0]
+    x[0], x[100] = x[same[0]], x[near[0]]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = vector_search.search(df, F.col("vec_id") % 100 == 0, rows_per_block=2000).toPandas()
+    hits = 0
+    for q in range(0, 3000, 100):
+        s = np.einsum("d,rd->r", x[q], x)
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(3000), -s))[:20]
+        hits += len(set(want) & set(got[got["query_id"] == q]["vec_id"]))
+    print("recall", hits / 600)
+    assert hits / 600 >= 0.97
+
+
 CLASHING = "_text _key _id _tag _host _domain _suffix _top _ll _letters _known _best _prior _up _spans _raw _z0 _merged _k _h _text_hash own_text pii n_words hit_spans items contaminated lang_id lang_confidence lang_accepted text_hash component component_id n_shingles node tok g q u w h n".split()
 
 
