@@ -7,7 +7,9 @@ the container of the article; siblings with enough points, or that read like pro
 
 from __future__ import annotations
 
+import heapq
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,29 +28,37 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 #: Element names and words of class, id and role attributes.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea iframe noembed noframes xmp noscript template svg math select object canvas audio video".split())
-_DROP = frozenset("head nav header footer aside form menu dialog button fieldset label datalist".split())
+_DROP = frozenset("nav header footer aside menu dialog button fieldset label datalist".split())
 _BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table caption colgroup tbody td tfoot th thead tr ul head".split())
 _CLOSES_P = _BLOCK - frozenset("html body head td th tr tbody thead tfoot caption colgroup option optgroup legend".split())
 _CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select", "datalist"})}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose points go to the element around them.
+_GIVES = _HEADINGS | frozenset("p li pre td th dd dt figcaption".split())
 _NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promoted sidebar sidebars menu menus nav navbar navigation navi breadcrumb breadcrumbs "
     "footer foot header masthead banner banners comment comments commentlist respond disqus cookie cookies consent gdpr notice notices notification alert popup popups modal overlay newsletter subscribe subscription "
     "signup login share sharing sharebar social related recommended recommendations widget widgets toolbar pagination pager skip print toc copyright legal disclaimer".split()
 )
+#: Words that are also common in names of pages and sections; the others of _NOISE seldom name what holds an article.
+_UNSURE = frozenset("sponsor sponsors promotion sidebar sidebars footer foot header banner notice notices notification alert cookie subscribe subscription share social widget widgets overlay skip print legal disclaimer copyright toc menu nav".split())
+#: Words before which a noise word says what a page has or lacks: has-sidebar, no-ads.
+_HAVING = frozenset("has have having with without no".split())
 _NOISE_ROLES = frozenset("banner navigation complementary contentinfo search dialog alertdialog alert menu menubar toolbar form".split())
+#: How sure it is that an element is noise: not at all, by an unsure word or as a form, by a word, by its name or role, and hidden.
+_KEPT, _MAYBE, _WORD, _NAME, _HIDDEN = range(5)
 _WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _COMMAS = re.compile("[,\u060c\u3001\uff0c]")
 
 
 class Element:
-    __slots__ = ("blocks", "children", "links", "noise", "parent", "points", "size", "tag", "trusted")
+    __slots__ = ("all", "children", "direct", "full", "holds", "likely", "links", "noise", "parent", "points", "seen", "shown", "size", "tag", "trusted")
 
-    def __init__(self, tag: str, parent: Element | None, noise: bool, trusted: bool) -> None:
+    def __init__(self, tag: str, parent: Element | None, noise: int, trusted: bool) -> None:
         self.tag, self.parent, self.noise, self.trusted = tag, parent, noise, trusted
         self.children: list[Element | str] = []
-        self.points = 0.0
+        self.direct = self.points = 0.0  # points of its own blocks; of all that is inside, by shares
         self.size = self.links = 0
         if parent is not None:
             parent.children.append(self)
@@ -58,54 +68,61 @@ class Element:
         return self.links / self.size if self.size else 0.0
 
 
-def _is_noise(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is dropped for its name or attributes; whether it says that it holds the article."""
-    if tag in _DROP:
-        return True, False
-    trusted = tag in ("article", "main")
+class Linked(str):
+    """A block with characters in links."""
+
+    links = 0
+
+
+def _noise_words(value: str) -> set[str]:
+    words, found = [w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", value))], set()
+    for i, w in enumerate(words):
+        if w in _NOISE and not (i and words[i - 1] in _HAVING and w not in ("print", "skip")):
+            found.add(w)
+    return found
+
+
+def _is_noise(tag: str, attributes: str) -> tuple[int, bool]:
+    """How sure it is that an element is noise, by its name and attributes; whether it says that it holds the article."""
+    noise, trusted = _HIDDEN if tag == "head" else _NAME if tag in _DROP else _MAYBE if tag == "form" else _KEPT, tag in ("article", "main")
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False, trusted
+        return noise, trusted
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
-            words = {w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", value))}
-            if words & _NOISE and (tag not in ("html", "body", "main", "article") or tag == "article" and words & {"comment", "comments", "ad", "advert", "related", "promo"}):
-                return True, False
+            words = _noise_words(value)
+            if words and (tag not in ("html", "body", "main", "article") or tag == "article" and words & {"comment", "comments", "ad", "advert", "related", "promo"}):
+                noise = max(noise, _MAYBE if words <= _UNSURE and tag != "article" else _WORD)
         elif name == "role":
-            if value.strip().lower() in _NOISE_ROLES:
-                return True, False
-            trusted |= value.strip().lower() in ("main", "article")
+            role = value.strip().lower()
+            if role in _NOISE_ROLES:
+                noise = max(noise, _MAYBE if role == "form" else _NAME)
+            trusted |= role in ("main", "article")
         elif name == "itemprop" and value.strip().lower() == "articlebody":
             trusted = True
         elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, False
-    return False, trusted
+            return _HIDDEN, False
+    return noise, trusted and (noise < _WORD or tag != "article")
 
 
 def tree(page: str) -> Element:
-    """The block elements of a page that are not noise, with their texts as children in page order."""
-    root = here = Element("body", None, False, False)
+    """The block elements of a page that are not hidden, with their texts as children in page order."""
+    root = here = Element("body", None, _KEPT, False)
     stack: list[tuple[str, Element]] = []  # open elements, inline ones too, with the block element outside each
     text: list[str] = []
     linked = anchors = 0
 
     def flush() -> None:
         nonlocal linked
-        if text and not here.noise:
+        if text and here.noise < _HIDDEN:
             block = " ".join(html.unescape("".join(text)).split())
             if block:
-                here.children.append(block)
                 size, links = len(block), min(linked, len(block))
-                e: Element | None = here
-                while e is not None:
-                    e.size += size
-                    e.links += links
-                    e = e.parent
-                points = (1 + len(_COMMAS.findall(block)) + min(size / 100, 3)) * (1 - links / size) * (size >= 25)
-                e, share = (here.parent or here) if here.tag in ("p", "li", "pre", "td", "th", "dd", "dt", "figcaption", *_HEADINGS) else here, 1.0
-                while e is not None and points:
-                    e.points += points * share
-                    e, share = e.parent, share / 2
+                if links:
+                    block = Linked(block)
+                    block.links = links
+                here.children.append(block)
+                here.direct += (1 + len(_COMMAS.findall(block)) + min(size / 100, 3)) * (1 - links / size) * (size >= 25)
         text.clear()
         linked = 0
 
@@ -121,7 +138,7 @@ def tree(page: str) -> Element:
 
     at, n = 0, len(page)
     for m in iter(lambda: _TOKEN.search(page, at), None):
-        if m.start() > at and not here.noise:
+        if m.start() > at and here.noise < _HIDDEN:
             text.append(part := page[at : m.start()])
             if anchors:
                 linked += len(part)
@@ -136,7 +153,7 @@ def tree(page: str) -> Element:
             if tag in _VOID:
                 if tag == "hr":
                     flush()
-                elif tag in ("br", "wbr") and not here.noise:
+                elif tag in ("br", "wbr") and here.noise < _HIDDEN:
                     text.append(" " if tag == "br" else "")
                 continue
             if tag in _CLOSES_P and stack:
@@ -158,11 +175,11 @@ def tree(page: str) -> Element:
             if tag in ("html", "body"):
                 flush()
                 continue
-            noise, trusted = (True, False) if here.noise else _is_noise(tag, m[3])
-            if tag in _BLOCK or noise and not here.noise:
+            noise, trusted = (_HIDDEN, False) if here.noise == _HIDDEN else _is_noise(tag, m[3])
+            if tag in _BLOCK or noise and here.noise < _HIDDEN:
                 flush()
                 stack.append((tag, here))
-                here = Element(tag, here, noise or here.noise, trusted)
+                here = Element(tag, here, noise, trusted)
                 if tag not in _BLOCK:
                     stack[-1] = (tag + "!", stack[-1][1])  # an inline element that is noise: a block to drop
             else:
@@ -186,7 +203,7 @@ def tree(page: str) -> Element:
             else:
                 if tag == "p" or tag == "br":
                     flush()
-    if at < n and not here.noise:
+    if at < n and here.noise < _HIDDEN:
         rest = page[at:]
         text.append(rest[: cut] if (cut := rest.rfind("<")) >= 0 and re.match(r"[A-Za-z/!]", rest[cut + 1 : cut + 2]) else rest)
     close(0)
@@ -205,11 +222,91 @@ def _texts(e: Element, out: list[str]) -> list[str]:
     return out
 
 
+def _inside(root: Element, most: int) -> list[Element]:
+    """The element and those inside it that are noise up to ``most``, each before its own."""
+    out = [root]
+    for e in out:
+        out.extend(x for x in e.children if isinstance(x, Element) and x.noise <= most)
+    return out
+
+
+def _spare(root: Element) -> None:
+    """Takes the marks of noise from elements that hold the article or most of the page.
+
+    The largest come first. While nothing outside of noise says that it is the article, an element that holds one that
+    says so is kept; if it is surely noise, only where no more points are outside of noise. Otherwise an element is kept
+    that holds nearly all points, or, by an unsure word or as a form, over half of those that are not surely noise."""
+    order = _inside(root, _NAME)
+    for e in order:
+        e.all = e.likely = e.shown = e.direct
+        e.full, e.holds, e.seen = any(isinstance(x, str) for x in e.children), False, False
+    for e in reversed(order):
+        e.holds |= e.trusted and e.full
+        e.seen |= e.trusted and e.full
+        if (up := e.parent) is not None:
+            up.all += e.all
+            up.full |= e.full
+            up.holds |= e.holds
+            if e.noise <= _MAYBE:
+                up.likely += e.likely
+            if e.noise == _KEPT:
+                up.shown += e.shown
+                up.seen |= e.seen
+    likely, shown, seen = root.likely, root.shown, root.seen
+    heap: list[tuple[float, int, Element]] = []
+
+    def add(e: Element) -> None:
+        for x in _inside(e, _KEPT):
+            for y in x.children:
+                if isinstance(y, Element) and _KEPT < y.noise < _HIDDEN:
+                    heapq.heappush(heap, (-y.all, next(numbers), y))
+
+    numbers = itertools.count()
+    add(root)
+    while heap:
+        e = heapq.heappop(heap)[2]
+        unsure = e.noise == _MAYBE
+        part, whole, share = (e.likely, likely, 0.95 if seen else 0.5) if unsure else (e.all, root.all, 0.95)
+        if e.holds and not seen and (unsure or e.all >= shown) or part > share * whole and (unsure or not seen):
+            if not unsure:
+                likely += e.likely
+            shown += e.shown
+            seen |= e.seen
+            e.noise = _KEPT
+            add(e)
+
+
+def _weigh(root: Element) -> None:
+    """Sizes, characters in links and points of all elements that are not noise."""
+    order = _inside(root, _KEPT)
+    for e in order:
+        blocks = [x for x in e.children if isinstance(x, str)]
+        e.size, e.links, e.points = sum(map(len, blocks)), sum(getattr(x, "links", 0) for x in blocks), 0.0
+    for e in reversed(order):
+        up = e.parent
+        (up if up is not None and e.tag in _GIVES else e).points += e.direct
+        if up is not None:
+            up.size += e.size
+            up.links += e.links
+            up.points += e.points / 2
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the article, joined by line feeds; empty for null or empty pages and pages without text."""
     if not page:
         return ""
     root = tree(page.replace("\0", ""))
+    _spare(root)
+    if not (out := _article(root)):  # nothing but what classes, ids and forms mark as noise: they do not count
+        marked = [e for e in _inside(root, _NAME) if e.noise in (_MAYBE, _WORD)]
+        for e in marked:
+            e.noise = _KEPT
+        out = _article(root) if marked else out
+    return out
+
+
+def _article(root: Element) -> str:
+    _weigh(root)
     todo, best, score = [root], root, -1.0
     while todo:
         e = todo.pop()

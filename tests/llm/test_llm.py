@@ -69,6 +69,18 @@ def test_html():
     assert [html_text.main_text(x) for x in (None, "", "<p></p>", "bare", "<b")] == ["", "", "", "bare", ""]
 
 
+@pytest.mark.parametrize("name", ["page has-sidebar", "content-with-sidebar", "no-ads", "social-science", "print-only", "legal"])
+def test_html_keeps_articles_in_elements_named_like_noise(name):
+    p = "<p>" + "long text, with commas, " * 9 + "</p>"
+    want = ("long text, with commas, " * 9).strip()
+    for outer, end in ((f'<div class="{name}">', "</div>"), (f'<div id="{name}"><form>', "</form></div>"), ("<form>", "</form>")):
+        for inner in (f"<article>{p}</article>", p):
+            assert html_text.main_text(f'<nav>a menu, of words, and more</nav>{outer}{inner}<div class="comments">{p}{p}{p}</div>{end}<div class="cookies">{p}</div>') == want
+    assert html_text.main_text(f"<div class='{name}'>short</div>") == "short"
+    # real comments go, many as they may be
+    assert html_text.main_text(f'<div class="text">{p * 2}</div><div id="comments">{p * 9}</div><aside><article>{p}</article></aside>') == f"{want}\n{want}"
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, "old"), (1, "<p>a", "old")], "page_id long, html string, text string")
     assert Counter(r.text for r in html_text.extract(df).collect()) == Counter(["", "a"])
