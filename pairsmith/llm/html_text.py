@@ -2,7 +2,7 @@
 
 A page is read into a tree of block elements. Each paragraph passes points for its length and commas to its ancestors,
 fewer the further up they are; an element's points are discounted by its link density. The element with most points is
-the container of the article; siblings with enough points, or that read like prose, stay with it.
+the container of the article; what stands beside it and beside the elements around it stays if it is no menu.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ _BLOCK = frozenset("html body address article aside blockquote center dd details
 _CLOSES_P = _BLOCK - frozenset("html body head td th tr tbody thead tfoot caption colgroup option optgroup legend".split())
 _CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select", "datalist"})}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that stay beside the container with few links, however short they are.
+_WHOLE = frozenset("p blockquote pre ul ol dl table figure".split())
 #: Elements whose points go to the element around them.
 _GIVES = _HEADINGS | frozenset("p li pre td th dd dt figcaption".split())
 _NOISE = frozenset(
@@ -326,17 +328,47 @@ def _article(root: Element) -> str:
         if e.trusted:
             return "\n".join(_texts(e, []))
         e = e.parent
-    if best.parent is None:
-        return "\n".join(_texts(best, []))
-    least, out = max(10.0, 0.2 * score), []
-    for x in best.parent.children:
-        if isinstance(x, str):
-            continue
-        if x is best or not x.noise and (x.points * (1 - x.density) >= least or x.tag in _HEADINGS or x.tag in ("p", "blockquote", "pre") and x.density < 0.25 and (x.size > 80 or x.size and not x.links)):
+    inner, top, e = {id(best)}, best.parent or best, best
+    while (up := e.parent) is not None:  # up to the highest element of which more than one child holds prose
+        if any(x is not e and _prose(x) for x in up.children):
+            top = up
+        inner.add(id(up))
+        e = up
+    out: list[str] = []
+    todo: list[Element | str] = [top]
+    while todo:
+        x = todo.pop()
+        if x is best:
             _texts(x, out)
+        elif not isinstance(x, str) and id(x) in inner:
+            todo.extend(reversed(x.children))
+        elif _stays(x):
+            if isinstance(x, str):
+                out.append(x)
+            else:
+                _texts(x, out)
     return "\n".join(out)
 
 
+def _prose(x: Element | str) -> bool:
+    """Whether a part of the page holds text of paragraphs, most of it outside of links."""
+    if isinstance(x, str):
+        return len(x) >= 25 and getattr(x, "links", 0) < 0.5 * len(x)
+    if x.noise or x.density >= 0.5:
+        return False
+    return x.points > 0 or x.tag in _GIVES and x.size >= 25
+
+
+def _stays(x: Element | str) -> bool:
+    """Whether a part beside the container belongs to the article: prose, text without links, and headings, lists, tables
+    and the like with few links. What is left out are short parts and lists with links, that is menus."""
+    if _prose(x):
+        return True
+    if isinstance(x, str):
+        return not getattr(x, "links", 0)
+    return not x.noise and x.size > 0 and (not x.links or x.tag in _HEADINGS or x.tag in _WHOLE and x.density < 0.25)
+
+
 def extract(df: DataFrame, source: str = "html", to: str = "text") -> DataFrame:
     """df without ``source`` and with ``to``, the main text of its whole markup.
 

@@ -81,6 +81,18 @@ def test_html_keeps_articles_in_elements_named_like_noise(name):
     assert html_text.main_text(f'<div class="text">{p * 2}</div><div id="comments">{p * 9}</div><aside><article>{p}</article></aside>') == f"{want}\n{want}"
 
 
+def test_html_keeps_sections_beside_the_container():
+    long, short = "x, " * 6 + "y" * 482, "x, " * 2 + "y" * 194
+    menu = "<div><a href=1>one of the pages of the menu</a> | <a href=2>another page of the menu</a></div>"
+    page = f"<div class=content><div><p>{long}</p><p>{long}</p></div><div><p>{short}</p></div></div>"
+    assert html_text.main_text(page) == f"{long}\n{long}\n{short}"
+    page = f"<div>{menu}<div class=content>loose<div><p>{long}</p><p>{long}</p></div><ul><li>a<li>b</ul><table><tr><td>1<td>2</table><figure><figcaption>c</figcaption></figure>and <b>more</b> text</div></div>"
+    assert html_text.main_text(page) == f"loose\n{long}\n{long}\na\nb\n1\n2\nc\nand more text"
+    # sections whose bodies are deeper in
+    page = "".join(f"<div class=section><h2>{i}</h2><div><div><p>{t}</p></div></div></div>" for i, t in enumerate((long, short, short)))
+    assert html_text.main_text(menu + page) == f"0\n{long}\n1\n{short}\n2\n{short}"
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, "old"), (1, "<p>a", "old")], "page_id long, html string, text string")
     assert Counter(r.text for r in html_text.extract(df).collect()) == Counter(["", "a"])
