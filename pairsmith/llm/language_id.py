@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from pairsmith.llm.base import cut, hidden, mapped, slices, table
 
 BUCKETS = 1 << 14
-#: Rows with a declared language from which the trigram models are fitted, at most; everything else covers all rows.
-TRAIN_ROWS = 4_000
-#: Languages that are modelled: the commonest of the training rows, at most.
-MOST_LANGUAGES = 64
-#: Hosts whose priors are broadcast; more are joined by shuffle.
+#: Stands for all declared languages that have no model; no declaration reads like this.
+OTHER = "-"
+#: Rows of each declared language from which its trigram model is fitted, about; everything else covers all rows.
+TRAIN_ROWS = 1_000
+#: If more languages than this are declared, those need ENOUGH_ROWS rows for a model that are not among the commonest.
+FEW_LANGUAGES, ENOUGH_ROWS = 64, 20
+#: Hosts whose priors are broadcast, with up to 64 languages; more are joined by shuffle.
 BROADCAST_HOSTS = 50_000
 #: Neighbouring trigrams overlap, so their evidence counts less than independent evidence would.
 TEMPER = 0.5
@@ -71,9 +73,12 @@ class Model:
 
     def likelihoods(self, texts: list[str]) -> np.ndarray:
         tri, begins, within = trigrams(texts)
-        score = self.table[tri]
-        score[~within] = 0
-        return np.add.reduceat(score.astype(np.float64), begins, axis=0) * TEMPER
+        out = np.empty((len(texts), self.table.shape[1]))
+        for at in range(0, out.shape[1], 16):  # so many languages at a time, which bounds the memory
+            score = self.table[:, at : at + 16][tri]
+            score[~within] = 0
+            out[:, at : at + 16] = np.add.reduceat(score.astype(np.float64), begins, axis=0) * TEMPER
+        return out
 
 
 def normal_language(declared: Column) -> Column:
@@ -82,12 +87,21 @@ def normal_language(declared: Column) -> Column:
 
 
 def fit(df: DataFrame, declared: str, text: str, key: str) -> Model | None:
-    """Trigram models from at most TRAIN_ROWS rows with a declared language, drawn by hash of key and declaration."""
+    """A trigram model of each declared language, from about TRAIN_ROWS of its rows, or all if there are no more.
+
+    The languages are counted over all rows. The rows of each are those whose hash of key and declaration is small enough
+    for its count, and that of the least hash (rows that share it come together), so a common language takes no row of a
+    rare one, and a rerun or another partitioning draws the same. Null texts do not count."""
     rows = df.select(F.col(key).alias("k"), normal_language(F.col(declared)).alias("lang"), F.col(text).alias("_text")).where("lang is not null and _text is not null")
-    drawn = rows.select("k", "lang", F.xxhash64("k", "lang").alias("h")).orderBy("h", "k", "lang").limit(TRAIN_ROWS)
-    last = drawn.agg(F.max("h")).first()[0]
-    if last is None:
+    hashed = F.xxhash64("k", "lang")
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(hashed).alias("least")).orderBy(F.desc("n"), "lang")
+    enough = found.limit(FEW_LANGUAGES).collect()
+    if len(enough) == FEW_LANGUAGES and enough[-1].n >= ENOUGH_ROWS:
+        enough = found.where(F.col("n") >= ENOUGH_ROWS).collect()
+    if not enough:
         return None
+    last = {x.lang: 2**63 - 1 if x.n <= TRAIN_ROWS else max(x.least, 2**64 * TRAIN_ROWS // x.n - 2**63) for x in enough}
+    bounds = df.sparkSession.createDataFrame(list(last.items()), "lang string, last long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -101,21 +115,29 @@ def fit(df: DataFrame, declared: str, text: str, key: str) -> Model | None:
             own = np.flatnonzero(n)
             yield pa.record_batch([pa.array([lang] * len(own), pa.string()), pa.array(own, pa.int32()), pa.array(n[own], pa.int64())], ["lang", "bucket", "n"])
 
-    chosen = rows.where(F.xxhash64("k", "lang") <= last).drop("k")
-    known = [r.lang for r in drawn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    counts = chosen.where(F.col("lang").isin(known)).transform(mapped, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(known)
+    chosen = rows.join(F.broadcast(bounds), "lang").where(hashed <= F.col("last")).select("lang", "_text")
+    counts = chosen.transform(mapped, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(set(counts["lang"]))  # those with text
+    if not languages:
+        return None
     out = np.zeros((BUCKETS, len(languages)))
     np.add.at(out, (counts["bucket"].to_numpy(), counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=np.int64)), counts["n"].to_numpy())
     return Model(languages, out)
 
 
-def _likelihoods(df: DataFrame, model, text: str, keep: list[str]) -> DataFrame:
+def _likelihoods(df: DataFrame, model, text: str, keep: list[str], trust=None) -> DataFrame:
+    """With trust, the log probabilities of the row's _tag in each language are added."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, 1 << 18):
                 texts = pc.fill_null(part.column(text), "").to_pylist()
-                got = pa.array(list(model.value.likelihoods(texts)), pa.list_(pa.float64()))
+                got = model.value.likelihoods(texts)
+                if trust is not None:
+                    for i, tag in enumerate(part.column("_tag").to_pylist()):
+                        if tag in trust.value:
+                            got[i, :-1] += trust.value[tag]
+                got = pa.array(list(got), pa.list_(pa.float64()))
                 letters = pa.array([any(map(str.isalpha, t)) for t in texts], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), got, letters], [*keep, "_ll", "_letters"])
 
@@ -128,8 +150,9 @@ def identify(df: DataFrame, text: str = "text", declared: str | None = "lang", h
 
     declared: column with a language tag. host: column with a host or address; its registered part and its suffix are
     the levels above it. Rejected are texts without letters (null and empty ones too: confidence 0) and texts that the
-    uniform model explains better than any language. Missing declarations and hosts are no evidence; repeated rows are
-    decided alike; ties go to the language first in the alphabet. Without a model one is fitted on the declarations;
+    uniform model explains better than any language, unless they declare a language that has no model: that is then
+    lang_id, and the posterior of the uniform model the confidence. Missing declarations and hosts are no evidence;
+    repeated rows are decided alike; ties go to the language first in the alphabet. Without a model one is fitted on the declarations;
     if there are none, nothing is known and every text with letters is accepted with lang_id null. Columns of the added
     names are replaced; all others pass unchanged, whatever their names.
 
@@ -149,7 +172,8 @@ def identify(df: DataFrame, text: str = "text", declared: str | None = "lang", h
     name = F.regexp_replace(F.regexp_replace(address, "^[a-z][a-z0-9+.-]*://", ""), "[/?#:].*$", "")
     levels = {"_host": name, "_domain": F.regexp_extract(name, r"([^.]+\.[^.]+)$|([^.]*)$", 0), "_suffix": F.regexp_extract(name, r"\.([^.]+)$", 1)}
     tag = normal_language(F.col(declared)) if declared else F.lit(None).cast("string")
-    tag = F.when(tag.isin(langs), tag).when(tag.isNotNull(), F.lit("other"))
+    said = F.when(~tag.isin(langs), tag)
+    tag = F.when(tag.isin(langs), tag).when(tag.isNotNull(), F.lit(OTHER))
 
     # what the texts alone say, counted by host and declaration
     base = df.select(F.col(text).alias("_text"), tag.alias("_tag"), *(c.alias(k) for k, c in levels.items()))
@@ -174,26 +198,29 @@ def identify(df: DataFrame, text: str = "text", declared: str | None = "lang", h
     suffix = by_domain.groupBy("_suffix").agg(*sums).select("_suffix", smoothed(c, whole).alias("_up"))
     domain = by_domain.join(suffix, "_suffix").select("_domain", smoothed(c, F.col("_up")).alias("_up"))
     priors = cut(by_host.join(domain, "_domain").select("_host", smoothed(c, F.col("_up")).alias("_prior")))
-    if priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+    if priors.limit((most := BROADCAST_HOSTS * 64 // max(n, 64)) + 1).count() <= most:
         priors = F.broadcast(priors)
 
     # P(declaration | language), counted; a missing declaration is no evidence
     tags = [t for t in by_tag if t is not None]
     known = sum(sum(by_tag[t]) for t in tags)
-    trust = {t: [float(np.log((by_tag[t][i] + 0.5 + 0.5 * (t == langs[i])) / (sum(by_tag[u][i] for u in tags) + 0.5 * len(tags) + 0.5))) for i in range(n)] for t in tags} if known else {}
-    said = functools.reduce(lambda otherwise, t: F.when(F.col("_tag") == t, F.array(*map(F.lit, trust[t]))).otherwise(otherwise), trust, F.array(*[F.lit(0.0)] * n))
+    trust = {t: [np.log((by_tag[t][i] + 0.5 + 0.5 * (t == langs[i])) / (sum(by_tag[u][i] for u in tags) + 0.5 * len(tags) + 0.5)) for i in range(n)] for t in tags} if known else {}
+    trust = spark.sparkContext.broadcast({t: np.array(x) for t, x in trust.items()})
 
     kept = df.columns
-    scored = _likelihoods(df.withColumns({"_host": levels["_host"], "_tag": tag}), sent, text, [*kept, "_host", "_tag"])
+    scored = _likelihoods(df.withColumns({"_host": levels["_host"], "_tag": tag, "_said": said}), sent, text, [*kept, "_host", "_tag", "_said"], trust)
     scored = scored.join(priors, "_host", "left")
     prior = F.coalesce(F.col("_prior"), whole)
-    scored = scored.withColumn("_known", F.zip_with(F.zip_with(F.slice("_ll", 1, n), said, lambda a, b: a + b), prior, lambda a, p: a + F.log(p)))
+    scored = scored.withColumn("_known", F.zip_with(F.slice("_ll", 1, n), prior, lambda a, p: a + F.log(p)))
     scored = scored.withColumn("_best", F.array_max("_known"))
     unknown = F.element_at("_ll", n + 1)
     mass = F.aggregate(F.col("_known"), F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_best")))
-    accepted = F.col("_letters") & (F.col("_best") >= unknown + F.log(F.lit(0.02)))
+    modelled = F.col("_best") >= unknown + F.log(F.lit(0.02))
+    accepted = F.col("_letters") & (modelled | F.col("_said").isNotNull())
     which = F.element_at(F.array(*map(F.lit, langs)), F.array_position("_known", F.col("_best")).cast("int"))
-    confidence = F.when(F.col("_letters"), 1 / (mass + F.exp(F.least(unknown + F.log(F.lit(0.02)) - F.col("_best"), F.lit(700.0))))).otherwise(0.0)
+    which = F.when(modelled, which).otherwise(F.col("_said"))
+    rest = F.exp(F.least(unknown + F.log(F.lit(0.02)) - F.col("_best"), F.lit(700.0)))
+    confidence = F.when(F.col("_letters"), F.when(modelled | F.col("_said").isNull(), F.lit(1.0)).otherwise(rest) / (mass + rest)).otherwise(0.0)
     out = scored.select(*kept, F.when(accepted, which).alias("lang_id"), confidence.alias("lang_confidence"), accepted.alias("lang_accepted"))
     return out.withColumnsRenamed(own)
 

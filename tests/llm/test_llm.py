@@ -116,6 +116,24 @@ def test_language(spark):
     assert language_id.identify(short, model=model).where("doc_id = 1").first().lang_id == "de"
 
 
+LANG_ROWS = "doc_id long, text string, lang string, source string"
+
+
+def test_language_models_of_many_and_of_rare_languages(spark, monkeypatch):
+    rng = random.Random(5)
+    tags = [f"q{a}{b}" for a in "abcdefgh" for b in "abcdefghi"]
+    words = {t: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(12)] for t in tags}
+    rows = [(i, " ".join(rng.choices(words[t], k=15)), t, None) for i, t in enumerate(tags * 25)]
+    rows.append((-1, "\u03bb\u03cc\u03b3\u03bf\u03c2 \u03ba\u03b1\u03b9 \u03bc\u03ad\u03c4\u03c1\u03bf", "el", None))
+    got = language_id.identify(spark.createDataFrame(rows, LANG_ROWS))
+    assert got.where("lang_id <> lang or not lang_accepted").count() == 0  # el has no model but stays
+    # a common language takes no row of a rare one
+    monkeypatch.setattr(language_id, "TRAIN_ROWS", 50)
+    rows = [(i, "the of and to in that word", "en", None) for i in range(4000)] + [(4000 + i, "\u03ba\u03b1\u03b9 \u03c4\u03bf \u03bb\u03cc\u03b3\u03bf\u03c2 \u03bc\u03ad\u03c4\u03c1\u03bf", "el", None) for i in range(8)]
+    got = language_id.identify(spark.createDataFrame(rows, LANG_ROWS))
+    assert got.where("lang_id = lang and lang_accepted").count() == 4008
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
