@@ -6,12 +6,13 @@ owns each slot. Adding a shard edits the map: the new shard takes slots from the
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import cut, table
+from pairsmith.llm.base import _folder, cut, table
 
 SLOTS = 4096
 
@@ -84,6 +85,20 @@ def slot_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", slots: in
     return df.select(slot_of(F.col(key), slots).alias("slot"), size.alias("size")).groupBy("slot").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
 
 
+def write_slots(df: DataFrame, slot_map: SlotMap, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """Writes the slot table of df under a map: slot, rows, bytes, shard, shards and version of every slot, used or not."""
+    slots = df.sparkSession.range(0, len(slot_map.owners), 1, 1).select(F.col("id").cast("int").alias("slot"))
+    used = slot_bytes(df, key, text, len(slot_map.owners))
+    out = slots.join(used, "slot", "left").fillna(0, ["rows", "bytes"]).withColumn("shard", slot_map.column(F.col("slot")).cast("int"))
+    out.withColumns({"shards": F.lit(slot_map.shards), "version": F.lit(slot_map.version)}).coalesce(1).write.parquet(path)
+
+
+def read_slots(spark: SparkSession, path: str) -> tuple[SlotMap, dict[int, int]]:
+    """The map of a slot table, and the bytes of each slot, as ``rebalanced`` takes them."""
+    rows = spark.read.parquet(path).orderBy("slot").collect()
+    return SlotMap(tuple(x.shard for x in rows), rows[0].shards, rows[0].version), {x.slot: x.bytes for x in rows}
+
+
 def assign(df: DataFrame, slot_map: SlotMap, key: str = "doc_id", text: str = "text", spread: int = 16) -> DataFrame:
     """key, size, text_crc32, virtual_slot, shard, slot (the row's place in its shard: 0, 1, ... without gaps),
     map_version and grown_shard (under the map with one more shard).
@@ -111,7 +126,10 @@ def assign(df: DataFrame, slot_map: SlotMap, key: str = "doc_id", text: str = "t
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = assign(table(spark, sf_dir, "documents"), SlotMap.of(24))
+    """Law key: the map of 24 shards, stored with bytes and rows of its slots and read back, without rebalancing."""
+    docs, path = table(spark, sf_dir, "documents"), f"{_folder(spark)}/slots-{uuid.uuid4().hex}"
+    write_slots(docs, SlotMap.of(24), path)
+    out = assign(docs, read_slots(spark, path)[0])
     return out.withColumn("law", F.lit("key"))
 
 

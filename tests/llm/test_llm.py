@@ -349,6 +349,17 @@ def test_stages_keep_columns_of_any_name(spark):
     assert near_duplicates.near_duplicates(more).count() == sharding.assign(more, sharding.SlotMap.of(3)).count() == docs.count()
 
 
+def test_slot_table_keeps_an_edited_map(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * (5000 if i % 7 == 0 else 5)) for i in range(300)], "doc_id long, text string")
+    sharding.write_slots(df, sharding.SlotMap.of(3), f"{tmp_path}/1")
+    stored, sizes = sharding.read_slots(spark, f"{tmp_path}/1")
+    assert stored == sharding.SlotMap.of(3) and sum(sizes.values()) == sum(5008 if i % 7 == 0 else 13 for i in range(300))
+    edited = stored.rebalanced(sizes).moved(0, 5)
+    sharding.write_slots(df, edited, f"{tmp_path}/2")
+    assert sharding.read_slots(spark, f"{tmp_path}/2")[0] == edited != stored
+    assert spark.read.parquet(f"{tmp_path}/2").agg(F.sum("rows")).first()[0] == 300
+
+
 def test_sharding_of_repartitioned_rows(spark):
     rows = spark.range(5000).select((F.col("id") % 7).alias("doc_id"), F.lit("same").alias("text")).repartition(9)
     got = sharding.assign(rows, sharding.SlotMap.of(5)).toPandas()
