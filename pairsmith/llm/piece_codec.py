@@ -1,20 +1,22 @@
 """SentencePiece encoding and decoding as shortest paths in a weighted transducer.
 
 Three machines are compiled from the model file and composed with each input: the normaliser (a leading space, spaces
-written as U+2581), the pieces, and the byte fallback for characters that are no piece. Arcs of the composition are
-pieces over spans of the text; a state is a position with the piece that ends there. An arc between two pieces which
-the model's merges would join has weight infinity in the tropical semiring, any other the piece's negated score, so
-that the path of least weight is the model's own segmentation. No piece holds a space mark after another character;
-the composition is therefore cut into units at such marks, and the paths of units are memoised.
+written as U+2581), the pieces (a trie over their characters), and the byte fallback for characters that are no piece.
+Arcs of the composition are pieces over spans of the text; a state is a place in the text with the piece that ends
+there. An arc weighs the piece's negated score, and infinity if the model's merges would join the piece to the one
+before it. Weights add up along a path and at each state the least sum is kept (the tropical semiring); the path of
+least weight is the model's own segmentation. The composition is cut into units where no piece can cross: before space
+marks and between letters and other characters. Paths of units are memoised; all new units of a batch are composed and
+relaxed together, place by place.
 """
 
 from __future__ import annotations
 
+import codecs
 import functools
 import re
-from array import array
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,207 +25,310 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairsmith.llm.base import mapped, slices, table
 
-SPACE = "\u2581"
+SPACE = "▁"
 INFINITY = float("inf")
-
-
-class Known(dict):
-    """Packed ids of units in two generations of bounded size, so that common units stay."""
-
-    MOST = 200_000
-
-    def __init__(self, codec: Codec) -> None:
-        self.codec, self.older = codec, {}
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.older.get(unit)
-        if ids is None:
-            ids = self.codec.of_unit(unit)
-        if len(unit) <= 48:
-            if len(self) > self.MOST:
-                self.older = dict(self)
-                self.clear()
-            self[unit] = ids
-        return ids
+#: Units of more characters are cut wherever no piece crosses; parts of more characters are relaxed on their own.
+LONG = 64
+#: Characters of new units that are composed at a time.
+COMPOSED = 1 << 17
+#: Units that are memoised, in each of two generations, so that common units stay.
+KNOWN = 150_000
+#: Slots of the table of pairs of pieces that were compared (eight bytes each); a new pair takes its slot.
+PAIRS = 1 << 20
+#: In place of a piece: a character that becomes bytes.
+BYTES = -2
+codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
+
+class Trie:
+    """Pieces as a double array: the child of node n by a character of class c is node base[n] + c, if its parent is n."""
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        letters = sorted({c for p in pieces for c in p})
+        number = {c: i for i, c in enumerate(letters, 1)}
+        self.of_char = np.zeros(0x110000, np.int32)  # 0: a character of no piece
+        self.of_char[list(map(ord, letters))] = np.arange(1, len(letters) + 1)
+        children: dict[str, list[int]] = {"": []}
+        for p in {p[:i] for p in pieces for i in range(1, len(p) + 1)}:
+            children.setdefault(p[:-1], []).append(number[p[-1]])
+        size = 2 * sum(map(len, children.values())) + 3 * len(letters) + 64
+        self.base, self.parent, self.piece = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        taken, free, at = bytearray(size), 1, {"": 0}
+        taken[0] = 1
+        for prefix in sorted(children, key=lambda p: (len(p), p)):
+            own = sorted(children[prefix])
+            while taken[free]:
+                free += 1
+            base = max(free - own[0], 0) if own else 0
+            while any(taken[base + c] for c in own):
+                base += 1
+            self.base[n := at[prefix]] = base
+            for c in own:
+                taken[base + c] = 1
+                self.parent[base + c] = n
+                at[prefix + letters[c - 1]] = base + c
+        for p, i in pieces.items():
+            self.piece[at[p]] = i
+
+    def arcs(self, letters: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Composition with character classes of which ``left`` follow, the own one included, in the same unit: start, last
+        place and piece of each arc."""
+        starts, node, n, out = np.arange(len(letters)), np.zeros(len(letters), np.int32), 0, []
+        while len(starts):
+            own = letters[starts + n]
+            to = self.base[node] + own
+            alive = (own > 0) & (self.parent[to] == node)
+            starts, node = starts[alive], to[alive]
+            piece = self.piece[node]
+            ends = piece >= 0
+            out.append((starts[ends], starts[ends] + n, piece[ends]))
+            n += 1
+            more = left[starts] > n
+            starts, node = starts[more], node[more]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 class Codec:
-    MOST = 100_000
-
     def __init__(self, path: str) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces: list[str] = [model.id_to_piece(i) for i in range(model.vocab_size())]
+        self.cost = np.array([-model.get_score(i) for i in range(len(self.pieces))], np.float64)
         self.id: dict[str, int] = {}
-        self.cost: dict[int, float] = {}
         self.byte: dict[int, int] = {}
         for i, p in enumerate(self.pieces):
             if model.is_byte(i):
                 self.byte[int(p[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.id[p], self.cost[i] = i, -model.get_score(i)
+                self.id[p] = i
         self.of_byte = {i: b for b, i in self.byte.items()}
-        self.split: dict[int, tuple[int, int] | None] = {}
-        self.apart: dict[int, float] = {}
-        self.known = Known(self)
-        # pieces that merges can make, and the lengths of those that end in three given characters
-        self.live = {p: i for p, i in self.id.items() if len(p) == 1 or self.parts_of(i) is not None}
-        ends: dict[str, set[int]] = {}
-        for p in self.live:
-            if len(p) > 2:
-                ends.setdefault(p[-3:], set()).add(len(p))
-        self.ends = {k: (*sorted(v, reverse=True), 2) for k, v in ends.items()}
-        self.beside = {p[i : i + 2] for p in self.live for i in range(len(p) - 1)}  # pairs of characters within pieces
-        # states of the composition that have been reached: the piece that ends there, and the state before it
-        self.next: dict[int, int] = {}
-        self.last, self.back, self.strange = [-1], [0], set()  # strange: with a character that is no piece on the path
-        known = {c for p in self.id for c in p}
-        self.alone = "".join(re.escape(c) for c in "\n\t\r" if c not in known)  # no piece holds them: units end there
-        one = f"[{self.alone}]|" if self.alone else ""
-        self.unit = re.compile(f"{one}{SPACE}*[^{SPACE}{self.alone}]+|{SPACE}+")
-
-    # normaliser
+        self.written = pa.array([bytes([self.of_byte[i]]) if i in self.of_byte else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)], pa.binary())
+        # what two pieces make; the last merge of each piece and when it comes (characters are there from the start)
+        joint = {self.id[p[:k]] << 32 | self.id[p[k:]]: i for p, i in self.id.items() for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id}
+        self.joined = np.array(sorted(joint), np.int64)
+        self.joint = np.array([joint[k] for k in self.joined.tolist()], np.int64)
+        self.halves = np.zeros((2, len(self.pieces)), np.int64)
+        self.when = np.full(len(self.pieces), -1.0)
+        live = {}  # pieces that merges can make
+        for p, i in self.id.items():
+            if len(p) > 1:
+                self.when[i] = self.cost[i]
+                if (parts := self.parts_of(p)) is None:
+                    continue
+                self.halves[:, i] = parts
+            live[p] = i
+        self.trie = Trie(live)
+        self.single = np.zeros(0x110000, bool)
+        self.single[[ord(p) for p in live if len(p) == 1]] = True
+        self.beside = {p[i : i + 2] for p in live for i in range(len(p) - 1)}  # pairs of characters within pieces
+        self.unit = self.units()
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.compared = np.full(PAIRS, -1, np.int64)
+
+    def parts_of(self, piece: str) -> tuple[int, int] | None:
+        """The last merge that makes a piece out of its characters; None if it is never made."""
+        parts, last = list(piece), None
+        while len(parts) > 1:
+            steps = [(self.cost[w], i) for i in range(len(parts) - 1) if (w := self.id.get(parts[i] + parts[i + 1])) is not None]
+            if not steps:
+                return None
+            i = min(steps)[1]
+            last = (self.id[parts[i]], self.id[parts[i + 1]]) if parts[i] in self.id and parts[i + 1] in self.id else None
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return last
+
+    def units(self) -> re.Pattern[str]:
+        """Runs with the space marks before them that no piece crosses: of letters and of other characters, if no piece mixes
+        them; up to the next space mark; or whole texts."""
+        letter = re.compile(r"[^\W\d_]")
+        letter = re.compile(r"[^\W\d_]")
+        inner = [x for x in self.beside if SPACE not in x]
+        more = {c for x in inner if bool(letter.match(x[0])) != bool(letter.match(x[1])) for c in x if letter.match(c)}  # count as others
+        kinds = {c: bool(letter.match(c)) and c not in more for x in inner for c in x}
+        if any(x[1] == SPACE != x[0] for x in self.beside):
+            return re.compile(".+", re.S)
+        if any(kinds[x] != kinds[y] for x, y in inner):
+            return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        others = re.escape("".join(sorted(more)))
+        return re.compile(rf"{SPACE}*[^\W\d_{others}]+|{SPACE}*(?:(?!{SPACE})[\W\d_{others}])+|{SPACE}+")
+
     @staticmethod
     def normalise(text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
-    # merges
-    def parts_of(self, t: int) -> tuple[int, int] | None:
-        """The last merge that makes a piece out of its characters; None for one character and for pieces never made."""
-        if t not in self.split:
-            text, last = self.pieces[t], None
-            parts = list(text)
-            while len(parts) > 1:
-                best = None
-                for i in range(len(parts) - 1):
-                    w = self.id.get(parts[i] + parts[i + 1])
-                    if w is not None and (best is None or self.cost[w] < best[0]):
-                        best = (self.cost[w], i, w)
-                if best is None:
-                    break
-                i = best[1]
-                last = (self.id[parts[i]], self.id[parts[i + 1]]) if parts[i] in self.id and parts[i + 1] in self.id else None
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            self.split[t] = last if parts == [text] and len(text) > 1 else None
-        return self.split[t]
-
-    def made(self, t: int) -> float:
-        """When a piece is merged, in the order of merges; characters are there from the start."""
-        return self.cost[t] if len(self.pieces[t]) > 1 else -1.0
-
-    def weight(self, a: int, b: int) -> float:
-        """Of the arc for piece b after piece a: infinity if merges would cross the border."""
-        if (known := self.apart.get(a << 32 | b)) is None:
-            free, x, y, until, ties = True, a, b, INFINITY, False
-            while True:
-                w = self.id.get(self.pieces[x] + self.pieces[y])
-                if w is not None and (self.cost[w] < until or ties and self.cost[w] == until):
-                    free = False
-                    break
-                if self.made(x) > self.made(y):
-                    until, ties, x = self.made(x), False, self.parts_of(x)[1]
-                elif self.made(y) < 0:
-                    break
-                else:  # of merges with one score the leftmost comes first
-                    until, ties, y = self.made(y), True, self.parts_of(y)[0]
-            if len(self.apart) > self.MOST:
-                self.apart.clear()
-            known = self.apart[a << 32 | b] = self.cost[b] if free else INFINITY
-        return known
-
-    def reach(self, unit: str, i: int, path: list[int]) -> int:
-        """A new state: the first i characters of a unit, whose shorter prefixes are the states of path. Weights other than
-        infinity lie on one arc only, so the search ends at the first, from the longest piece on."""
-        live, last, apart = self.live, self.last, self.apart
-        back, piece = path[i - 1], live.get(unit[i - 1], -1)
-        if piece >= 0 and i > 1:
-            for n in self.ends.get(unit[i - 3 : i], (2,)) if i > 2 else (2,):
-                if (t := live.get(unit[i - n : i] if n <= i else None)) is not None:
-                    p = last[path[i - n]]
-                    if p < 0 or (apart.get(p << 32 | t) or self.weight(p, t)) < INFINITY:
-                        back, piece = path[i - n], t
-                        break
-        self.last.append(piece)
-        self.back.append(back)
-        if piece < 0 or back in self.strange:
-            self.strange.add(len(self.last) - 1)
-        return len(self.last) - 1
-
-    def shortest(self, unit: str) -> list[int]:
-        """Piece ids on the path of least weight through one unit; a character that is no piece becomes its bytes."""
-        if len(self.last) > self.MOST:
-            self.forget()
-        state, path, to = 0, [0], self.next
-        for i, c in enumerate(map(ord, unit), 1):
-            key = state << 21 | c
-            if (known := to.get(key)) is None:
-                known = to[key] = self.reach(unit, i, path)
-            path.append(state := known)
-        out = []
-        if state not in self.strange:
-            while state:
-                out.append(self.last[state])
-                state = self.back[state]
-            return out[::-1]
-        at = {s: i for i, s in enumerate(path)}
-        while state:
-            t = self.last[state]
-            out.append([t] if t >= 0 else [self.byte[b] for b in unit[at[state] - 1].encode("utf-8", "surrogatepass")])
-            state = self.back[state]
-        return [t for ids in reversed(out) for t in ids]
-
-    def forget(self) -> None:
-        """Drops the states, which come again when they are needed."""
-        self.next, self.last, self.back, self.strange = {}, [-1], [0], set()
+    def crossed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merges would join piece b to piece a before it: their borders are followed back through the merges that
+        made both, latest first, for one that would have come earlier."""
+        x, y, rows = a.copy(), b.copy(), np.arange(len(a))
+        until, ties = np.full(len(a), INFINITY), np.zeros(len(a), bool)
+        out = np.zeros(len(a), bool)
+        while len(rows):
+            key = x << 32 | y
+            at = np.minimum(np.searchsorted(self.joined, key), len(self.joined) - 1)
+            cost = np.where(self.joined[at] == key, self.cost[self.joint[at]], INFINITY)
+            hit = (cost < until) | ties & (cost == until) & (cost < INFINITY)
+            out[rows[hit]] = True
+            left = self.when[x] > self.when[y]
+            more = ~hit & (left | (self.when[y] >= 0))
+            x, y, rows, left = x[more], y[more], rows[more], left[more]
+            until, ties = np.where(left, self.when[x], self.when[y]), ~left  # of merges with one score the leftmost comes first
+            x, y = np.where(left, self.halves[1, x], x), np.where(left, y, self.halves[0, y])
+        return out
+
+    def weights(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Of arcs for a piece after another one (or after bytes, which merge with nothing)."""
+        key = before << 24 | piece
+        slot = (key * 0x9E3779B97F4A7C1 >> 20) & (PAIRS - 1)
+        held = self.compared[slot]
+        new = np.flatnonzero((held >> 1 != key) & (before >= 0))
+        if len(new):
+            held[new] = key[new] << 1 | self.crossed(before[new], piece[new])
+            self.compared[slot[new]] = held[new]
+        return np.where((held & 1 == 1) & (before >= 0), INFINITY, self.cost[piece])
+
+    def relaxed(self, units: list[str]) -> list[bytes]:
+        """The piece ids, four bytes each, on the path of least weight through each unit.
+
+        States are places in the units (the least sum of weights up to there, the last arc's piece and its start); all arcs
+        that begin at the n-th place of their unit are relaxed at once, from the first place on."""
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        end = np.cumsum(size)
+        place = np.arange(len(codes)) - np.repeat(end - size, size)
+        start, last, piece = self.trie.arcs(self.trie.of_char[codes], np.repeat(end, size) - np.arange(len(codes)))
+        strange = np.flatnonzero(~self.single[codes])  # arcs of the byte fallback
+        start, last, piece = np.concatenate((start, strange)), np.concatenate((last, strange)), np.concatenate((piece.astype(np.int64), np.full(len(strange), BYTES)))
+        order = np.argsort(place[start], kind="stable")
+        start, last, piece = start[order], last[order], piece[order]
+        cuts = np.searchsorted(place[start], np.arange(int(size.max()) + 1)).tolist()
+        least, arc, came = np.full(len(codes), INFINITY), np.full(len(codes), BYTES), np.full(len(codes), -1)
+        for n in range(len(cuts) - 1):
+            s, e, t = (x[cuts[n] : cuts[n + 1]] for x in (start, last, piece))
+            real = np.maximum(t, 0)
+            weight = self.weights(arc[s - 1], real) if n else self.cost[real]
+            total = np.where(t < 0, 0.0, weight) + (least[s - 1] if n else 0.0)
+            better = total < least[e]  # arcs from one place end at different places: no two write to one state
+            e = e[better]
+            least[e], arc[e], came[e] = total[better], t[better], s[better]
+        on, at = np.zeros(len(codes), bool), end - 1
+        while len(at):
+            on[at] = True
+            at = came[at]
+            at = at[place[at] > 0] - 1
+        ends = np.cumsum(on)[end - 1]
+        ids = arc[on]
+        if len(strange := np.flatnonzero(ids == BYTES)):
+            raw = [chr(c).encode("utf-8", "surrogatepass") for c in codes[on][strange].tolist()]
+            wide = np.ones(len(ids), np.int64)
+            wide[strange] = list(map(len, raw))
+            ends = np.cumsum(wide)[ends - 1]
+            at = np.repeat(ids == BYTES, wide)
+            ids = np.repeat(ids, wide)
+            ids[at] = [self.byte[b] for x in raw for b in x]
+        data, ends = ids.astype(np.int32).tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def alone(self, unit: str) -> bytes:
+        """As ``relaxed``, for a part too long to go place by place with others."""
+        codes = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32)
+        start, last, piece = self.trie.arcs(self.trie.of_char[codes], np.arange(len(codes), 0, -1))
+        strange = np.flatnonzero(~self.single[codes])
+        start, last, piece = np.concatenate((start, strange)), np.concatenate((last, strange)), np.concatenate((piece, np.full(len(strange), BYTES)))
+        order = np.argsort(start, kind="stable")
+        least, arc, came = [INFINITY] * len(codes), [BYTES] * len(codes), [0] * len(codes)
+        known: dict[int, float] = {}
+        cost = self.cost.tolist()
+        for s, e, t in zip(start[order].tolist(), last[order].tolist(), piece[order].tolist(), strict=True):
+            if t < 0:
+                weight = 0.0
+            elif s == 0 or (p := arc[s - 1]) < 0:
+                weight = cost[t]
+            elif (weight := known.get(p << 24 | t)) is None:
+                weight = known[p << 24 | t] = float(self.weights(np.array([p]), np.array([t]))[0])
+            total = weight + (least[s - 1] if s else 0.0)
+            if total < least[e]:
+                least[e], arc[e], came[e] = total, t, s
+        out, e = [], len(codes) - 1
+        while e >= 0:
+            out.append([arc[e]] if arc[e] >= 0 else [self.byte[b] for b in unit[e].encode("utf-8", "surrogatepass")])
+            e = came[e] - 1
+        return np.array([t for ids in reversed(out) for t in ids], np.int32).tobytes()
+
+    def parts(self, unit: str) -> list[str]:
+        """A unit, cut where no piece crosses if it is long: the parts have paths of their own."""
+        if len(unit) <= LONG:
+            return [unit]
+        cuts = [0, *(i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.beside), len(unit)]
+        return [unit[a:b] for a, b in pairwise(cuts)]
+
+    def learn(self, units: list[str]) -> None:
+        """Paths of units that are not known, about COMPOSED characters at a time, short ones first."""
+        units = sorted(units, key=len)
+        at = 0
+        while at < len(units) and len(units[at]) <= LONG:
+            n, size = at, 0
+            while n < len(units) and len(units[n]) <= LONG and size < COMPOSED:
+                size += len(units[n])
+                n += 1
+            self.known.update(zip(units[at:n], self.relaxed(units[at:n]), strict=True))
+            at = n
+        self.known.update((u, self.alone(u)) for u in units[at:])
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Piece ids of each text, four bytes each."""
+        found = [self.unit.findall(self.normalise(t)) for t in texts]
+        flat = list(chain.from_iterable(found))
+        got = list(map(self.known.get, flat))
+        missing = [i for i, x in enumerate(got) if x is None]
+        units = {flat[i] for i in missing}
+        long = {u: self.parts(u) for u in units if len(u) > LONG}
+        units.difference_update(long)
+        units.update(p for parts in long.values() for p in parts if p not in self.known)
+        again = units.intersection(self.older)
+        self.known.update((u, self.older[u]) for u in again)
+        self.learn(list(units - again))
+        known = self.known
+        whole = {u: b"".join(map(known.__getitem__, parts)) for u, parts in long.items()}
+        for i in missing:
+            got[i] = whole[u] if (u := flat[i]) in whole else known[u]
+        ends = [0, *accumulate(map(len, found))]
+        if len(known) > KNOWN:
+            self.older, self.known = {u: x for u, x in known.items() if len(u) <= LONG}, {}
+        return [b"".join(got[a:b]) for a, b in pairwise(ends)]
 
     def rest(self) -> None:
-        """Between tasks only the common units stay."""
-        self.forget()
-        self.apart.clear()
-        self.known.older = {}
-
-    def part(self, unit: str) -> bytes:
-        ids = self.known.get(unit)
-        if ids is None:
-            ids = self.known.older.get(unit) or array("I", self.shortest(unit)).tobytes()
-            if len(unit) <= 48:
-                self.known[unit] = ids
-        return ids
-
-    def of_unit(self, unit: str) -> bytes:
-        """The ids of a unit, cut where no piece crosses: the parts have paths of their own."""
-        ids, start, beside = [], 0, self.beside
-        for i in range(1, len(unit)):
-            if unit[i - 1 : i + 1] not in beside:
-                ids.append(self.part(unit[start:i]))
-                start = i
-        return b"".join(ids) + self.part(unit[start:])
-
-    def packed(self, text: str) -> bytes:
-        """Piece ids of a text, four bytes each."""
-        return b"".join(map(self.known.__getitem__, self.unit.findall(self.normalise(text))))
+        """Between tasks only one generation of units stays."""
+        if self.known:
+            self.older, self.known = {u: x for u, x in self.known.items() if len(u) <= LONG}, {}
 
     def encode(self, text: str) -> list[int]:
-        return memoryview(self.packed(text)).cast("I").tolist()
+        return np.frombuffer(self.packed([text])[0], np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: space marks become spaces, the leading one goes, runs of byte pieces are read as UTF-8."""
-        pieces, of_byte = self.pieces, self.of_byte
-        if of_byte.keys().isdisjoint(ids):
-            text = "".join([pieces[i] for i in ids])
-        else:
-            out, held = [], bytearray()
-            for i in ids:
-                if (b := of_byte.get(i)) is not None:
-                    held.append(b)
-                    continue
-                if held:
-                    out.append(held.decode("utf-8", "replace"))
-                    held.clear()
-                out.append(pieces[i])
-            text = "".join(out) + held.decode("utf-8", "replace")
-        return text.replace(SPACE, " ")[1:] if text.startswith(SPACE) else text.replace(SPACE, " ")
+        return self.decoded(np.array(ids, np.int32), np.array([0, len(ids)]))[0].as_py()
+
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of ids[ends[i] : ends[i + 1]], read from a table of pieces all at once."""
+        got = self.written.take(pa.array(ids, pa.int32()))
+        at = np.frombuffer(got.buffers()[1], np.int32)[: len(ids) + 1][ends] if len(ids) else np.zeros(len(ends), np.int32)
+        data = np.frombuffer(got.buffers()[2], np.uint8)[: int(at[-1])] if len(ids) else np.empty(0, np.uint8)
+        first = at[:-1][np.diff(at) > 0]
+        first = first[(data[first] == 32) & ~np.isin(ids[ends[:-1]][np.diff(ends) > 0], list(self.of_byte))] if len(first) else first
+        keep = np.ones(len(data), bool)
+        keep[first] = False
+        at = at - np.concatenate(([0], np.cumsum(~keep)))[at]
+        raw = data[keep].tobytes()
+        try:
+            raw.decode()
+            good = True
+        except UnicodeDecodeError:
+            good = False
+        if good and not np.any(np.frombuffer(raw, np.uint8)[at[:-1][at[:-1] < len(raw)]] & 0xC0 == 0x80):
+            return pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)])
+        return pa.array([raw[a:b].decode("utf-8", "each_byte") for a, b in pairwise(at.tolist())], pa.string())
 
 
 @functools.lru_cache(2)
@@ -236,21 +341,21 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...]
 
     model: path of a SentencePiece BPE model with byte fallback. Null text counts as empty: no ids, decoded empty. Whole
     texts; rows stay in their partitions, so neither hot keys nor repeated rows matter. exact is false only for texts
-    that hold U+2581 themselves, which the model writes as a space. Memory: 1 MB of text at a time (or one text, if
+    that hold U+2581 themselves, which the model writes as a space. Memory: 2 MB of text at a time (or one text, if
     longer) and bounded tables of known units."""
     kept = [df.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
-            for part in slices(batch, "_text", 1 << 20):
-                texts = pc.fill_null(part.column("_text"), "").to_pylist()
-                packed = list(map(c.packed, texts))
+            for part in slices(batch, "_text", 2 << 20):
+                texts = pc.fill_null(part.column("_text"), "")
+                packed = c.packed(texts.to_pylist())
                 ids = np.frombuffer(b"".join(packed), np.int32)
                 ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
-                back = [c.decode(ids[a:b].tolist()) for a, b in pairwise(ends.tolist())]
+                back = c.decoded(ids, ends)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in keep), pa.array(map(len, texts), pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array(back, pa.string()), pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_())],
+                    [*(part.column(k) for k in keep), pc.utf8_length(texts).cast(pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), back, pc.equal(back, texts)],
                     [*keep, "n_chars", "n_pieces", "ids", "decoded", "exact"],
                 )
         c.rest()
