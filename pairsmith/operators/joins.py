@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairsmith.functions import similarity
@@ -33,37 +33,66 @@ def _prefix_length(sim: str, t: float, n: Column) -> Column:
     return (n - least + 1).cast("int")
 
 
+#: Tokens whose frequency is known to the order, at most; they are counted OFTEN times at least. Rarer tokens and those
+#: beyond count as equally rare. The order alone depends on it: the result does not.
+FREQUENT, OFTEN = 1 << 20, 4
+#: Rows with one token in their prefixes that meet in one part of a join; a token with more is dealt over several.
+SHARED = 4096
+
+
 def _tagged(df: DataFrame, key: str, tokens: Column, side: int) -> DataFrame:
     return df.select(F.lit(side).alias("side"), F.col(key).alias("id"), tokens.alias("toks")).where(F.size("toks") > 0).withColumn("n", F.size("toks"))
 
 
+def _prefixes(base: DataFrame, sim: str, threshold: float) -> DataFrame:
+    """side, id, n, tok (hash of a token), pos and parts of the tokens that a partner must share one of: the rarest.
+
+    Frequencies are counted once; the frequent tokens, a table of bounded size, are broadcast, so that the order needs no
+    shuffle by token. Rows are spread by id and their tokens ranked as they stream by."""
+    tok = F.transform("toks", lambda t: F.xxhash64(t))
+    counted = base.select(F.explode(tok).alias("tok")).groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") >= OFTEN)
+    frequent = F.broadcast(counted.orderBy(F.desc("df"), "tok").limit(FREQUENT))
+    each = base.select("side", "id", "n", tok.alias("toks")).repartition("side", "id").select("side", "id", "n", F.explode("toks").alias("tok"))
+    each = each.join(frequent, "tok", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    pos = F.row_number().over(Window.partitionBy("side", "id").orderBy("df", "tok")) - 1
+    return each.withColumn("pos", pos).where(F.col("pos") < _prefix_length(sim, threshold, F.col("n"))).select("side", "id", "n", "tok", "pos", F.greatest(F.ceil(F.col("df") / SHARED), F.lit(1)).cast("int").alias("parts"))
+
+
 def set_join(a: DataFrame, b: DataFrame | None, sim: str, threshold: float, left: Column, right: Column | None = None, key_a: str = "_id", key_b: str | None = None) -> DataFrame:
-    """Pairs whose token sets (array columns) reach the threshold, with overlap, size_l and size_r.
+    """Pairs whose token sets (array columns) reach the threshold, with overlap, size_l and size_r. Keys
+    must be unique in each table; b None is a self join.
 
-    Tokens are ordered by ascending frequency over both sides; only the prefixes that must share a token are joined.
-    Then lengths are filtered, pairs made distinct and verified. b None is a self join."""
+    Tokens are ordered from rare to frequent; only prefixes that must share a token are joined, as hashes, under the
+    length and positional bounds; frequent tokens are dealt over several parts. What a pair's prefixes share, with what
+    may follow, bounds its overlap once more. Hashes of the remaining pairs are compared, and the strings of those that
+    reach the threshold, so that equal hashes of different tokens change nothing."""
     own = b is None
     base = _tagged(a, key_a, left, 0)
     if not own:
         base = base.unionByName(_tagged(b, key_b or key_a, right if right is not None else left, 1))
     if sim == "overlap":
         base = base.where(F.col("n") >= max(1, math.ceil(threshold - EPS)))
-    each = base.select("side", "id", "n", F.explode("toks").alias("tok"))
-    seen = each.groupBy("tok").agg(F.count("*").alias("df"), F.min("side").alias("lo"), F.max("side").alias("hi"))
-    usable = F.col("df") > 1 if own else F.col("lo") < F.col("hi")
-    ranked = each.join(seen.select("tok", "df", usable.alias("usable")), "tok").groupBy("side", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok", "usable"))).alias("ranked"))
-    prefix = ranked.select("side", "id", "n", F.explode(F.slice("ranked", F.lit(1), _prefix_length(sim, threshold, F.col("n")))).alias("x")).where("x.usable").select("side", "id", "n", F.col("x.tok").alias("tok"))
-    l = prefix.where("side = 0").select("tok", F.col("id").alias("ltable_id"), F.col("n").alias("size_l"))
-    r = prefix.where(f"side = {0 if own else 1}").select("tok", F.col("id").alias("rtable_id"), F.col("n").alias("size_r"))
-    fits = F.col("ltable_id") < F.col("rtable_id") if own else F.lit(True)
+    prefix = _prefixes(base, sim, threshold)
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    l = prefix.where("side = 0").select("tok", part.alias("part"), F.col("id").alias("ltable_id"), F.col("n").alias("size_l"), F.col("pos").alias("pos_l"))
+    r = prefix.where(f"side = {0 if own else 1}").select("tok", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("rtable_id"), F.col("n").alias("size_r"), F.col("pos").alias("pos_r"))
+    rest = F.least(F.col("size_l") - F.col("pos_l"), F.col("size_r") - F.col("pos_r"))
+    need = _need(sim, threshold, F.col("size_l"), F.col("size_r"))
+    fits = (rest >= need) & (F.col("ltable_id") < F.col("rtable_id") if own else F.lit(True))
     if sim != "overlap":
         fits &= F.least("size_l", "size_r") >= F.greatest("size_l", "size_r") * _share(sim, threshold) - 1e-3
-    pairs = l.join(r, "tok").where(fits).select("ltable_id", "rtable_id").distinct()
-    sets = base.select("side", "id", "n", "toks")
-    pairs = pairs.join(sets.where("side = 0").select(F.col("id").alias("ltable_id"), F.col("toks").alias("_l"), F.col("n").alias("size_l")), "ltable_id")
-    pairs = pairs.join(sets.where(f"side = {0 if own else 1}").select(F.col("id").alias("rtable_id"), F.col("toks").alias("_r"), F.col("n").alias("size_r")), "rtable_id")
-    pairs = pairs.withColumn("overlap", similarity.overlap(F.col("_l"), F.col("_r")))
-    return pairs.where(F.col("overlap") >= _need(sim, threshold, F.col("size_l"), F.col("size_r"))).select("ltable_id", "rtable_id", "overlap", "size_l", "size_r")
+    met = l.join(r, ["tok", "part"]).where(fits).groupBy("ltable_id", "rtable_id", "size_l", "size_r")
+    pairs = met.agg(F.count("*").alias("shared"), F.max("pos_l").alias("pos_l"), F.max("pos_r").alias("pos_r")).where(F.col("shared") + rest - 1 >= need)
+
+    def compared(pairs: DataFrame, values: Column) -> DataFrame:
+        sets = base.select("side", "id", values.alias("toks"))
+        pairs = pairs.join(sets.where("side = 0").select(F.col("id").alias("ltable_id"), F.col("toks").alias("_l")), "ltable_id")
+        pairs = pairs.join(sets.where(f"side = {0 if own else 1}").select(F.col("id").alias("rtable_id"), F.col("toks").alias("_r")), "rtable_id")
+        pairs = pairs.withColumn("overlap", similarity.overlap(F.col("_l"), F.col("_r")))
+        return pairs.where(F.col("overlap") >= need).select("ltable_id", "rtable_id", "overlap", "size_l", "size_r")
+
+    alike = compared(pairs, F.transform("toks", lambda t: F.xxhash64(t)))
+    return compared(alike.drop("overlap"), F.col("toks"))
 
 
 def _segments(most: int) -> Column:

@@ -219,3 +219,15 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
+
+
+def test_set_join_of_hot_tokens(spark, monkeypatch):
+    """Tokens that most rows hold, in parts of few rows; only some tokens' frequencies are known."""
+    monkeypatch.setattr(joins, "SHARED", 8)
+    rng = random.Random(9)
+    data = [(i, " ".join(["hot", "warm", *rng.choices("abcdefghijklmnop", k=rng.randint(0, 4))])) for i in range(150)]
+    want = sorted((i, j) for i, s in data for j, u in data if i < j and len(set(s.split()) & set(u.split())) >= 3)
+    df = spark.createDataFrame(data, "_id long, v string")
+    for known in (1 << 20, 2):
+        monkeypatch.setattr(joins, "FREQUENT", known)
+        assert rows(joins.set_join(df, None, "overlap", 3, tokens.dlm(F.col("v"))).select(*PAIR)) == want
