@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,34 +15,81 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: dict[str, SparkSession] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for a query, whose session is to send texts to Python in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """For queries, which own their session: Arrow batches of fewer rows than Spark's default of 10,000, which long texts
+    would make too large for an executor. A session's own setting stands. Operators leave settings alone; they take
+    batches of any size."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(rows))
+
+
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffles of frames that are made and run here are deleted as soon as they have run. Spark would keep
+    them until the driver's JVM happens to collect their plans."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
 
-    The folder is the session's spark.checkpoint.dir; a temporary one stands in only where none is set (tests). What was
-    shuffled to compute df is then of no more use. Spark deletes it once the driver's JVM has collected the plan, which
-    by itself may take half an hour, so a collection is asked for."""
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation. What was
+    shuffled to compute it is deleted."""
     _folder(df.sparkSession)
-    out = df.checkpoint()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    with shuffles_end(df.sparkSession):
+        return df.select("*").checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a compressed Parquet table in the same folder: for rows with whole texts, which checkpoints hold as they are.
-    Small row groups bound what a writing task holds."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a compressed Parquet table in the same folder, and its path: for rows with whole texts, which checkpoints hold
+    as they are. Small row groups bound what a writing task holds. The table goes by ``dropped`` or when the driver ends."""
     path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept(df.sparkSession, path)
+    with shuffles_end(df.sparkSession):
+        df.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def kept(spark: SparkSession, path: str) -> None:
+    """Notes a folder that this driver writes, to be deleted when it ends."""
+    if not _written:
+        atexit.register(lambda: [dropped(s, p) for p, s in list(_written.items())])
+    _written[path] = spark
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing will read again."""
+    _written.pop(path, None)
+    with contextlib.suppress(Exception):  # the session has ended
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the context's, or the session's spark.checkpoint.dir. Where neither is set, a temporary one
+    serves a local master, whose tasks all see it; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="ckpt")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -58,12 +107,8 @@ def hidden(df: DataFrame, *added: str) -> tuple[DataFrame, dict[str, str]]:
     return df.withColumnsRenamed({c: new for new, c in own.items()}), own
 
 
-def mapped(df: DataFrame, run: Callable, schema: str, rows: int = 1000) -> DataFrame:
-    """df.mapInArrow(run, schema) with batches of fewer rows than Spark's default of 10,000, which long texts would make
-    too large for an executor. A session's own setting stands."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, str(rows))
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), whose workers give their memory back after each task."""
 
     def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)

@@ -8,7 +8,9 @@ with the union bounds its overlap with every member; only groups that reach the
 are compared one by one (by parity bits, an exact bound on the difference, then by the sets). Components of all
 verified links are the result; pairs within a group are never listed.
 
-Shingles and sets are identified by 64-bit hashes.
+Candidates and bounds go by 64-bit fingerprints of shingles; the last comparison of two sets, which alone makes a link,
+goes by 128 bits a shingle. Sets count as equal if the 64-bit digests of their fingerprints are: among 10^10 different
+sets that is expected to go wrong for about three pairs.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import cut, hidden, mapped, slices, table
-from pairsmith.llm.shingles import differing_bits, parity_bits, set_id, shingle_sets
+from pairsmith.llm.base import cut, hidden, mapped, shuffles_end, slices, table
+from pairsmith.llm.shingles import differing_bits, parity_bits, set_id, shared, shingle_sets
 
 #: Slots known to hold frequent shingles, at most: the size of the one table that is broadcast. Order alone depends on
 #: it; the result does not.
@@ -88,7 +90,8 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
             yield done()
 
     got = docs.select("_text").transform(mapped, run, "r int, steps binary").repartition("r").sortWithinPartitions("r").transform(mapped, count, "h long, n long")
-    got = got.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    with shuffles_end(docs.sparkSession):
+        got = got.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
     h, n = got.column("h").to_numpy(), got.column("n").to_numpy()
     order = np.argsort(h)
     return h[order].astype(np.uint32), n[order].astype(np.int32)
@@ -126,7 +129,8 @@ def _sketches(docs: DataFrame, frequent, width: int, least: int, of: int) -> Dat
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, n and set (its sorted hashes, eight bytes each) of the nodes in wanted (_key of one of its documents, node)."""
+    """node, n and set (its sorted shingles, two fingerprints of eight bytes each) of the nodes in wanted (_key of one of its
+    documents, node)."""
     spark = docs.sparkSession
     few = wanted.limit(LISTED + 1).count() <= LISTED
     if few:
@@ -145,8 +149,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
                 batch = batch.filter(pa.array(keys[at] == own if len(keys) else np.zeros(len(own), bool)))
             for part in slices(batch, "_text", 1 << 19):
-                sets = [h for h in shingle_sets(part.column("_text").cast(pa.binary()).to_pylist(), width) if len(h)]
-                ids = [set_id(h) for h in sets]
+                sets = [h for h in shingle_sets(part.column("_text").cast(pa.binary()).to_pylist(), width, 2) if len(h)]
+                ids = [set_id(np.unique(h[:, 0])) for h in sets]
                 if few and sets:
                     at = np.minimum(np.searchsorted(nodes, ids), len(nodes) - 1)
                     there = nodes[at] == np.array(ids)
@@ -168,7 +172,7 @@ def _alike(pairs: DataFrame, least: int, of: int, exact: bool) -> DataFrame:
                 part = batch.slice(at, 256)
                 keep = []
                 for x, y, m, n in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), part.column("na").to_pylist(), part.column("nb").to_pylist(), strict=True):
-                    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) if exact else (m + n - differing_bits(x, y)) // 2
+                    both = shared(np.frombuffer(x, np.uint64).reshape(-1, 2), np.frombuffer(y, np.uint64).reshape(-1, 2)) if exact else (m + n - differing_bits(x, y)) // 2
                     keep.append(of * both >= least * (m + n - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -273,9 +277,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", widt
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         own = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        left = cut(_alike(_with(pairs, bits.join(own, "node", "left_semi").dropDuplicates(["node"]), "bits"), least, of, False))
+        left = cut(_alike(_with(pairs, cut(bits.join(own, "node", "left_semi").dropDuplicates(["node"])), "bits"), least, of, False))
         own = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-        return cut(_alike(_with(left, _sets(docs, keys.join(own, "node", "left_semi"), width), "set"), least, of, True))
+        return cut(_alike(_with(left, cut(_sets(docs, keys.join(own, "node", "left_semi"), width)), "set"), least, of, True))
 
     links = verified(tried)
     group = components(links)
@@ -323,7 +327,7 @@ def _unpacked(sets: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                h = [np.frombuffer(x, np.int64) for x in part.column("set").to_pylist()]
+                h = [np.frombuffer(x, np.int64)[::2] for x in part.column("set").to_pylist()]
                 n = list(map(len, h))
                 yield pa.record_batch([*(pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in ("root", "node", "n")), pa.array(np.concatenate(h))], ["root", "node", "n", "h"])
 

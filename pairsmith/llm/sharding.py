@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import _folder, cut, table
+from pairsmith.llm.base import _folder, cut, kept, table
 
 SLOTS = 4096
 
@@ -128,6 +128,7 @@ def assign(df: DataFrame, slot_map: SlotMap, key: str = "doc_id", text: str = "t
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law key: the map of 24 shards, stored with bytes and rows of its slots and read back, without rebalancing."""
     docs, path = table(spark, sf_dir, "documents"), f"{_folder(spark)}/slots-{uuid.uuid4().hex}"
+    kept(spark, path)
     write_slots(docs, SlotMap.of(24), path)
     out = assign(docs, read_slots(spark, path)[0])
     return out.withColumn("law", F.lit("key"))
