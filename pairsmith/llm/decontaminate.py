@@ -1,142 +1,197 @@
-"""Benchmark decontamination by a prefix-filtered join of item windows with document words.
-
-A window is a run of ``width`` consecutive words of an item (a shorter item is one window). All of a window's words
-must occur for it to occur, so one of them, the rarest by its count over all documents, is its necessary prefix:
-only documents with that word are candidates, at the places where it stands. The length bound drops windows longer
-than the document, the positional bound places where the window would stick out; what is left is compared word by word.
+"""Benchmark decontamination by a prefix-filtered join of item windows with documents.
+
+A window is a run of ``width`` consecutive words of an item (a shorter item is one window); its tokens are the shingles of
+SHINGLE words in it (all its words as one, if they are fewer). Containment is exact, so a document must hold every token
+of a window, and any one of them is a sufficient prefix: the rarest, by its count over all documents. Documents send only
+the places of such prefix tokens, with the words around them; these meet the windows in a join on the token, under the
+positional bound (the window must not begin before the text) and the length bound (nor end after it), and the words of
+the window are compared with those of the text. A filter of bounded size, built from the benchmark and broadcast, keeps
+other tokens of documents out of both passes; what it lets through by chance, the joins drop.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import cut, mapped, slices, table
+from pairsmith.llm.base import cut, hidden, mapped, shuffles_end, slices, table
+from pairsmith.llm.shingles import Words, sequences
 
 #: Lower-cases A-Z and blanks all that is no word byte; bytes over 127 belong to words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-#: Words of benchmark text that one pass over the documents looks for. Larger benchmarks take several passes.
-BLOCK_WORDS = 1_000_000
-
+SHINGLE = 4
+#: The filter: bits a token, bits at most (32 MB), places that are tested, and bits a row while it is built.
+BITS, MOST_BITS, TESTS, CHUNK = 32, 1 << 28, 4, 1 << 15
+_SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+
+
+class Filter:
+    """Bits of the tokens that may be wanted."""
+
+    def __init__(self, bits: int, chunks: dict[int, bytes]) -> None:
+        self.bits, self.held = bits, np.zeros(bits // 8, np.uint8)
+        for k, raw in chunks.items():
+            own = np.frombuffer(raw, np.uint8)[: CHUNK // 8]
+            self.held[k * CHUNK // 8 :][: len(own)] = own[: len(self.held)]
+
+    @staticmethod
+    def places(prints: np.ndarray, bits: int, test: int) -> np.ndarray:
+        return prints * _SPREAD[test] >> np.uint64(65 - bits.bit_length())
+
+    def passes(self, prints: np.ndarray) -> np.ndarray:
+        """Which of the fingerprints may be wanted, ascending."""
+        own = np.arange(len(prints))
+        for test in range(TESTS):
+            at = self.places(prints[own], self.bits, test)
+            own = own[(self.held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+        return own
+
+    @staticmethod
+    def of(tokens: DataFrame) -> Filter | None:
+        """From rows (tok); None if there are none. Only chunks of bits come to the driver, MOST_BITS in all."""
+        n = tokens.count()
+        if not n:
+            return None
+        bits = min(MOST_BITS, 1 << max(6, (BITS * n - 1).bit_length()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                prints = batch.column("tok").to_numpy().view(np.uint64)
+                for test in range(TESTS):
+                    yield pa.record_batch([pa.array(Filter.places(prints, bits, test).view(np.int64))], ["at"])
+
+        at = tokens.transform(mapped, run, "at long")
+        with shuffles_end(tokens.sparkSession):
+            rows = at.groupBy(F.expr(f"at div {CHUNK}").alias("k")).agg(F.expr(f"bitmap_construct_agg(at % {CHUNK})").alias("raw")).collect()
+        return Filter(bits, {r.k: bytes(r.raw) for r in rows})
+
+
+def windows(benchmark: DataFrame, width: int, item_id: str, item_text: str) -> DataFrame:
+    """item, w (the window's words, joined by spaces), k (their number) and toks (fingerprints of its tokens, in order)."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("_text")).where("item is not null and _text is not null")
 
-def words_of(text: str | bytes | None) -> list[bytes]:
-    raw = text.encode() if isinstance(text, str) else text or b""
-    return raw.translate(FOLD).split()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text", 1 << 18):
+                own = Words(part.column("_text").cast(pa.binary()).to_pylist(), FOLD)
+                words, prints = own.data.split(), own.prints()
+                rows: list[tuple] = []
+                for item, base, n in zip(part.column("item").to_pylist(), own.base.tolist(), own.count.tolist(), strict=False):
+                    if n:
+                        k = min(n, width)
+                        q = min(k, SHINGLE)
+                        toks = sequences(prints, np.arange(base, base + n - q + 1), q).view(np.int64)
+                        rows.extend((item, b" ".join(words[base + i : base + i + k]), k, toks[i : i + k - q + 1]) for i in range(n - k + 1))
+                types = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()))
+                columns = zip(*rows, strict=True) if rows else [()] * 4
+                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["item", "w", "k", "toks"])
+
+    return items.transform(mapped, run, "item long, w string, k int, toks array<long>")
+
+
+def _counted(texts: DataFrame, wanted, widths: list[int]) -> DataFrame:
+    """tok and n, its count over all texts, for tokens that pass the filter. A task sends each of them once a batch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.empty(0, np.uint64)]
+            for part in slices(batch, "_text", 1 << 19):
+                own = Words(part.column("_text").cast(pa.binary()).to_pylist(), FOLD)
+                prints = own.prints()
+                for q in widths:
+                    rows = sequences(prints, own.places(q)[0], q)
+                    found.append(rows[wanted.value.passes(rows)])
+            toks, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.record_batch([pa.array(toks.view(np.int64)), pa.array(n)], ["tok", "n"])
 
-def windows_of(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
-    return [tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    return texts.select("_text").transform(mapped, run, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n"))
 
 
-def _count_words(df: DataFrame, wanted: frozenset[bytes]) -> dict[bytes, int]:
-    """How often each wanted word occurs in all texts. Each batch sends at most one row for each wanted word."""
+def _places(texts: DataFrame, wanted, widths: list[int], width: int, longest: int) -> DataFrame:
+    """_h, _g (the text's key), tok, p (the word at which it begins), n (words of the text), c and around (the words from p - c
+    on that a window could hold; words longer than any of an item are empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
         for batch in batches:
-            for part in slices(batch, "_text"):
-                for text in part.column("_text").cast(pa.binary()).to_pylist():
-                    held.update(filter(wanted.__contains__, words_of(text)))
-        if held:
-            yield pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["w", "n"])
-
-    return {bytes(r.w): r.n for r in df.transform(mapped, run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).toLocalIterator()}
-
-
-class Index:
-    """Windows of one block of items by prefix word."""
-
-    def __init__(self, items: list[tuple[int, str]], width: int, counts: dict[bytes, int]) -> None:
-        self.by_word: dict[bytes, list[tuple[int, tuple[bytes, ...], tuple[int, ...]]]] = {}
-        owners: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
-        for item, text in items:
-            for w in windows_of(words_of(text), width):
-                owners[w].add(item)
-        found = defaultdict(list)
-        for w, ids in owners.items():
-            at = min(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i]))
-            if counts.get(w[at], 0):  # a word that no document holds: the window occurs nowhere
-                found[w[at]].append((at, w, tuple(sorted(ids))))
-        self.by_word = dict(found)
-
-    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Hit spans (start, end) of the words and the items that own them."""
-        spans, items, by_word, n = [], set(), self.by_word, len(words)
-        for p in [i for i, w in enumerate(words) if w in by_word]:
-            for at, window, ids in by_word[words[p]]:
-                s = p - at
-                if s >= 0 and s + len(window) <= n and tuple(words[s : s + len(window)]) == window:
-                    spans.append((s, s + len(window)))
-                    items.update(ids)
-        return spans, items
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+            for part in slices(batch, "_text", 1 << 19):
+                own = Words(part.column("_text").cast(pa.binary()).to_pylist(), FOLD)
+                prints = own.prints()
+                text, at, tok = [], [], []
+                for q in widths:
+                    place, of = own.places(q)
+                    rows = sequences(prints, place, q)
+                    hit = wanted.value.passes(rows)
+                    text.append(of[hit])
+                    at.append(place[hit])
+                    tok.append(rows[hit])
+                text, at, tok = map(np.concatenate, (text, at, tok))
+                first = np.maximum(at - width + 1, own.base[text])
+                stop = np.minimum(at + width, own.base[text + 1])
+                data, begin, end = own.data, own.begin.tolist(), own.end.tolist()
+                around = [[data[begin[i] : end[i]] if end[i] - begin[i] <= longest else b"" for i in range(a, b)] for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
+                yield pa.record_batch(
+                    [*(part.column(c).take(pa.array(text)) for c in ("_h", "_g")), pa.array(tok.view(np.int64)), pa.array(at - own.base[text], pa.int32()), pa.array(own.count[text], pa.int32()), pa.array(at - first, pa.int32()), pa.array(around, pa.list_(pa.string()))],
+                    ["_h", "_g", "tok", "p", "n", "c", "around"],
+                )
+
+    return texts.transform(mapped, run, "_h long, _g long, tok long, p int, n int, c int, around array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_items: int = 2, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with n_words, hit_spans (disjoint spans of word positions, end exclusive), items (ascending ids whose
-    windows occur) and contaminated (at least min_items items).
+    """docs with n_words, hit_spans (disjoint spans of word positions, end exclusive), items (ascending ids whose windows
+    occur) and contaminated (at least min_items items).
 
     Null and empty texts have no words, no hits and are not contaminated; items without words or id take no part, rows
-    with one item_id are one item. Added columns replace those of the same names. Rows of docs never move, so a hot
-    source or thousands of copies fall on no single task. The benchmark is read in blocks of BLOCK_WORDS words, the only
-    thing sent to executors; each block beyond the first costs one more pass, after the result so far is checkpointed."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    with one item_id are one item; an empty benchmark hits nothing, empty docs give an empty table. Added columns replace
+    those of the same names; all others pass unchanged. What a text holds depends on nothing but the text: copies are
+    searched as one (by 128 bits of hash), so thousands of them, or a passage in a third of all rows, meet in no task. The
+    hits come back in a join by that key, which Spark broadcasts where they are few and splits where a key is hot."""
     added = ["n_words", "hit_spans", "items", "contaminated"]
-    out = docs.drop(*added).withColumns({"hit_spans": F.lit(None).cast("array<struct<s:int,e:int>>"), "items": F.lit(None).cast("array<bigint>"), "n_words": F.lit(0).cast("long")})
-    texts = docs.select(F.col(text).alias("_text"))
-
-    def blocks() -> Iterator[list[tuple[int, str]]]:
-        held, n = [], 0
-        for r in items.toLocalIterator():
-            size = 1 + len(words_of(r.t))
-            if held and n + size > BLOCK_WORDS:
-                yield held
-                held, n = [], 0
-            held.append((r.i, r.t))
-            n += size
-        yield held
-
-    for k, block in enumerate(blocks()):
-        wanted = frozenset(w for _, t in block for w in words_of(t))
-        index = docs.sparkSession.sparkContext.broadcast(Index(block, width, _count_words(texts, wanted) if wanted else {}))
-        out = _searched(cut(out) if k else out, index, text)
-    return out.withColumn("contaminated", F.size("items") >= min_items)
-
-
-def _searched(df: DataFrame, index, text: str) -> DataFrame:
-    names = df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = index.value.search
-        for batch in batches:
-            for part in slices(batch, text):
-                ns, spans, items = [], [], []
-                before = zip(part.column("hit_spans").to_pylist(), part.column("items").to_pylist(), strict=True)
-                for raw, (had, known) in zip(part.column(text).cast(pa.binary()).to_pylist(), before, strict=True):
-                    words = words_of(raw)
-                    s, i = search(words)
-                    ns.append(len(words))
-                    spans.append([{"s": a, "e": b} for a, b in merged(s + [(x["s"], x["e"]) for x in had or ()])])
-                    items.append(sorted(i | set(known or ())))
-                new = {"n_words": pa.array(ns, pa.int64()), "hit_spans": pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), "items": pa.array(items, pa.list_(pa.int64()))}
-                yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) if c in new else part.column(c) for c in names], names)
-
-    return df.transform(mapped, run, df.schema)
+    docs, own = hidden(docs.drop(*added))
+    text = {c: new for new, c in own.items()}.get(text, text)
+    key = {"_h": F.xxhash64(F.lit(1), F.col(text)), "_g": F.xxhash64(F.lit(2), F.col(text))}
+    n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")), F.lit(0)).cast("long")
+    found = _found(docs.select(F.col(text).alias("_text"), *(c.alias(k) for k, c in key.items())).where("_text <> ''"), cut(windows(benchmark, width, item_id, item_text)), width)
+    if found is None:
+        out = docs.withColumns({"n_words": n_words, "hit_spans": F.lit(None).cast("array<struct<s:int,e:int>>"), "items": F.lit(None).cast("array<bigint>")})
+    else:
+        out = docs.withColumns({"n_words": n_words, **key}).join(found, ["_h", "_g"], "left").drop("_h", "_g")
+    out = out.withColumns({"hit_spans": F.coalesce("hit_spans", F.expr("cast(array() as array<struct<s:int,e:int>>)")), "items": F.coalesce("items", F.expr("cast(array() as array<bigint>)"))})
+    return out.withColumn("contaminated", F.size("items") >= min_items).select(*docs.columns, *added).withColumnsRenamed(own)
+
+
+def _found(texts: DataFrame, held: DataFrame, width: int) -> DataFrame | None:
+    """_h, _g, hit_spans and items of the texts in which windows occur; None if there is no window to find."""
+    sc = texts.sparkSession.sparkContext
+    wanted = Filter.of(held.select(F.explode("toks").alias("tok")).distinct())
+    if wanted is None:
+        return None
+    widths = sorted({min(r.k, SHINGLE) for r in held.select("k").distinct().collect()})  # at most ``width`` rows
+    longest = held.agg(F.max(F.array_max(F.transform(F.split("w", " "), F.octet_length)))).first()[0]
+    each = held.select("w", "k", "toks").dropDuplicates(["w"]).select("w", "k", F.posexplode("toks").alias("at", "tok"))
+    counts = _counted(texts, sc.broadcast(wanted), widths)
+    prefix = each.join(counts, "tok").groupBy("w", "k").agg(F.count("*").alias("seen"), F.min(F.struct("n", "tok", "at")).alias("x"))
+    tokens = F.col("k") - F.least(F.col("k"), F.lit(SHINGLE)) + 1
+    prefix = cut(prefix.where(F.col("seen") == tokens).select("w", "k", "x.tok", "x.at"))  # others have a token that no text holds
+    wanted = Filter.of(prefix.select("tok").distinct())
+    if wanted is None:
+        return None
+    places = _places(texts, sc.broadcast(wanted), widths, width, longest).dropDuplicates(["_h", "_g", "p", "tok"])
+    start, stop = F.col("p") - F.col("at"), F.col("p") - F.col("at") + F.col("k")
+    there = F.array_join(F.slice("around", F.col("c") - F.col("at") + 1, F.col("k")), " ") == F.col("w")
+    hits = cut(places.join(prefix, "tok").where((start >= 0) & (stop <= F.col("n"))).where(there).select("_h", "_g", start.alias("s"), stop.alias("e"), "w"))
+    # spans that overlap or touch are one
+    one = Window.partitionBy("_h", "_g").orderBy("s", "e")
+    spans = hits.select("_h", "_g", "s", "e").distinct().withColumn("before", F.max("e").over(one.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("run", F.sum(F.when(F.col("s") <= F.col("before"), 0).otherwise(1)).over(one.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("_h", "_g", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).groupBy("_h", "_g").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("hit_spans"))
+    owners = held.select("w", "item").distinct()
+    items = hits.select("_h", "_g", "w").distinct().join(owners, "w").groupBy("_h", "_g").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return spans.join(items, ["_h", "_g"])
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
