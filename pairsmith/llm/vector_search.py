@@ -9,6 +9,7 @@ are scanned once and give their rows in order of id.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -139,22 +140,29 @@ def _reranked(rough: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
         at += n
 
 
-def search(df: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", key: str = "vec_id", rerank: int = 200, rows_per_block: int = 8192, queries_per_block: int = 1024) -> DataFrame:
+def search(df: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", key: str = "vec_id", rerank: int = 400, rows_per_block: int = 8192, queries_per_block: int = 8192) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for each row that is_query names, the k rows of df with the largest
     inner product (in double precision) among those found, its own row left out; ties go to the smaller key.
 
-    Vectors that are null, zero or hold null, NaN or infinite components take no part; nor do those whose dimension is
-    not the commonest (the smaller of two as common). Repeated rows are rows of their own. Codebooks come from at most
-    TRAIN_ROWS rows; every row is coded. Blocks hold bounded numbers of rows and queries by hash of the row, so equal
-    keys or vectors gather nowhere; each pair of blocks is one group of bounded size, which reranks ``rerank``
-    different vectors a query exactly, with all whose rough score ties with the last of them, and passes on k rows."""
+    Vectors that are null, zero or hold null, NaN or infinite components take no part; those of each dimension are
+    searched among their own. No rows, or no queries, give no rows. Repeated rows are rows of their own. Codebooks come
+    from at most TRAIN_ROWS rows a dimension; every row is coded. Blocks hold bounded numbers of rows and queries by hash
+    of the row, so equal keys or vectors gather nowhere; each pair of blocks is one group of bounded size, which reranks
+    ``rerank`` different vectors a query exactly, with all whose rough score ties with the last of them, and passes on k
+    rows. All codes are scanned for every query: a row is copied once for every ``queries_per_block`` queries."""
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(takes_part(F.col("v")))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if dims is None:
+    dims = [r.d for r in rows.groupBy(F.size("v").alias("d")).agg(F.max("q").alias("q")).where("q").orderBy("d").collect()]  # a row a dimension
+    if not dims:
         return empty
-    rows = rows.where(F.size("v") == dims.d)
+    parts = [_search(rows.where(F.size("v") == d), k, rerank, rows_per_block, queries_per_block) for d in dims]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _search(rows: DataFrame, k: int, rerank: int, rows_per_block: int, queries_per_block: int) -> DataFrame:
+    """``search`` among vectors of one dimension: id, v and q."""
+    spark = rows.sparkSession
     sample = rows.orderBy(F.xxhash64("id", "v"), "id").limit(TRAIN_ROWS).select("v").toPandas()
     book = spark.sparkContext.broadcast(train(np.stack(sample["v"].to_numpy())))
 
@@ -168,8 +176,6 @@ def search(df: DataFrame, is_query: Column, k: int = 20, vector: str = "embeddin
 
     coded = cut(rows.withColumn("u", F.monotonically_increasing_id()).transform(mapped, code, "u long, id long, q boolean, v binary, c binary"))
     counts = coded.agg(F.count("*"), F.sum(F.col("q").cast("long"))).first()
-    if not counts[1]:
-        return empty
     over, parts = -(-counts[0] // rows_per_block), -(-counts[1] // queries_per_block)
     block = lambda n: F.pmod(F.xxhash64("u"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
