@@ -44,9 +44,19 @@ KINDS = (
 )
 ORDER = [k.name for k in KINDS]
 ADDED = [k.name for k in KINDS if not k.base]
-#: Gazetteers and cue words of the labelers.
-SUFFIXES = "com net org edu gov mil info biz io de fr es uk it nl eu ch at us ca au jp cn in br ru".split()
-NAMES = "james john robert michael william david mary patricia jennifer linda elizabeth barbara susan anna maria jose juan carlos luis marie pierre jean louis hans peter thomas klaus anne paul daniel mark laura sarah julia".split()
+#: Gazetteers and cue words of the labelers. ``detect`` and ``train`` take longer lists as parameters.
+SUFFIXES = (
+    "com net org edu gov mil int info biz name pro app dev io ai co tv me cc ly gg online site shop store tech cloud blog news xyz "
+    "ac ae ar at au be bg br by ca ch cl cn cz de dk ee es eu fi fr gr hk hr hu id ie il in ir is it jp ke kr lt lu lv ma mx my ng nl no nz pe ph pk pl pt ro rs ru sa se sg si sk th tr tw ua uk us ve vn za"
+).split()
+NAMES = (
+    "james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark donald steven paul andrew joshua kenneth kevin brian george edward ronald timothy jason jeffrey ryan "
+    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen lisa nancy betty margaret sandra ashley kimberly emily donna michelle carol amanda melissa deborah stephanie rebecca sharon laura cynthia kathleen "
+    "hans peter klaus wolfgang juergen dieter manfred uwe guenter bernd frank stefan andreas martin markus ursula monika petra sabine renate helga karin brigitte ingrid erika anna claudia julia katharina "
+    "jean pierre michel philippe alain nicolas louis henri jacques marie nathalie isabelle sylvie catherine martine christine francoise valerie sophie camille chloe "
+    "jose antonio juan manuel francisco luis javier carlos jesus miguel pedro rafael fernando pablo carmen maria josefa isabel dolores pilar teresa rosa lucia marta elena "
+    "anne alexander oliver emma olivia noah liam sofia mia lucas mohammed ahmed ali fatima wei li yuki hiroshi raj priya ivan olga dmitri natasha"
+).split()
 CUES = {
     "email": "e-?mail|mail|contact|write|schreib|courriel|correo",
     "masked_email": "e-?mail|mail|contact|write|schreib|courriel|correo",
@@ -83,20 +93,47 @@ _PLACED = f"""aggregate(
   o -> flatten(o.out))"""
 
 
+#: For spans _x in order of their starts, the largest end of those before each: summed up in blocks, as above.
+_REACHED = f"""if(size(_x) > 0, aggregate(
+  transform(sequence(0, (size(_x) - 1) div {BLOCK}), b -> slice(_x, cast(b * {BLOCK} + 1 as int), {BLOCK})),
+  named_struct('m', -1, 'out', cast(array() as array<array<int>>)),
+  (o, block) -> named_struct(
+    'm', greatest(o.m, array_max(transform(block, x -> x.e))),
+    'out', concat(o.out, array(aggregate(block, named_struct('m', o.m, 'out', cast(array() as array<int>)),
+      (a, x) -> named_struct('m', greatest(a.m, x.e), 'out', concat(a.out, array(a.m))), a -> a.out)))),
+  o -> flatten(o.out)), cast(array() as array<int>))"""
+
+
 def _words(words: list[str]) -> str:
     return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-def _votes(k: Kind) -> str:
+#: Code points of a block of text, from which pieces are cut without a walk from the text's start.
+PIECE = 256
+
+
+def _blocks(text: str) -> Column:
+    return F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cut(blocks: str, a: str, b: str) -> str:
+    """SQL of the code points from a to b (exclusive, not beyond the end) of a text in blocks."""
+    first, last = f"(({a}) div {PIECE})", f"(({b} - 1) div {PIECE})"
+    head = f"substring({blocks}[cast({first} as int)], cast(({a}) % {PIECE} + 1 as int), cast(({b}) - ({a}) as int))"
+    more = f"concat(array_join(slice({blocks}, cast({first} + 2 as int), cast({last} - {first} - 1 as int)), ''), substring({blocks}[cast({last} as int)], 1, cast(({b} - 1) % {PIECE} + 1 as int)))"
+    return f"if(({b}) <= ({a}), '', concat({head}, if({first} = {last}, '', {more})))"
+
+
+def _votes(k: Kind, names: list[str], suffixes: list[str]) -> str:
     """One vote of each labeler (1 for, -1 against, 0 none) on the span y: its text t, b before and a after it."""
     lists = {
-        "email": f"if(array_contains({_words(SUFFIXES)}, lower(regexp_extract(y.t, '[.]([A-Za-z0-9-]+)$', 1))), 1, -1)",
+        "email": f"if(array_contains({_words(suffixes)}, lower(regexp_extract(y.t, '[.]([A-Za-z0-9-]+)$', 1))), 1, -1)",
         "ip": "if(y.t rlike r'^(?:0|127|255)[.]', -1, 1)",
         "card": "if(y.t rlike '^[3-6]', 1, -1)",
         "phone": "if(y.t rlike r'^[+](?:1|2[07]|3[0-4694]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])', 1, 0)",
         "local_phone": "if(y.t rlike r'^[(]?(?:[2-9]11)', -1, 0)",
-        "masked_email": f"if(array_contains({_words(SUFFIXES)}, lower(regexp_extract(y.t, '([A-Za-z0-9-]+)$', 1))), 1, -1)",
-        "person": f"if(exists({_words(NAMES)}, n -> lower(y.t) rlike concat('(?<![a-z])', n, '(?![a-z])')), 1, 0)",
+        "masked_email": f"if(array_contains({_words(suffixes)}, lower(regexp_extract(y.t, '([A-Za-z0-9-]+)$', 1))), 1, -1)",
+        "person": f"if(arrays_overlap({_words(names)}, split(lower(y.t), '[^a-z]+')), 1, 0)",
     }
     return ", ".join(
         (
@@ -109,19 +146,21 @@ def _votes(k: Kind) -> str:
     )
 
 
-def candidates(df: DataFrame, text: str = "text") -> DataFrame:
+def candidates(df: DataFrame, text: str = "text", names: list[str] = NAMES, suffixes: list[str] = SUFFIXES) -> DataFrame:
     """df with _spans: all candidates as structs (k, s, e, ok, v): kind, code points (end exclusive), whether the kind's
     own rule holds, votes."""
     out = df.withColumn("_raw", F.coalesce(F.col(text), F.lit("")))
     out = out.withColumns({f"_z{i}": _spans("_raw", k) for i, k in enumerate(KINDS)})
+    any_at_all = F.expr(" or ".join(f"_z{i} is not null" for i in range(len(KINDS))))
+    out = out.withColumns({"_b": F.when(any_at_all, _blocks("_raw")), "_n": F.length("_raw")})
     parts = []
     for i, k in enumerate(KINDS):
         placed = _PLACED.replace("size(z)", f"size(_z{i})").replace("slice(z,", f"slice(_z{i},")
-        near = f"transform({placed}, x -> named_struct('s', x.s, 'e', x.e, 't', x.t, 'b', substring(_raw, greatest(x.s - {NEAR - 1}, 1), least(x.s, {NEAR})), 'a', substring(_raw, x.e + 1, 1)))"
-        one = f"transform(array(x), y -> named_struct('k', '{k.name}', 's', y.s, 'e', y.e, 'ok', {k.valid}, 'v', array({_votes(k)})))[0]"
-        parts.append(f"if(_z{i} is null, array(), transform({near}, x -> {one}))")
-    out = out.withColumn("_spans", F.expr("concat(" + ", ".join(p.replace("array(), transform", "cast(array() as array<struct<k:string,s:int,e:int,ok:boolean,v:array<int>>>), transform", 1) for p in parts) + ")"))
-    return out.drop("_raw", *(f"_z{i}" for i in range(len(KINDS))))
+        near = f"transform({placed}, x -> named_struct('s', x.s, 'e', x.e, 't', x.t, 'b', {_cut('_b', f'greatest(x.s - {NEAR}, 0)', 'x.s')}, 'a', {_cut('_b', 'x.e', 'least(x.e + 1, _n)')}))"
+        one = f"transform(array(x), y -> named_struct('k', '{k.name}', 's', y.s, 'e', y.e, 'ok', {k.valid}, 'v', array({_votes(k, names, suffixes)})))[0]"
+        parts.append(f"if(_z{i} is null, cast(array() as array<struct<k:string,s:int,e:int,ok:boolean,v:array<int>>>), transform({near}, x -> {one}))")
+    out = out.withColumn("_spans", F.expr("concat(" + ", ".join(parts) + ")"))
+    return out.drop("_raw", "_b", "_n", *(f"_z{i}" for i in range(len(KINDS))))
 
 
 @dataclass(frozen=True)
@@ -182,43 +221,46 @@ def learn(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 60) -> C
     return Classifier({k: rounded(b) for k, b in bias.items()}, tuple((rounded(a), rounded(b)) for a, b in weights), reliability)
 
 
-def train(df: DataFrame, text: str = "text") -> Classifier:
-    """The classifier from the votes on all candidates of df."""
-    each = candidates(df.select(text), text).where(F.size("_spans") > 0).select(F.explode("_spans").alias("x"))
+def train(df: DataFrame, text: str = "text", names: list[str] = NAMES, suffixes: list[str] = SUFFIXES) -> Classifier:
+    """The classifier from the votes on all candidates of df; from none, weights that trust every labeler."""
+    each = candidates(df.select(text), text, names, suffixes).where(F.size("_spans") > 0).select(F.explode("_spans").alias("x"))
     rows = each.groupBy(F.col("x.k").alias("k"), F.col("x.v").alias("v")).count().collect()  # at most kinds * 3^labelers rows
     return learn({(r.k, tuple(r.v)): r["count"] for r in rows})
 
 
-def detect(df: DataFrame, text: str = "text", model: Classifier | None = None, threshold: float = ACCEPT) -> DataFrame:
+def detect(df: DataFrame, text: str = "text", model: Classifier | None = None, threshold: float = ACCEPT, names: list[str] = NAMES, suffixes: list[str] = SUFFIXES) -> DataFrame:
     """df with pii: all spans found, as structs (kind, s, e) with code points, end exclusive, by kind in the order of
     KINDS, then by start.
 
     The base kinds hold every match of their rules; the added kinds those whose probability reaches the threshold.
-    Spans of different kinds may overlap. Null and empty texts have none. A column named pii is replaced. Rows never
-    move; what is gathered is one count for each pattern of votes. All other columns pass unchanged."""
+    Spans of different kinds may overlap. Null and empty texts have none; an empty table gives an empty one; repeated rows
+    are decided alike. A column named pii is replaced, all others pass unchanged. Rows never move; what is gathered is one
+    count for each pattern of votes. names and suffixes (lower case, a-z) are the gazetteers of given names and of the last
+    labels of addresses."""
     df, own = hidden(df.drop("pii"))
     text = {c: new for new, c in own.items()}.get(text, text)
     if model is None:
-        model = train(df, text)
+        model = train(df, text, names, suffixes)
     keep = " or ".join(["x.ok and x.k in (" + ", ".join(f"'{k.name}'" for k in KINDS if k.base) + ")", *(f"x.k = '{k}' and {model.accepts(k, threshold)}" for k in ADDED)])
-    out = candidates(df, text)
+    out = candidates(df, text, names, suffixes)
     return out.withColumn("pii", F.expr(f"transform(filter(_spans, x -> {keep}), x -> named_struct('kind', x.k, 's', x.s, 'e', x.e))")).drop("_spans").withColumnsRenamed(own)
 
 
 def redact(df: DataFrame, text: str = "text", pii: str = "pii") -> DataFrame:
-    """df with every span of ``pii`` replaced by its kind in brackets (that of the first of several which overlap). Null texts and texts without spans stay as they are, and so do all other columns."""
+    """df with every span of ``pii`` replaced by its kind in brackets (that of the first of several which overlap). Null
+    texts and texts without spans stay as they are, and so do all other columns. The work grows in proportion with the
+    text and the spans."""
     df, own = hidden(df)
     text, pii = ({c: new for new, c in own.items()}.get(x, x) for x in (text, pii))
-    merged = f"""aggregate(array_sort(transform({pii}, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind))),
-      cast(array() as array<struct<s:int,e:int,kind:string>>),
-      (m, x) -> if(size(m) > 0 and x.s < element_at(m, -1).e,
-        concat(slice(m, 1, size(m) - 1), array(named_struct('s', element_at(m, -1).s, 'e', greatest(element_at(m, -1).e, x.e), 'kind', element_at(m, -1).kind))),
-        concat(m, array(x))))"""
-    built = f"""aggregate(_merged, named_struct('at', 0, 'parts', cast(array() as array<string>)),
-      (o, x) -> named_struct('at', x.e, 'parts', concat(o.parts, array(substring(`{text}`, o.at + 1, x.s - o.at), concat('[', upper(x.kind), ']')))),
-      o -> concat(array_join(o.parts, ''), substring(`{text}`, o.at + 1)))"""
-    out = df.withColumn("_merged", F.expr(merged))
-    return out.withColumn(text, F.when(F.size("_merged") > 0, F.expr(built)).otherwise(F.col(text))).drop("_merged").withColumnsRenamed(own)
+    out = df.withColumn("_x", F.expr(f"array_sort(transform({pii}, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind)))"))
+    out = out.withColumn("_to", F.expr(_REACHED))  # how far the spans before each reach
+    out = out.withColumn("_i", F.expr("filter(if(size(_x) > 0, sequence(0, size(_x) - 1), cast(array() as array<int>)), i -> _x[i].s >= _to[i])"))
+    last = "array_max(transform(_x, x -> x.e))"
+    out = out.withColumn("_m", F.expr(f"transform(_i, (i, j) -> named_struct('s', _x[i].s, 'e', if(j + 1 < size(_i), _to[get(_i, j + 1)], {last}), 'kind', _x[i].kind))"))
+    out = out.withColumns({"_b": F.when(F.size("_m") > 0, _blocks(text)), "_n": F.length(text)})
+    pieces = f"transform(_m, (x, j) -> concat({_cut('_b', 'if(j > 0, get(_m, j - 1).e, 0)', 'x.s')}, '[', upper(x.kind), ']'))"
+    whole = f"concat(array_join({pieces}, ''), {_cut('_b', 'array_max(transform(_m, x -> x.e))', '_n')})"
+    return out.withColumn(text, F.when(F.size("_m") > 0, F.expr(whole)).otherwise(F.col(text))).drop("_x", "_to", "_i", "_m", "_b", "_n").withColumnsRenamed(own)
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
