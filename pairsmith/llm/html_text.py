@@ -11,6 +11,7 @@ import heapq
 import html
 import itertools
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +25,7 @@ _TOKEN = re.compile(
     r"|<([A-Za-z][^\s/>]*)((?:[^>=\"']++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>",
     re.S,
 )
+_COMMENT = re.compile(r"<!--(?:-?>|.*--!?>)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 #: Element names and words of class, id and role attributes.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +46,8 @@ _NOISE = frozenset(
 )
 #: Words that are also common in names of pages and sections; the others of _NOISE seldom name what holds an article.
 _UNSURE = frozenset("sponsor sponsors promotion sidebar sidebars footer foot header banner notice notices notification alert cookie subscribe subscription share social widget widgets overlay skip print legal disclaimer copyright toc menu nav".split())
+#: Words that on a paragraph or heading say how it looks rather than that it is noise.
+_LOOKS = frozenset("legal print header social skip overlay toc widget widgets".split())
 #: Words before which a noise word says what a page has or lacks: has-sidebar, no-ads.
 _HAVING = frozenset("has have having with without no".split())
 _NOISE_ROLES = frozenset("banner navigation complementary contentinfo search dialog alertdialog alert menu menubar toolbar form".split())
@@ -93,6 +97,8 @@ def _is_noise(tag: str, attributes: str) -> tuple[int, bool]:
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
             words = _noise_words(value)
+            if tag in _GIVES:
+                words -= _LOOKS
             if words and (tag not in ("html", "body", "main", "article") or tag == "article" and words & {"comment", "comments", "ad", "advert", "related", "promo"}):
                 noise = max(noise, _MAYBE if words <= _UNSURE and tag != "article" else _WORD)
         elif name == "role":
@@ -111,6 +117,8 @@ def tree(page: str) -> Element:
     """The block elements of a page that are not hidden, with their texts as children in page order."""
     root = here = Element("body", None, _KEPT, False)
     stack: list[tuple[str, Element]] = []  # open elements, inline ones too, with the block element outside each
+    opened: dict[str, list[int]] = defaultdict(list)  # their places in the stack by name; "!" marks inline ones that are noise
+    blocks: list[int] = []
     text: list[str] = []
     linked = anchors = 0
 
@@ -128,29 +136,40 @@ def tree(page: str) -> Element:
         text.clear()
         linked = 0
 
+    def push(name: str) -> None:
+        opened[name].append(len(stack))
+        if name in _BLOCK:
+            blocks.append(len(stack))
+        stack.append((name, here))
+
     def close(upto: int) -> None:
         nonlocal here, anchors
         while len(stack) > upto:
-            tag, outer = stack.pop()
-            if tag == "a":
+            name, outer = stack.pop()
+            opened[name].pop()
+            if name == "a":
                 anchors = max(0, anchors - 1)
-            if tag in _BLOCK:
+            if name in _BLOCK:
+                blocks.pop()
+            if name in _BLOCK or name[-1] == "!":
                 flush()
                 here = outer
 
-    at, n = 0, len(page)
-    for m in iter(lambda: _TOKEN.search(page, at), None):
+    at, n, end = 0, len(page), page.rfind(">") + 1  # no tag ends after the last ">"
+    while (m := _TOKEN.search(page, at, end)) is not None:
         if m.start() > at and here.noise < _HIDDEN:
             text.append(part := page[at : m.start()])
             if anchors:
                 linked += len(part)
         at = m.end()
+        if at == end and (m[0].startswith("<!--") and not _COMMENT.fullmatch(m[0]) or m[0].startswith("<![CDATA[") and not m[0].endswith("]]>")):
+            at = n  # it never ends
         if m[2]:
             tag = m[2].lower()
             if tag in _RAW:
                 if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                    at = end.end() if end else n
+                    stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                    at = stop.end() if stop else n
                 continue
             if tag in _VOID:
                 if tag == "hr":
@@ -158,55 +177,40 @@ def tree(page: str) -> Element:
                 elif tag in ("br", "wbr") and here.noise < _HIDDEN:
                     text.append(" " if tag == "br" else "")
                 continue
-            if tag in _CLOSES_P and stack:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] in _BLOCK:
-                        break
+            if tag in _CLOSES_P and blocks and stack[blocks[-1]][0] == "p":
+                close(blocks[-1])
             if tag in _CLOSED_BY:
                 own, stop = _CLOSED_BY[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in stop:
+                while True:
+                    i = max((opened[x][-1] for x in own if opened[x]), default=-1)
+                    if i < 0 or any(opened[x] and opened[x][-1] > i for x in stop):
+                        break
+                    close(i)
+                    if tag not in ("tr", "tbody", "tfoot"):
                         break
-                    if stack[i][0] in own:
-                        close(i)
-                        if tag not in ("tr", "tbody", "tfoot"):
-                            break
             if tag in ("html", "body"):
                 flush()
                 continue
             noise, trusted = (_HIDDEN, False) if here.noise == _HIDDEN else _is_noise(tag, m[3])
             if tag in _BLOCK or noise and here.noise < _HIDDEN:
                 flush()
-                stack.append((tag, here))
+                push(tag if tag in _BLOCK else tag + "!")  # an inline element that is noise: a block to drop
                 here = Element(tag, here, noise, trusted)
-                if tag not in _BLOCK:
-                    stack[-1] = (tag + "!", stack[-1][1])  # an inline element that is noise: a block to drop
             else:
-                stack.append((tag, here))
+                push(tag)
                 if tag == "a":
                     anchors += 1
         elif m[1]:
             tag = m[1].lower()
-            block = tag in _BLOCK
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag + "!":
-                    close(i + 1)
-                    flush()
-                    here = stack.pop()[1]
-                    break
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if not block and stack[i][0] in _BLOCK:
-                    break
-            else:
-                if tag == "p" or tag == "br":
-                    flush()
+            i = max(opened[tag][-1] if opened[tag] else -1, opened[tag + "!"][-1] if opened[tag + "!"] else -1)
+            if i >= 0 and (tag in _BLOCK or not blocks or i > blocks[-1]):
+                close(i)
+            elif tag == "p":
+                flush()
+            elif tag == "br" and here.noise < _HIDDEN:
+                text.append(" ")
     if at < n and here.noise < _HIDDEN:
-        rest = page[at:]
+        rest = re.split(r"<!--|<!\[CDATA\[", page[at:], maxsplit=1)[0]  # what follows never ends
         text.append(rest[: cut] if (cut := rest.rfind("<")) >= 0 and re.match(r"[A-Za-z/!]", rest[cut + 1 : cut + 2]) else rest)
     close(0)
     flush()
