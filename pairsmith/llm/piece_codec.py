@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from pairsmith.llm.base import mapped, slices, table
+from pairsmith.llm.merges import Borders, Trie
 
 SPACE = "▁"
 INFINITY = float("inf")
@@ -33,61 +34,11 @@ LONG = 64
 COMPOSED = 1 << 17
 #: Units that are memoised, in each of two generations, so that common units stay.
 KNOWN = 150_000
-#: Slots of the table of pairs of pieces that were compared (eight bytes each); a new pair takes its slot.
-PAIRS = 1 << 20
 #: In place of a piece: a character that becomes bytes.
 BYTES = -2
 codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
-class Trie:
-    """Pieces as a double array: the child of node n by a character of class c is node base[n] + c, if its parent is n."""
-
-    def __init__(self, pieces: dict[str, int]) -> None:
-        letters = sorted({c for p in pieces for c in p})
-        number = {c: i for i, c in enumerate(letters, 1)}
-        self.of_char = np.zeros(0x110000, np.int32)  # 0: a character of no piece
-        self.of_char[list(map(ord, letters))] = np.arange(1, len(letters) + 1)
-        children: dict[str, list[int]] = {"": []}
-        for p in {p[:i] for p in pieces for i in range(1, len(p) + 1)}:
-            children.setdefault(p[:-1], []).append(number[p[-1]])
-        size = 2 * sum(map(len, children.values())) + 3 * len(letters) + 64
-        self.base, self.parent, self.piece = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-        taken, free, at = bytearray(size), 1, {"": 0}
-        taken[0] = 1
-        for prefix in sorted(children, key=lambda p: (len(p), p)):
-            own = sorted(children[prefix])
-            while taken[free]:
-                free += 1
-            base = max(free - own[0], 0) if own else 0
-            while any(taken[base + c] for c in own):
-                base += 1
-            self.base[n := at[prefix]] = base
-            for c in own:
-                taken[base + c] = 1
-                self.parent[base + c] = n
-                at[prefix + letters[c - 1]] = base + c
-        for p, i in pieces.items():
-            self.piece[at[p]] = i
-
-    def arcs(self, letters: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Composition with character classes of which ``left`` follow, the own one included, in the same unit: start, last
-        place and piece of each arc."""
-        starts, node, n, out = np.arange(len(letters)), np.zeros(len(letters), np.int32), 0, []
-        while len(starts):
-            own = letters[starts + n]
-            to = self.base[node] + own
-            alive = (own > 0) & (self.parent[to] == node)
-            starts, node = starts[alive], to[alive]
-            piece = self.piece[node]
-            ends = piece >= 0
-            out.append((starts[ends], starts[ends] + n, piece[ends]))
-            n += 1
-            more = left[starts] > n
-            starts, node = starts[more], node[more]
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
 class Codec:
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -104,28 +55,23 @@ class Codec:
                 self.id[p] = i
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.written = pa.array([bytes([self.of_byte[i]]) if i in self.of_byte else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)], pa.binary())
-        # what two pieces make; the last merge of each piece and when it comes (characters are there from the start)
-        joint = {self.id[p[:k]] << 32 | self.id[p[k:]]: i for p, i in self.id.items() for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id}
-        self.joined = np.array(sorted(joint), np.int64)
-        self.joint = np.array([joint[k] for k in self.joined.tolist()], np.int64)
-        self.halves = np.zeros((2, len(self.pieces)), np.int64)
-        self.when = np.full(len(self.pieces), -1.0)
+        halves, when = np.zeros((2, len(self.pieces)), np.int64), np.full(len(self.pieces), -1.0)
         live = {}  # pieces that merges can make
         for p, i in self.id.items():
             if len(p) > 1:
-                self.when[i] = self.cost[i]
+                when[i] = self.cost[i]
                 if (parts := self.parts_of(p)) is None:
                     continue
-                self.halves[:, i] = parts
+                halves[:, i] = parts
             live[p] = i
         self.trie = Trie(live)
+        self.borders = Borders({(self.id[p[:k]], self.id[p[k:]]): self.cost[i] for p, i in self.id.items() for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id}, when, halves)
         self.single = np.zeros(0x110000, bool)
         self.single[[ord(p) for p in live if len(p) == 1]] = True
         self.beside = {p[i : i + 2] for p in live for i in range(len(p) - 1)}  # pairs of characters within pieces
         self.unit = self.units()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.compared = np.full(PAIRS, -1, np.int64)
 
     def parts_of(self, piece: str) -> tuple[int, int] | None:
         """The last merge that makes a piece out of its characters; None if it is never made."""
@@ -158,35 +104,9 @@ class Codec:
     def normalise(text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
-    def crossed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether merges would join piece b to piece a before it: their borders are followed back through the merges that
-        made both, latest first, for one that would have come earlier."""
-        x, y, rows = a.copy(), b.copy(), np.arange(len(a))
-        until, ties = np.full(len(a), INFINITY), np.zeros(len(a), bool)
-        out = np.zeros(len(a), bool)
-        while len(rows):
-            key = x << 32 | y
-            at = np.minimum(np.searchsorted(self.joined, key), len(self.joined) - 1)
-            cost = np.where(self.joined[at] == key, self.cost[self.joint[at]], INFINITY)
-            hit = (cost < until) | ties & (cost == until) & (cost < INFINITY)
-            out[rows[hit]] = True
-            left = self.when[x] > self.when[y]
-            more = ~hit & (left | (self.when[y] >= 0))
-            x, y, rows, left = x[more], y[more], rows[more], left[more]
-            until, ties = np.where(left, self.when[x], self.when[y]), ~left  # of merges with one score the leftmost comes first
-            x, y = np.where(left, self.halves[1, x], x), np.where(left, y, self.halves[0, y])
-        return out
-
     def weights(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Of arcs for a piece after another one (or after bytes, which merge with nothing)."""
-        key = before << 24 | piece
-        slot = (key * 0x9E3779B97F4A7C1 >> 20) & (PAIRS - 1)
-        held = self.compared[slot]
-        new = np.flatnonzero((held >> 1 != key) & (before >= 0))
-        if len(new):
-            held[new] = key[new] << 1 | self.crossed(before[new], piece[new])
-            self.compared[slot[new]] = held[new]
-        return np.where((held & 1 == 1) & (before >= 0), INFINITY, self.cost[piece])
+        return np.where(self.borders.joins(before, piece), INFINITY, self.cost[piece])
 
     def relaxed(self, units: list[str]) -> list[bytes]:
         """The piece ids, four bytes each, on the path of least weight through each unit.
@@ -339,8 +259,8 @@ def codec(path: str) -> Codec:
 def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns, n_chars, n_pieces, ids, decoded (the text read back from ids) and exact (decoded = text).
 
-    model: path of a SentencePiece BPE model with byte fallback. Null text counts as empty: no ids, decoded empty. Whole
-    texts; rows stay in their partitions, so neither hot keys nor repeated rows matter. exact is false only for texts
+    model: path of a SentencePiece BPE model with byte fallback. Null text counts as empty: no ids, decoded empty; an
+    empty table gives an empty one. Whole texts; rows stay in their partitions, so neither hot keys nor repeated rows matter. exact is false only for texts
     that hold U+2581 themselves, which the model writes as a space. Memory: 2 MB of text at a time (or one text, if
     longer) and bounded tables of known units."""
     kept = [df.schema[c] for c in keep]

@@ -3,7 +3,8 @@
 Two deterministic transducers run one after the other. The splitter reads character classes and emits a mark where a
 pre-token begins; texts are cut into chunks, each chunk becomes a map from entry state to exit state, the maps compose
 in a parallel prefix scan, and a second pass emits the marks. The merger reads the bytes of a pre-token; each of its
-transitions is annotated with the change in the number of tokens, and its states are compiled when first needed.
+transitions is annotated with the number of tokens up to there, and its states are compiled for the pre-tokens of a
+batch that were not seen before.
 
 The merger rests on a property of byte-pair encoding: the tokens of a prefix are the tokens of a shorter prefix plus
 one more, and that last token is the only suffix token which the rules never join with the token before it.
@@ -15,6 +16,7 @@ import functools
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from pairsmith.llm.base import mapped, slices, table
+from pairsmith.llm.merges import Borders, Trie
 
 #: Characters with the Unicode property White_Space.
 WHITE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -35,6 +38,8 @@ STATES = 13
 #: Marks: a pre-token begins at this character, at the one before it.
 HERE, BEFORE = 1, 2
 CHUNK = 256
+#: Bytes of new pre-tokens that are compiled at a time; longer ones go alone; pre-tokens that are remembered.
+COMPILED, LONG, KNOWN = 1 << 17, 256, 300_000
 
 
 @functools.cache
@@ -127,116 +132,97 @@ def starts(codes: np.ndarray) -> np.ndarray:
 
 
 class Merger:
-    """The transducer over bytes. Its compiled states are dropped when they are more than MOST."""
+    """The transducer over bytes, compiled for the pre-tokens of a batch: a state for each of their prefixes, with its last
+    token; a transition for each next byte, annotated with the change in the number of tokens.
 
-    MOST = 300_000
+    A transition's target is found among the tokens that end with its byte: the one that no merge joins to the last token
+    of the state it begins at. All transitions from one place of the pre-tokens are compiled at once."""
 
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> None:
-        self.ids = vocab
-        self.longest = max(map(len, vocab))
-        self.rank: dict[tuple[int, int], int] = {}
-        self.made: dict[int, int] = {i: -1 for i in vocab.values()}
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
+        size = max(vocab.values()) + 1
+        halves, when = np.zeros((2, size), np.int64), np.full(size, -1.0)
+        ranks: dict[tuple[int, int], float] = {}
+        whole = {}
         for r, (a, b) in enumerate(merges):
-            if (pair := (vocab[a], vocab[b])) not in self.rank and (whole := vocab.get(a + b)) is not None:
-                self.rank[pair] = r
-                if whole not in self.left:
-                    self.made[whole], self.left[whole], self.right[whole] = r, *pair
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.alone: dict[int, bool] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.next: dict[int, int] = {}
-        self.last, self.count, self.change = [-1], [0], [0]
-
-    def never_join(self, a: int, b: int) -> bool:
-        """Whether the tokens of a followed by b are a, b: no rule crosses the border while both grow."""
-        if (known := self.apart.get((a, b))) is not None:
-            return known
-        x, y, until = a, b, 1 << 60
-        while True:
-            if (r := self.rank.get((x, y))) is not None and r < until:
-                out = False
-                break
-            if self.made[x] > self.made[y]:
-                until, x = self.made[x], self.right[x]
-            elif self.made[y] < 0:
-                out = True
-                break
-            else:
-                until, y = self.made[y] + 1, self.left[y]
-        if len(self.apart) > 2_000_000:
-            self.apart.clear()
-        self.apart[a, b] = out
-        return out
-
-    def is_whole(self, t: int, text: bytes) -> bool:
-        """Whether the tokens of this token's bytes are that one token."""
-        if (known := self.alone.get(t)) is None:
-            parts = [self.ids[bytes([b])] for b in text]
-            while len(parts) > 1:
-                r, i = min((self.rank.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-                if r == 1 << 60:
-                    break
-                parts[i : i + 2] = [next(w for w in (self.ids.get(self.bytes_of(parts[i]) + self.bytes_of(parts[i + 1])),) if w is not None)]
-            known = self.alone[t] = parts == [t]
-        return known
+            if (pair := (vocab[a], vocab[b])) not in ranks and (t := vocab.get(a + b)) is not None:
+                ranks[pair] = r
+                if t not in whole:
+                    whole[t] = pair
+                    halves[:, t], when[t] = pair, r
+        self.borders = Borders(ranks, when, halves)
+        ids = np.fromiter(whole, np.int64, len(whole))
+        early = dict(zip(ids.tolist(), self.borders.crossed(*halves[:, ids], after_first=True).tolist(), strict=True))
+        live = {t for b, t in vocab.items() if len(b) == 1}
+        for t, (a, b) in whole.items():  # in the order of merges: halves come before what they make
+            if not early[t] and a in live and b in live:
+                live.add(t)
+        self.trie = Trie({b.decode("latin-1"): t for b, t in vocab.items() if t in live})
+
+    def tokens(self, pieces: list[bytes]) -> list[int]:
+        """The number of tokens of each piece: the sum of the changes on its way. Pieces of similar lengths are quickest."""
+        trie, data = self.trie, np.frombuffer(b"".join(pieces), np.uint8)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-size, kind="stable")  # those that go on come first
+        begins = (np.cumsum(size) - size)[order]
+        going = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0)) + 1))
+        last, total = np.full(len(data) + 1, -1), np.zeros(len(data) + 1, np.int64)  # of all states, the start being the first
+        out, state, first, made = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), 0, 1
+        # tokens that may go on, by state: the state they began at and their node
+        begun, node, cuts = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(2, np.int64)
+        for i, n in enumerate(going[:-1].tolist()):
+            key, own = np.unique(state[:n] << 8 | data[begins[:n] + i], return_inverse=True)
+            before, new = key >> 8, np.arange(len(key))
+            many = cuts[before + 1] - cuts[before]
+            owner = np.repeat(new, many)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + cuts[before][owner]
+            owner, start, node = np.concatenate((owner, new)), np.concatenate((begun[at], first + before)), np.concatenate((node[at], np.zeros(len(new), np.int64)))
+            letter = trie.of_char[key & 255][owner]
+            to = trie.base[node] + letter
+            alive = (letter > 0) & (trie.parent[to] == node)
+            owner, start, node = owner[alive], start[alive], to[alive]
+            ends = np.flatnonzero(trie.token[node] >= 0)
+            token = trie.token[node[ends]].astype(np.int64)
+            good = ~self.borders.joins(last[start[ends]], token)
+            to, token = made + owner[ends[good]], token[good]
+            last[to], total[to] = token, total[start[ends[good]]] + 1
+            if last[made : made + len(key)].min() < 0:
+                raise ValueError("bytes without a token")
+            done = going[i + 1]
+            out[order[done:n]] = total[made + own[done:]]
+            order_of = np.argsort(owner, kind="stable")
+            begun, node, cuts = start[order_of], node[order_of], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(key)))))
+            state, first, made = own, made, made + len(key)
+        return out.tolist()
+
+    def alone(self, piece: bytes) -> int:
+        """As ``tokens``, for a piece too long to go place by place with others."""
+        base, parent, token, of_char = self.lists
+        last, total, going = [-1], [0], []
+        known: dict[int, bool] = {}
+        for i, b in enumerate(piece):
+            letter, more = of_char[b], []
+            found = None
+            for start, node in [*going, (i, 0)]:
+                to = base[node] + letter
+                if not letter or parent[to] != node:
+                    continue
+                more.append((start, to))
+                if found is None and (t := token[to]) >= 0:
+                    key = last[start] << 24 | t
+                    if (joins := known.get(key)) is None:
+                        joins = known[key] = bool(self.borders.joins(np.array([last[start]]), np.array([t]))[0])
+                    if not joins:
+                        found = (t, total[start] + 1)
+            if found is None:
+                raise ValueError("bytes without a token")
+            last.append(found[0])
+            total.append(found[1])
+            going = more
+        return total[-1]
 
     @functools.cached_property
-    def texts(self) -> dict[int, bytes]:
-        return {i: b for b, i in self.ids.items()}
-
-    def bytes_of(self, t: int) -> bytes:
-        return self.texts[t]
-
-    def step(self, piece: bytes, i: int, last: list[int], count: list[int]) -> tuple[int, int]:
-        """The last token and the number of tokens of the first i bytes, from those of shorter prefixes."""
-        for n in range(min(i, self.longest), 0, -1):
-            t = self.ids.get(piece[i - n : i])
-            if t is not None and (self.is_whole(t, piece[i - n : i]) if n == i else self.never_join(last[i - n], t)):
-                return t, count[i - n] + 1
-        raise ValueError(f"no tokens for {piece[:i]!r}")
-
-    def tokens(self, piece: bytes) -> int:
-        if len(piece) > 48:  # such pre-tokens seldom come twice: no states are kept for them
-            last, count = [-1], [0]
-            for i in range(1, len(piece) + 1):
-                t, c = self.step(piece, i, last, count)
-                last.append(t)
-                count.append(c)
-            return count[-1]
-        if len(self.last) > self.MOST:
-            self.clear()
-        state, path, total = 0, [0], 0
-        for i, b in enumerate(piece, 1):
-            to = self.next.get(state << 8 | b)
-            if to is None:
-                t, c = self.step(piece, i, [self.last[s] for s in path], [self.count[s] for s in path])
-                to = self.next[state << 8 | b] = len(self.last)
-                self.last.append(t)
-                self.count.append(c)
-                self.change.append(c - self.count[state])
-            total += self.change[to]
-            path.append(to)
-            state = to
-        return total
-
-
-class Known(dict):
-    """Token counts of pre-tokens, a bounded number of them kept."""
-
-    def __init__(self, merger: Merger) -> None:
-        self.merger = merger
-
-    def __missing__(self, piece: str) -> int:
-        n = self.merger.tokens(piece.encode())
-        if len(piece) <= 32:
-            if len(self) > 300_000:
-                self.clear()
-            self[piece] = n
-        return n
+    def lists(self) -> tuple[list[int], ...]:
+        return self.trie.base.tolist(), self.trie.parent.tolist(), self.trie.token.tolist(), self.trie.of_char[:256].tolist()
 
 
 def byte_letters() -> dict[str, int]:
@@ -256,7 +242,8 @@ class Counter:
         added = set(self.special)
         vocab = {raw(k): v for k, v in spec["model"]["vocab"].items() if k not in added}
         merges = [tuple(map(raw, m.split(" ") if isinstance(m, str) else m)) for m in spec["model"]["merges"]]
-        self.known = Known(Merger(vocab, merges))
+        self.merger = Merger(vocab, merges)
+        self.known: dict[str, int] = {}
 
     def parts(self, text: str) -> tuple[list[str], int]:
         """The text between special strings, and how many of those there are."""
@@ -280,13 +267,42 @@ class Counter:
             codes[o : o + n] = np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32)
         begins = starts(codes)
         bounds = np.searchsorted(begins, offsets).tolist()
-        get = self.known.__getitem__
+        flat: list[str] = []
+        ends = [0]
         for k, p in enumerate(parts):
-            lo, hi = bounds[k], bounds[k + 1]
-            at = (begins[lo:hi] - offsets[k]).tolist()  # the last is the END mark
-            counts[owner[k]] += sum(map(get, [p[a:b] for a, b in zip(at, at[1:], strict=False)]))
+            at = (begins[bounds[k] : bounds[k + 1]] - offsets[k]).tolist()  # the last is the END mark
+            flat += [p[a:b] for a, b in pairwise(at)]
+            ends.append(len(flat))
+        got = list(map(self.known.get, flat))
+        missing = [i for i, n in enumerate(got) if n is None]
+        found = self.learned({flat[i] for i in missing})
+        for i in missing:
+            got[i] = found[flat[i]]
+        for k, (a, b) in enumerate(pairwise(ends)):
+            counts[owner[k]] += sum(got[a:b])
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        self.known.update((p, n) for p, n in found.items() if len(p) <= 32)
         return counts
 
+    def learned(self, pieces: set[str]) -> dict[str, int]:
+        """Token counts of new pre-tokens, about COMPILED bytes of them at a time, short ones first."""
+        out: dict[str, int] = {}
+        held, size = [], 0
+        for p in sorted(pieces, key=len):
+            raw = p.encode("utf-8", "surrogatepass")
+            if len(raw) > LONG:
+                out[p] = self.merger.alone(raw)
+                continue
+            out[p] = 0
+            held.append((p, raw))
+            size += len(raw)
+            if size >= COMPILED:
+                out.update(zip((p for p, _ in held), self.merger.tokens([r for _, r in held]), strict=True))
+                held, size = [], 0
+        out.update(zip((p for p, _ in held), self.merger.tokens([r for _, r in held]), strict=True))
+        return out
+
 
 @functools.lru_cache(2)
 def counter(path: str) -> Counter:
@@ -297,7 +313,8 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
     """The ``keep`` columns, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row's whole text.
 
     tokenizer: path of a byte-level BPE file of the tokenizers library. Special strings in a text count one token each,
-    as that library does by default. Null text counts as empty: 0 bytes, 0 tokens. Rows stay as they are, repeated
+    as that library does by default. Null text counts as empty: 0 bytes, 0 tokens; an
+    empty table gives an empty one. Rows stay as they are, repeated
     ones too; no row is moved between partitions, so a hot key costs nothing. Memory: about 4 MB of text at a time
     (or one text, if longer), and bounded tables of known pre-tokens and states."""
     out = pa.schema([*((pa.field(c, pa.int64())) for c in keep), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
