@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import mapped, table
+from pairsmith.llm.base import mapped, slices, table
 from pairsmith.llm.token_count import counter
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -128,20 +128,31 @@ def chat_windows(df: DataFrame, tokenizer: str, budget: int = 512, history: int
     window's start that earlier windows had), n_tokens and over_budget, for the rows (conv_id, turn, role, text) of df.
 
     Turns go by turn, then role and text (nulls first); repeated rows are turns of their own; null role and text count
-    as empty; null conv_id is a conversation of its own. A turn is never divided: one that is longer than the budget
-    has a window to itself (with the system turn) and over_budget. A conversation is read in order by one task, turn by
-    turn from sorted spillable rows, with one window in memory; conversations are spread by hash of their id."""
-    rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    as empty; null conv_id is a conversation of its own; no rows give no windows. A turn is never divided: one that is
+    longer than the budget has a window to itself (with the system turn) and over_budget.
+
+    Tokens are counted where the rows lie, before they are spread by conversation, so that the costly part of a
+    conversation that holds a third of all rows is shared by all tasks. What is left to one task is to sum up counts and
+    to join texts, turn by turn from sorted spillable rows, with one window in memory."""
+    rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("n_turns", pa.int64()), ("n_repeated", pa.int64()), ("n_tokens", pa.int64()), ("over_budget", pa.bool_())])
 
-    def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Turn]]:
+    def formatted(part: pa.RecordBatch) -> tuple[list[str], list[str]]:
+        roles = [r or "" for r in part.column("role").to_pylist()]
+        return roles, [f"{OPEN}{format_role(r)}\n{escape(t or '')}{CLOSE}" for r, t in zip(roles, part.column("text").to_pylist(), strict=True)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                roles = [r or "" for r in part.column("role").to_pylist()]
-                texts = [f"{OPEN}{format_role(r)}\n{escape(t or '')}{CLOSE}" for r, t in zip(roles, part.column("text").to_pylist(), strict=True)]
-                for conv, role, text, n in zip(part.column("conv_id").to_pylist(), roles, texts, c.count(texts), strict=True):
+            for part in slices(batch, "text", 1 << 20):
+                yield part.append_column("n", pa.array(c.count(formatted(part)[1]), pa.int64()))
+
+    counted = rows.transform(mapped, count, "conv_id long, turn long, role string, text string, n long").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+    def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Turn]]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                for conv, role, text, n in zip(part.column("conv_id").to_pylist(), *formatted(part), part.column("n").to_pylist(), strict=True):
                     yield conv, Turn(role, text, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,29 +167,41 @@ def chat_windows(df: DataFrame, tokenizer: str, budget: int = 512, history: int
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    return rows.transform(mapped, run, "conv_id long, window long, text string, loss array<struct<s:long,e:long>>, n_turns long, n_repeated long, n_tokens long, over_budget boolean")
+    return counted.transform(mapped, run, "conv_id long, window long, text string, loss array<struct<s:long,e:long>>, n_turns long, n_repeated long, n_tokens long, over_budget boolean")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars of each conversation, from nothing
     but the windows of ``chat_windows``: their texts are parsed, repeats left out, spans cut from the texts."""
-    rows = formatted.select("conv_id", "window", "text", "loss", "n_repeated").repartition("conv_id").sortWithinPartitions("conv_id", "window")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each window adds, parsed where the windows lie."""
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                n, turns, loss, chars = [], [], [], []
+                for r in part.to_pylist():
+                    fresh = parse(r["text"])[r["n_repeated"] :]
+                    n.append(len(fresh))
+                    turns.append("".join(f"{role}\n{text}\n" for role, text in fresh))
+                    loss.append("".join(unescape(r["text"][x["s"] : x["e"]]) for x in r["loss"]))
+                    chars.append(len(r["text"]))
+                yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("window"), pa.array(n, pa.int64()), pa.array(turns, pa.string()), pa.array(loss, pa.string()), pa.array(chars, pa.int64())], ["conv_id", "window", "n", "turns", "loss", "chars"])
+
+    rows = formatted.select("conv_id", "window", "text", "loss", "n_repeated").transform(mapped, parts, "conv_id long, window long, n long, turns string, loss string, chars long")
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = (r for b in batches for at in range(0, b.num_rows, 256) for r in b.slice(at, 256).to_pylist())
+        each = (r for b in batches for at in range(0, b.num_rows, 256) for r in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True))
         out = []
-        for conv, own in groupby(each, key=lambda r: r["conv_id"]):
+        for conv, own in groupby(each, key=lambda r: r[0]):
             n = chars = loss_chars = 0
             turns, loss = hashlib.sha256(), hashlib.sha256()
-            for r in own:
-                for role, text in parse(r["text"])[r["n_repeated"] :]:
-                    turns.update(f"{role}\n{text}\n".encode())
-                    n += 1
-                chars += len(r["text"])
-                for span in r["loss"]:
-                    part = unescape(r["text"][span["s"] : span["e"]])
-                    loss_chars += len(part)
-                    loss.update(part.encode())
+            for _, _, more, text, target, size in own:
+                n += more
+                chars += size
+                loss_chars += len(target)
+                turns.update(text.encode())
+                loss.update(target.encode())
             out.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
             if len(out) >= 5000:
                 yield _batch(out)
