@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,11 +42,11 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of successive turns as a pair table: ids are conv_id * 1000 + turn."""
+    """Pairs of successive turns as a pair table: ids are conv_id * 1000000 + turn."""
     c = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("rtable_role"), F.col("text").alias("rtable_text"))
     out = c.join(nxt, ["conv_id", "turn"])
-    return out.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ltable_id"), (F.col("conv_id") * 1000 + F.col("turn") + 1).alias("rtable_id"), F.col("role").alias("ltable_role"), F.col("text").alias("ltable_text"), "rtable_role", "rtable_text")
+    return out.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("ltable_id"), (F.col("conv_id") * 1000000 + F.col("turn") + 1).alias("rtable_id"), F.col("role").alias("ltable_role"), F.col("text").alias("ltable_text"), "rtable_role", "rtable_text")
 
 
 def named(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,12 +65,9 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidate pairs of vectors: neighbours by id among those of one label."""
-    from pyspark.sql import Window
-
+    """Candidate pairs of vectors of one label: those with the same signs in one of two bands of components."""
     v = vectors(spark, sf)
-    nxt = F.lead("value").over(Window.partitionBy("label").orderBy("value"))
-    return v.select(F.col("value").alias("l"), nxt.alias("r")).where("r is not null")
+    return values.banded_pairs(v, max(2, math.ceil(math.log2(max(v.count(), 1) / 40))), within="label")
 
 
 def r6(c) -> F.Column:
@@ -85,11 +83,13 @@ def qgm(c: str, q: int = 3) -> str:
     return f"list_distinct(list_filter(list_transform(range(1, greatest(length({c}) - {q} + 2, 1)), lambda i: substring({c}, i, {q})), lambda g: regexp_full_match(g, '[A-Za-z0-9]{{{q}}}')))"
 
 
-TURNS = "p AS (SELECT a.conv_id * 1000 + a.turn AS ltable_id, a.conv_id * 1000 + a.turn + 1 AS rtable_id, a.role AS ltable_role, a.text AS ltable_text, b.role AS rtable_role, b.text AS rtable_text FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+TURNS = "p AS (SELECT a.conv_id * 1000000 + a.turn AS ltable_id, a.conv_id * 1000000 + a.turn + 1 AS rtable_id, a.role AS ltable_role, a.text AS ltable_text, b.role AS rtable_role, b.text AS rtable_text FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
 NAMED = "p AS (SELECT c_custkey AS ltable_id, s_suppkey AS rtable_id, c_name AS ltable_name, s_name AS rtable_name, c_acctbal AS ltable_bal, s_acctbal AS rtable_bal FROM customer JOIN supplier ON c_nationkey = s_nationkey)"
 SETS = f"s AS (SELECT ltable_id, rtable_id, {dlm('ltable_text')} AS a, {dlm('rtable_text')} AS b FROM p), n AS (SELECT ltable_id, rtable_id, len(list_intersect(a, b)) AS o, len(a) AS x, len(b) AS y FROM s)"
 GOLD = "g AS (SELECT a.doc_id AS id1, b.doc_id AS id2 FROM documents a JOIN documents b ON a.text = b.text AND a.text <> '' AND a.doc_id < b.doc_id)"
-VPAIRS = "vp AS (SELECT * FROM (SELECT vec_id AS l, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r IS NOT NULL)"
+VPAIRS = """sg AS (SELECT vec_id, label, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS s FROM embeddings),
+bk AS (SELECT vec_id, label, i, substring(s, 1 + 16 * i, (SELECT greatest(2, CAST(ceil(log2(count(*) / 40.0)) AS INTEGER)) FROM embeddings)) AS k FROM sg, (SELECT CAST(unnest([0, 1]) AS INTEGER) AS i)),
+vp AS (SELECT DISTINCT x.vec_id AS l, y.vec_id AS r FROM bk x JOIN bk y ON x.label = y.label AND x.i = y.i AND x.k = y.k AND x.vec_id < y.vec_id)"""
 
 
 def cosine(a: str, b: str) -> str:
@@ -167,13 +167,22 @@ l AS (SELECT ltable_id, rtable_id, unnest({dlm('ltable_text')}) AS tok FROM p),
 m AS (SELECT coalesce(l.ltable_id, r.ltable_id) AS ltable_id, coalesce(l.rtable_id, r.rtable_id) AS rtable_id, coalesce(l.tok, r.tok) AS tok, l.tok IS NOT NULL AS il, r.tok IS NOT NULL AS ir FROM l FULL JOIN r ON l.ltable_id = r.ltable_id AND l.rtable_id = r.rtable_id AND l.tok = r.tok),
 q AS (SELECT ltable_id, rtable_id, sum(CASE WHEN il AND ir THEN w ELSE 0 END) AS o, sum(CASE WHEN il THEN w ELSE 0 END) AS x, sum(CASE WHEN ir THEN w ELSE 0 END) AS y FROM m JOIN d USING (tok) GROUP BY 1, 2)
 SELECT ltable_id, rtable_id, round(o / (x + y - o) + o / sqrt(x * y) + 2 * o / (x + y) + o / least(x, y), 6) AS score FROM q"""
+WEIGHTED_ALL = WEIGHTED[: WEIGHTED.rindex("SELECT ltable_id")]
 
 
-@query(WEIGHTED)
+@query(WEIGHTED + " ORDER BY 3 DESC, 1, 2 LIMIT 100")
 def k2_topk_weighted(spark, sf):
     c = read(spark, sf, "conversations")
     w = tokens.idf(c.select(F.explode(tokens.dlm(F.col("text"))).alias("tok")), c.count())
-    return blocking.weighted_scores(turns(spark, sf), "ltable_text", "rtable_text", w).withColumn("score", r6("score"))
+    return blocking.best(blocking.weighted_scores(turns(spark, sf), "ltable_text", "rtable_text", w).withColumn("score", r6("score")), 100)
+
+
+@query(WEIGHTED_ALL + "SELECT ltable_id, rtable_id, round(o, 6) AS overlap, round(o / (x + y - o), 6) AS jac, round(o / sqrt(x * y), 6) AS cos, round(2 * o / (x + y), 6) AS dice, round(o / least(x, y), 6) AS coeff FROM q")
+def m6_m10_weighted(spark, sf):
+    c = read(spark, sf, "conversations")
+    w = tokens.idf(c.select(F.explode(tokens.dlm(F.col("text"))).alias("tok")), c.count())
+    sums = blocking.weighted_sums(turns(spark, sf), "ltable_text", "rtable_text", w)
+    return sums.select(*PAIR, *(r6(similarity.weighted(n, F.col("o"), F.col("x"), F.col("y"))).alias(n) for n in ("overlap", "jac", "cos", "dice", "coeff")))
 
 
 @query(f"WITH {NAMED} SELECT ltable_id, rtable_id, CAST(levenshtein(ltable_name, rtable_name) AS DOUBLE) AS lev, round(1 - levenshtein(ltable_name, rtable_name) / greatest(length(ltable_name), length(rtable_name)), 6) AS lev_sim, CAST(ltable_name = rtable_name AS DOUBLE) AS exm FROM p")
@@ -199,7 +208,7 @@ def m18_cosine(spark, sf):
 
 @query()
 def m15_jaro_winkler(spark, sf):
-    p = read(spark, sf, "part").select("p_name").distinct().join(read(spark, sf, "part").select("p_type").distinct())
+    p = read(spark, sf, "part").select("p_name", "p_type").distinct()
     return p.select("p_name", "p_type", r6(similarity.slow("jaro_winkler")(F.col("p_name"), F.col("p_type"))).alias("jw"), r6(similarity.slow("monge_elkan")(F.col("p_name"), F.col("p_type"))).alias("me"))
 
 
@@ -331,15 +340,15 @@ def k1_topk_ta(spark, sf):
     return blocking.top_k(turns(spark, sf), 100, "ltable_text", "rtable_text").withColumn("score", r6("score"))
 
 
-@query(f"WITH {TURNS}, {SETS} SELECT ltable_id, rtable_id, round(0.75 * coalesce(o / (x + y - o), 0) + 0.25 * coalesce(CASE WHEN ltable_role = rtable_role THEN 1 ELSE 0 END, 0), 6) AS score FROM n JOIN p USING (ltable_id, rtable_id)")
+@query(f"WITH {TURNS}, {SETS} SELECT ltable_id, rtable_id, round(0.75 * coalesce(o / (x + y - o), 0) + 0.25 * coalesce(CASE WHEN ltable_role = rtable_role THEN 1 ELSE 0 END, 0), 6) AS score FROM n JOIN p USING (ltable_id, rtable_id) ORDER BY 3 DESC, 1, 2 LIMIT 100")
 def k3_topk_scores(spark, sf):
     rules = parse_rules("2\ntext_text_jac_dlm_dc0_dlm_dc0 + 0.5\nrole_role_exm + 1\n")
-    return blocking.rule_scores(turns(spark, sf), rules, [3.0, 1.0]).select(*PAIR, r6("score").alias("score"))
+    return blocking.best(blocking.rule_scores(turns(spark, sf), rules, [3.0, 1.0]).select(*PAIR, r6("score").alias("score")), 100)
 
 
-@query(f"WITH {TURNS}, w AS (SELECT ltable_id, rtable_id, list_filter(string_split_regex(ltable_text, '[ \"'',\\\\\\t\\r\\n]+'), lambda x: x <> '') AS a, list_filter(string_split_regex(rtable_text, '[ \"'',\\\\\\t\\r\\n]+'), lambda x: x <> '') AS b FROM p), l AS (SELECT ltable_id, rtable_id, tok, count(*) AS x FROM (SELECT ltable_id, rtable_id, unnest(a) AS tok FROM w) GROUP BY ALL), r AS (SELECT ltable_id, rtable_id, tok, count(*) AS y FROM (SELECT ltable_id, rtable_id, unnest(b) AS tok FROM w) GROUP BY ALL) SELECT ltable_id, rtable_id, round(sum(least(coalesce(x, 0), coalesce(y, 0))) / sum(greatest(coalesce(x, 0), coalesce(y, 0))), 6) AS score FROM l FULL JOIN r USING (ltable_id, rtable_id, tok) GROUP BY 1, 2")
+@query(f"WITH {TURNS}, w AS (SELECT ltable_id, rtable_id, list_filter(string_split_regex(ltable_text, '[ \"'',\\\\\\t\\r\\n]+'), lambda x: x <> '') AS a, list_filter(string_split_regex(rtable_text, '[ \"'',\\\\\\t\\r\\n]+'), lambda x: x <> '') AS b FROM p), l AS (SELECT ltable_id, rtable_id, tok, count(*) AS x FROM (SELECT ltable_id, rtable_id, unnest(a) AS tok FROM w) GROUP BY ALL), r AS (SELECT ltable_id, rtable_id, tok, count(*) AS y FROM (SELECT ltable_id, rtable_id, unnest(b) AS tok FROM w) GROUP BY ALL) SELECT ltable_id, rtable_id, round(sum(least(coalesce(x, 0), coalesce(y, 0))) / sum(greatest(coalesce(x, 0), coalesce(y, 0))), 6) AS score FROM l FULL JOIN r USING (ltable_id, rtable_id, tok) GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 100")
 def k10_syntactic_slim(spark, sf):
-    return blocking.multiset_jaccard(turns(spark, sf), "ltable_text", "rtable_text").withColumn("score", r6("score"))
+    return blocking.best(blocking.multiset_jaccard(turns(spark, sf), "ltable_text", "rtable_text").withColumn("score", r6("score")), 100)
 
 
 @query("WITH t AS (SELECT count(*) AS n FROM customer) SELECT 'c_name' AS attr, 'str_eq_1w' AS type UNION ALL SELECT 'c_mktsegment', 'str_eq_1w' UNION ALL SELECT 'c_acctbal', 'numeric'")
@@ -389,12 +398,12 @@ def v7_two_hop(spark, sf):
     return values.two_hop(semantic(spark, sf), vectors(spark, sf), 0.1)
 
 
-SCORED = f"s AS (SELECT a.vec_id AS ltable_id, b.vec_id AS rtable_id, {cosine('a.embedding', 'b.embedding')} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"
+SCORED = f"{VPAIRS}, s AS (SELECT l AS ltable_id, r AS rtable_id, {cosine('a.embedding', 'b.embedding')} AS score FROM vp JOIN embeddings a ON a.vec_id = l JOIN embeddings b ON b.vec_id = r)"
 
 
 def scored(spark, sf):
-    v = vectors(spark, sf)
-    p = v.toDF("ltable_id", "a", "label").join(v.toDF("rtable_id", "b", "label"), "label").where("ltable_id < rtable_id")
+    v = vectors(spark, sf).drop("label")
+    p = vector_pairs(spark, sf).toDF(*PAIR).join(v.toDF("ltable_id", "a"), "ltable_id").join(v.toDF("rtable_id", "b"), "rtable_id")
     return p.select(*PAIR, similarity.vector_cosine(F.col("a"), F.col("b")).alias("score"))
 
 
@@ -440,8 +449,9 @@ def down_sql(table: str, key: str, own: bool) -> str:
     pair = "SELECT DISTINCT least(l, r) AS ltable_id, greatest(l, r) AS rtable_id" if own else "SELECT l AS ltable_id, r AS rtable_id"
     return f"""WITH picked AS (SELECT {key}, text FROM {table} ORDER BY {order_sql(key)}, {key} LIMIT 20), t AS (SELECT doc_id AS l, unnest({dlm('text')}) AS w FROM documents WHERE {free}), u AS (SELECT {key} AS r, unnest({dlm('text')}) AS w FROM picked),
 near AS (SELECT l, r FROM (SELECT l, r, count(*) AS n FROM t JOIN u USING (w) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, l) <= 10),
-pool AS (SELECT doc_id AS l FROM documents WHERE {free} ORDER BY {order_sql('doc_id', 1)}, doc_id LIMIT 40), have AS (SELECT r, count(*) AS k FROM near GROUP BY 1),
-rest AS (SELECT l, {key} AS r, row_number() OVER (PARTITION BY {key} ORDER BY (({order_sql('l')}) * 31 + {order_sql(key)}) % 2147483648, l) AS i FROM pool, picked WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.l = pool.l AND n.r = {key}))
+pool AS (SELECT doc_id AS l, row_number() OVER (ORDER BY {order_sql('doc_id', 1)}, doc_id) - 1 AS i FROM documents WHERE {free} QUALIFY i < 840), m AS (SELECT count(*) AS m FROM pool), have AS (SELECT r, count(*) AS k FROM near GROUP BY 1),
+asks AS (SELECT {key} AS r, row_number() OVER (ORDER BY {order_sql(key)}, {key}) - 1 AS i FROM picked), runs AS (SELECT r, (i * 40 + j) % m AS i FROM asks, m, range(0, least(40, m)) t(j)),
+rest AS (SELECT l, r, row_number() OVER (PARTITION BY r ORDER BY (({order_sql('l')}) * 31 + {order_sql('r')}) % 2147483648, l) AS i FROM runs JOIN pool USING (i) WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.l = pool.l AND n.r = runs.r))
 {pair} FROM (SELECT l, r FROM near UNION ALL SELECT l, rest.r FROM rest LEFT JOIN have ON have.r = rest.r WHERE i <= 20 - coalesce(k, 0))"""
 
 
@@ -570,7 +580,7 @@ def a6_recall_curve(spark, sf):
 
 
 UTILITY_RULES = "3\ntext_text_jac_dlm_dc0_dlm_dc0 + 0.05\ntext_text_overlap_dlm_dc0_dlm_dc0 + 2\nrole_role_exm + 1\n"
-UTILITY = f"""{TURNS}, {SETS}, v AS (SELECT n.ltable_id // 1000 % 2 AS label, unnest([
+UTILITY = f"""{TURNS}, {SETS}, v AS (SELECT n.ltable_id // 1000000 % 2 AS label, unnest([
 {{'rule': 'text_text_jac_dlm_dc0_dlm_dc0', 'attr': 'text', 'v': CASE WHEN x > 0 AND y > 0 THEN o / (x + y - o) END, 't': 0.05}},
 {{'rule': 'text_text_overlap_dlm_dc0_dlm_dc0', 'attr': 'text', 'v': CASE WHEN x > 0 AND y > 0 THEN o END, 't': 2}},
 {{'rule': 'role_role_exm', 'attr': 'role', 'v': CASE WHEN ltable_role = rtable_role THEN 1 ELSE 0 END, 't': 1}}]) AS f FROM n JOIN p USING (ltable_id, rtable_id)),
@@ -580,7 +590,7 @@ w AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0),
 
 
 def utility(spark, sf):
-    sample = turns(spark, sf).withColumn("label", (F.floor(F.col("ltable_id") / 1000) % 2).cast("int"))
+    sample = turns(spark, sf).withColumn("label", (F.floor(F.col("ltable_id") / 1000000) % 2).cast("int"))
     return blocking.rule_utility(sample, parse_rules(UTILITY_RULES))
 
 
@@ -648,6 +658,11 @@ def f4_interchangeable(spark, sf):
     return _features(features.interchangeable(brand_pairs(spark, sf), brand_groups(spark, sf), "brand", brand_features()))
 
 
+@query(f"WITH {BRANDS}, m AS (SELECT x.group_id AS gl, y.group_id AS gr, x.value AS a, y.value AS b FROM v x, v y), z AS (SELECT gl, gr, max({BRAND_JAC}) AS jac, max(levenshtein(a, b)) AS lev, max(CAST(a = b AS DOUBLE)) AS exm FROM m GROUP BY 1, 2) SELECT ltable_id, rtable_id, round(jac, 6) AS brand_brand_jac_qgm_3_qgm_3, CAST(lev AS DOUBLE) AS brand_brand_lev, exm AS brand_brand_exm FROM pp JOIN z ON gl = right(ltable_brand, 1) AND gr = right(rtable_brand, 1)")
+def f8_most_alike(spark, sf):
+    return _features(features.feature_table(brand_pairs(spark, sf), brand_features(), "largest", "brand", brand_groups(spark, sf)))
+
+
 def brand_edges(spark, sf):
     v = brand_groups(spark, sf).select("value", F.substring("value", 1, 7).alias("k"))
     return v.toDF("src", "k").join(v.toDF("dst", "k"), "k").where("src <> dst").select("src", "dst")
@@ -705,13 +720,27 @@ def v14_restore(spark, sf):
 
 
 # more samples
-@query(f"""WITH c AS (SELECT conv_id * 1000 + turn AS id, role, text, {dlm('text')} AS s, {qgm('text')} AS g FROM conversations WHERE role IN ('user', 'assistant')), t AS (SELECT id, role, unnest(s) AS w FROM c),
+@query(f"""WITH c AS (SELECT conv_id * 1000000 + turn AS id, role, text, {dlm('text')} AS s, {qgm('text')} AS g FROM conversations WHERE role IN ('user', 'assistant')), t AS (SELECT id, role, unnest(s) AS w FROM c),
 n AS (SELECT a.id AS l, b.id AS r, count(*) AS o FROM t a JOIN t b ON a.w = b.w AND a.role = 'user' AND b.role = 'assistant' GROUP BY 1, 2)
 SELECT l AS ltable_id, r AS rtable_id FROM n JOIN c x ON x.id = l JOIN c y ON y.id = r WHERE o >= ceil(0.1 / 1.1 * (len(x.s) + len(y.s)) - 1e-5) AND len(x.g) > 0 AND len(y.g) > 0 AND len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) >= 0.1""")
 def d4_cluster_rs(spark, sf):
-    c = read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("_id"), "role", "text")
-    gold = spark.createDataFrame([], "id1 long, id2 long")
-    return sampling.cluster_sample_rs(c.where("role = 'user'"), c.where("role = 'assistant'"), 0.1, "text", gold, 0.1)
+    l, r = _by_role(spark, sf)
+    return sampling.cluster_sample_rs(l, r, 0.1, "text", spark.createDataFrame([], "id1 long, id2 long"), 0.1)
+
+
+def _by_role(spark, sf):
+    c = read(spark, sf, "conversations").select((F.col("conv_id") * 1000000 + F.col("turn")).alias("_id"), "role", "text")
+    return c.where("role = 'user'"), c.where("role = 'assistant'")
+
+
+@query(f"""WITH c AS (SELECT conv_id * 1000000 + turn AS id, role, {dlm('text')} AS s FROM conversations WHERE role IN ('user', 'assistant')), t AS (SELECT id, role, unnest(s) AS w FROM c),
+n AS (SELECT a.id AS l, b.id AS r, count(*) AS o FROM t a JOIN t b ON a.w = b.w AND a.role = 'user' AND b.role = 'assistant' GROUP BY 1, 2)
+SELECT l AS ltable_id, r AS rtable_id FROM n JOIN c x ON x.id = l JOIN c y ON y.id = r WHERE o >= ceil(0.1 / 1.1 * (len(x.s) + len(y.s)) - 1e-5)""")
+def d7_cluster_rs_dense(spark, sf):
+    """The other branch: more than a tenth of the candidates are gold, so all stay."""
+    l, r = _by_role(spark, sf)
+    gold = joins.set_join(l, r, "jac", 0.1, tokens.dlm(F.col("text"))).where("ltable_id % 2 = 0 or rtable_id % 2 = 0").select(F.col("ltable_id").alias("id1"), F.col("rtable_id").alias("id2"))
+    return sampling.cluster_sample_rs(l, r, 0.1, "text", gold, 0.1)
 
 
 @query(f"WITH t AS (SELECT item_id, {dlm('text')} AS s FROM benchmark), q AS (SELECT a.item_id AS ltable_id, b.item_id AS rtable_id, len(list_intersect(a.s, b.s)) AS o, len(a.s) AS x, len(b.s) AS y FROM t a JOIN t b ON a.item_id < b.item_id) SELECT ltable_id, rtable_id, CAST(o >= 4 AS INTEGER) AS label, round(o / (x + y - o), 6) AS jac FROM q WHERE o > 0")
@@ -751,3 +780,31 @@ def l9_mixture(spark, sf):
 
     table, names = _labelled_turns(spark, sf)
     return matching.mixture(table.drop("label"), names)
+
+
+@query()
+def l11_two_rounds(spark, sf):
+    """Matches of benchmark items and documents by the whole path: rules, features, forest, groups, second round."""
+    from pairsmith.operators import matching
+    from pairsmith.plans.rules import parse_features
+
+    a = docs(spark, sf).withColumn("kind", F.substring("text", 1, 24))
+    pairs = blocking.block(parse_rules("1\ntext_text_jac_dlm_dc0_dlm_dc0 + 0.5\n"), a)
+    fs = parse_features("3\ntext_text_jac_dlm_dc0_dlm_dc0\ntext_text_cos_dlm_dc0_dlm_dc0\nkind_kind_lev\n")
+    return matching.two_rounds(a, None, pairs, same_text(spark, sf), fs, "kind")
+
+
+@query()
+def v1_value_vectors(spark, sf):
+    """Vectors of part names, trained on them."""
+    from pairsmith.operators import embeddings
+
+    t = read(spark, sf, "part").select("p_name")
+    return embeddings.value_vectors(embeddings.train_vectors(t, "p_name", dim=16, rounds=5), t, "p_name")
+
+
+@query()
+def j11_sketch_filter(spark, sf):
+    """Pairs of successive turns that the sketches of eight hashes let through."""
+    s = lambda c: joins.sketch(tokens.dlm(F.col(c)), 8)
+    return turns(spark, sf).where(joins.may_be_similar(s("ltable_text"), s("rtable_text"), 0.25)).select(*PAIR)

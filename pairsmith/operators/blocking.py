@@ -137,11 +137,21 @@ def top_k(rows: DataFrame, k: int, left: str, right: str) -> DataFrame:
     return scored.join(F.broadcast(small)).where("score is not null or _all").drop("_all").orderBy(F.desc_nulls_last("score"), *PAIR).limit(k).select(*PAIR, "score")
 
 
-def weighted_scores(rows: DataFrame, left: str, right: str, weights: DataFrame) -> DataFrame:
-    """K2: pairs with the sum of the four idf-weighted measures; weights: (tok, w)."""
+def best(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
+    """The k pairs with the highest score, ties to smaller ids."""
+    return scored.where(F.col(score).isNotNull()).orderBy(F.desc(score), *PAIR).limit(k)
+
+
+def weighted_sums(rows: DataFrame, left: str, right: str, weights: DataFrame) -> DataFrame:
+    """A2, M6: pairs with o, x and y: the sums of weights (tok, w) of shared tokens (the weighted overlap) and of both sides."""
     side = lambda c: rows.select(*PAIR, F.explode(tokens.dlm(F.col(c))).alias("tok"))
     both = side(left).withColumn("l", F.lit(1)).join(side(right).withColumn("r", F.lit(1)), [*PAIR, "tok"], "full").join(weights.select("tok", "w"), "tok")
-    sums = both.groupBy(*PAIR).agg(*(F.sum(F.when(c, F.col("w")).otherwise(0.0)).alias(n) for n, c in (("o", F.col("l").isNotNull() & F.col("r").isNotNull()), ("x", F.col("l").isNotNull()), ("y", F.col("r").isNotNull()))))
+    return both.groupBy(*PAIR).agg(*(F.sum(F.when(c, F.col("w")).otherwise(0.0)).alias(n) for n, c in (("o", F.col("l").isNotNull() & F.col("r").isNotNull()), ("x", F.col("l").isNotNull()), ("y", F.col("r").isNotNull()))))
+
+
+def weighted_scores(rows: DataFrame, left: str, right: str, weights: DataFrame) -> DataFrame:
+    """K2: pairs with the sum of the four idf-weighted measures; weights: (tok, w)."""
+    sums = weighted_sums(rows, left, right, weights)
     score = functools.reduce(Column.__add__, (similarity.weighted(n, F.col("o"), F.col("x"), F.col("y")) for n in ("jac", "cos", "dice", "coeff")))
     return sums.withColumn("score", score).select(*PAIR, "score")
 

@@ -203,3 +203,17 @@ def members(pairs: DataFrame, gold: DataFrame, inside: bool = True) -> DataFrame
     """The pairs that are (or are not) in gold (id1, id2)."""
     g = gold.select(F.col("id1").alias("ltable_id"), F.col("id2").alias("rtable_id"))
     return pairs.join(g, ["ltable_id", "rtable_id"], "left_semi" if inside else "left_anti")
+
+
+def sketch(tokens: Column, k: int) -> Column:
+    """The k smallest hashes of a token set."""
+    return F.slice(F.array_sort(F.transform(tokens, lambda t: F.xxhash64(t))), 1, k)
+
+
+def may_be_similar(a: Column, b: Column, threshold: float) -> Column:
+    """An approximate prefilter for jaccard: whether of the m smallest hashes of both sketches together, m being the
+    smaller sketch's size, the share that both hold reaches the threshold. Empty sketches pass nothing."""
+    m = F.least(F.size(a), F.size(b))
+    low = F.slice(F.array_sort(F.array_union(a, b)), F.lit(1), m)
+    both = F.size(F.filter(low, lambda h: F.array_contains(a, h) & F.array_contains(b, h)))
+    return (m > 0) & (both >= F.ceil(m * threshold - EPS))

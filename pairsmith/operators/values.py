@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -14,10 +15,16 @@ PAIR = ["ltable_id", "rtable_id"]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once, in the session's checkpoint folder (a temporary one only where none is set)."""
+    """df computed once, in the session's checkpoint folder. Where none is set, a temporary one serves a local master, whose
+    tasks all see it; on a cluster that is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="ckpt")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -35,6 +42,16 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "c")
 
 
+def banded_pairs(vectors: DataFrame, bits: int, bands: int = 2, key: str = "value", vec: str = "vec", within: str | None = None) -> DataFrame:
+    """Candidate pairs (l, r) of vectors, l < r, for V3 to V12: those whose components have the same signs throughout one of
+    several bands of ``bits`` components, 16 apart. A band halves what a vector meets with every bit, so that bits of
+    log2(rows) less a constant keep candidates in proportion to rows. within: a column that both must share."""
+    signs = F.array_join(F.transform(vec, lambda x: F.when(x > 0, "1").otherwise("0")), "")
+    rows = vectors.select(F.col(key).alias("k"), (F.col(within) if within else F.lit(0)).alias("w"), signs.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
+    rows = rows.select("k", "w", "band", F.substr("s", F.col("band") * 16 + 1, F.lit(bits)).alias("s"))
+    return rows.withColumnRenamed("k", "l").join(rows.withColumnRenamed("k", "r"), ["w", "band", "s"]).where("l < r").select("l", "r").distinct()
+
+
 def semantic_edges(pairs: DataFrame, vectors: DataFrame, tau: float, words: bool = False, key: str = "value", vec: str = "vec") -> DataFrame:
     """V3, V5, V6: src < dst and sim of candidate pairs (l, r) whose vectors reach tau by cosine (or, for lists of word
     vectors, by the coherent factor)."""
@@ -83,7 +100,7 @@ def normalise_values(df: DataFrame, attr: str, grouped: DataFrame) -> DataFrame:
 
 def rewrite_negatives(pairs: DataFrame, edges: DataFrame, vectors: DataFrame, attr: str, key: str = "value", vec: str = "vec") -> DataFrame:
     """In rejected pairs, values with neighbours give way to the neighbour most similar to the other side; if both
-    sides have some, to the best pair of neighbours."""
+    sides have some, to the best pair of neighbours (of pairs alike to 12 decimals the smallest)."""
     l, r = f"ltable_{attr}", f"rtable_{attr}"
     near = both_ways(edges)
     v = vectors.select(key, vec)
@@ -91,7 +108,7 @@ def rewrite_negatives(pairs: DataFrame, edges: DataFrame, vectors: DataFrame, at
     rows = rows.withColumns({"_nl": F.coalesce("_nl", l), "_nr": F.coalesce("_nr", r)})
     rows = rows.join(v.select(F.col(key).alias("_nl"), F.col(vec).alias("_a")), "_nl", "left").join(v.select(F.col(key).alias("_nr"), F.col(vec).alias("_b")), "_nr", "left")
     rows = rows.withColumn("_s", F.coalesce(similarity.vector_cosine(F.col("_a"), F.col("_b")), F.lit(-2.0)))
-    best = rows.groupBy(*PAIR).agg(F.min_by(F.struct("_nl", "_nr"), F.struct(-F.col("_s"), F.col("_nl"), F.col("_nr"))).alias("x"))
+    best = rows.groupBy(*PAIR).agg(F.min_by(F.struct("_nl", "_nr"), F.struct(-F.round("_s", 12), F.col("_nl"), F.col("_nr"))).alias("x"))
     return pairs.join(best, PAIR).withColumns({l: F.col("x._nl"), r: F.col("x._nr")}).drop("x")
 
 

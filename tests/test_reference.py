@@ -211,7 +211,7 @@ def test_stream_links_new_rows(spark, tmp_path):
 
 
 def test_every_reference_query_has_sql_or_a_reason():
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"m15_jaro_winkler", "l1_forest", "l9_mixture"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"m15_jaro_winkler", "l1_forest", "l9_mixture", "l11_two_rounds", "v1_value_vectors", "j11_sketch_filter"}
 
 
 def test_entry(spark):
@@ -231,3 +231,196 @@ def test_set_join_of_hot_tokens(spark, monkeypatch):
     for known in (1 << 20, 2):
         monkeypatch.setattr(joins, "FREQUENT", known)
         assert rows(joins.set_join(df, None, "overlap", 3, tokens.dlm(F.col("v"))).select(*PAIR)) == want
+
+
+def test_generated_features():
+    fs = features.generate_features({"name": "str_eq_1w", "price": "numeric", "odd": "un_determined", "flag": "boolean"})
+    assert [f.name for f in fs if f.lattr == "price"] == ["price_price_exm", "price_price_anm", "price_price_lev"]
+    assert [f.name for f in fs if f.lattr == "flag"] == ["flag_flag_exm"] and not [f for f in fs if f.lattr == "odd"]
+    assert "name_name_jac_qgm_3_qgm_3" in [f.name for f in fs]
+
+
+def test_informative_columns_and_reconciled_types(spark):
+    df = spark.createDataFrame([(1.0, 2.0, None), (1.0, 3.0, None)], "a double, b double, c double")
+    assert tables.informative(df, df.columns) == ["b"] and tables.informative(df.limit(0), df.columns) == []
+    assert tables.reconcile({"a": "numeric", "b": "str_eq_1w"}, {"a": "str_bt_1w_5w", "b": "boolean"}) == {"a": "str_bt_1w_5w", "b": "str_eq_1w"}
+
+
+@pytest.mark.parametrize("name,a,b,want", [("hamming", "abcd", "abxyz", 3.0), ("jaro", "MARTHA", "MARHTA", 0.944444), ("monge_elkan", "paul johnson", "johson paule", 0.956667), ("smith_waterman", "xxabcxx", "yabcy", 3.0), ("needleman_wunsch", "abc", "abd", 2.0), ("affine", "abc", "abc", 3.0), ("affine", "abcdef", "af", -0.5), ("jaro_winkler", "", "a", 0.0)])
+def test_measures_without_built_ins(spark, name, a, b, want):
+    got = spark.createDataFrame([(a, b)], "a string, b string").select(similarity.slow(name)(F.col("a"), F.col("b"))).first()[0]
+    assert got == pytest.approx(want, abs=2e-2 if name == "monge_elkan" else 1e-5)
+    assert spark.createDataFrame([(a, None)], "a string, b string").select(similarity.slow(name)(F.col("a"), F.col("b"))).first()[0] is None
+
+
+def test_weighted_overlap(spark):
+    p = spark.createDataFrame([(0, 1, "a b c", "b c d")], "ltable_id long, rtable_id long, l string, r string")
+    w = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 0.5), ("d", 4.0)], "tok string, w double")
+    assert rows(blocking.weighted_sums(p, "l", "r", w)) == [(0, 1, 2.5, 3.5, 6.5)]
+
+
+def test_sketches(spark):
+    a, b = ([f"t{i}" for i in range(*r)] for r in ((0, 400), (40, 440)))
+    s = spark.createDataFrame([(a, b, [f"u{i}" for i in range(400)], [])], "a array<string>, b array<string>, c array<string>, d array<string>")
+    s = s.select(*(joins.sketch(F.col(c), 64).alias(c) for c in "abcd"))
+    got = s.select(joins.may_be_similar(F.col("a"), F.col("b"), 0.6), joins.may_be_similar(F.col("a"), F.col("c"), 0.2), joins.may_be_similar(F.col("a"), F.col("d"), 0.1), joins.may_be_similar(F.col("a"), F.col("a"), 1.0)).first()
+    assert tuple(got) == (True, False, False, True)
+
+
+def test_value_files(spark, tmp_path):
+    (tmp_path / "pairs.txt").write_text("2\nnew york\nnyc\nrome\nroma\n")
+    assert rows(io.read_value_pairs(spark, str(tmp_path / "pairs.txt"))) == [("new york", "nyc"), ("rome", "roma")]
+    (tmp_path / "vec.txt").write_text("2\nnew york\n2 0.5 -1\nnyc\n2 1e-3 2\n")
+    assert rows(io.read_value_vectors(spark, str(tmp_path / "vec.txt"))) == [("new york", [0.5, -1.0]), ("nyc", [0.001, 2.0])]
+    (tmp_path / "words.txt").write_text("2\nnew york\n2\n2 1 0\n2 0 1\nnyc\n1\n2 3 4\n")
+    assert rows(io.read_word_vectors(spark, str(tmp_path / "words.txt"))) == [("new york", [[0.0, 1.0], [1.0, 0.0]]), ("nyc", [[3.0, 4.0]])]
+    (tmp_path / "grp.txt").write_text("3\n0 2\nnyc\nnew york\n1 1\n2 2\nrome\nroma\n")
+    assert rows(io.read_groups(spark, str(tmp_path / "grp.txt"))) == [(0, "new york"), (0, "nyc"), (2, "roma"), (2, "rome")]
+    v, e = spark.createDataFrame([(0, "a b"), (1, "c"), (10, "")], "id long, value string"), spark.createDataFrame([(1, 0), (0, 1), (1, 10)], "src long, dst long")
+    io.write_graph(v, e, str(tmp_path / "graph"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "graph").glob("part-*")))
+    assert text == "3 2\nv 0 a b\nv 1 c\nv 10 \ne 0 1\ne 1 10\n"
+    v2, e2 = io.read_graph(spark, str(tmp_path / "graph"))
+    assert rows(v2) == rows(v) and rows(e2) == [(0, 1), (1, 10)]
+
+
+def test_directories_and_sinks(spark, tmp_path):
+    a, b, gold = ([(i, f"{n}{i}") for i in range(5)] for n in "abg")
+    for name, data in (("table_a", a), ("table_b", b)):
+        (tmp_path / f"{name}.csv").write_text("id,name\n" + "".join(f"{i},{v}\n" for i, v in data))
+    (tmp_path / "gold.csv").write_text("id1,id2\n0,1\n")
+    got = io.load_tables(spark, str(tmp_path))
+    assert rows(got["A"]) == a and rows(got["B"]) == b and rows(got["gold"]) == [(0, 1)]
+    assert sorted(io.read_directory(spark, str(tmp_path))) == ["gold", "table_a", "table_b"]
+    (tmp_path / "other.csv").write_text("id,name\n1,x\n")
+    assert sorted(io.load_tables(spark, str(tmp_path))) == ["A", "gold"]  # four files: table_a alone
+    with pytest.raises(ValueError):
+        io.load_tables(spark, [str(tmp_path / "gold.csv")])
+    ta = got["A"]
+    pairs = spark.createDataFrame([(i, j) for i in range(5) for j in range(5)], "ltable_id long, rtable_id long").coalesce(1)
+    io.write_chunks(pairs, str(tmp_path / "res"), 10)
+    assert rows(spark.read.csv(str(tmp_path / "res/stat"), header=True)) == [("3", "25")]
+    io.write_pairs(pairs, str(tmp_path / "ids"))
+    assert spark.read.parquet(str(tmp_path / "ids")).columns == ["p1", "p2"]
+    io.write_pairs(pairs, str(tmp_path / "full"), ta)
+    assert spark.read.parquet(str(tmp_path / "full")).where("ltable_id = 1 and rtable_id = 2").select("ltable_name", "rtable_name").first() == ("a1", "a2")
+    io.write_matches(pairs.withColumn("predicted", F.when(F.col("ltable_id") == F.col("rtable_id"), 1).otherwise(0)), str(tmp_path / "m"))
+    assert (spark.read.parquet(str(tmp_path / "m/match_res")).count(), spark.read.parquet(str(tmp_path / "m/neg_match_res")).count()) == (5, 20)
+    groups = spark.createDataFrame([(0, "a1"), (0, "a3")], "group_id long, value string")
+    io.write_normalised(ta, got["B"], groups, "name", str(tmp_path / "norm"))
+    assert [r[1] for r in rows(io.read_csv(spark, str(tmp_path / "norm/normalized_A")))] == ["a0", "a1", "a2", "a1", "a4"]
+
+
+def test_value_vectors(spark):
+    from pairsmith.operators import embeddings
+
+    rng = random.Random(4)
+    topics = [["red", "green", "blue", "pink"], ["dog", "cat", "horse", "cow"]]
+    t = spark.createDataFrame([(" ".join(rng.choices(topics[i % 2], k=4)),) for i in range(400)] + [(None,), ("",), ("never seen",)], "value string")
+    model = embeddings.train_vectors(t, dim=8, rounds=10)
+    vec = {r.value: r.vec for r in embeddings.value_vectors(model, t).collect()}
+    assert vec["never seen"] == [0.0] * 8 and "" not in vec
+    again = {r.value: r.vec for r in embeddings.value_vectors(embeddings.train_vectors(t, dim=8, rounds=10), t).collect()}
+    assert again == vec
+    words = {r.value: r.vecs for r in embeddings.word_vectors(model, t).collect()}
+    assert "never seen" not in words and all(len(v) == len(set(k.split())) for k, v in words.items())
+    one = {w: spark.createDataFrame([(w,)], "value string") for w in ("red", "green", "dog")}
+    red, green, dog = (embeddings.value_vectors(model, one[w]).first().vec for w in one)
+    cos = lambda x, y: sum(p * q for p, q in zip(x, y)) / math.sqrt(sum(p * p for p in x) * sum(q * q for q in y))
+    assert cos(red, green) > cos(red, dog)
+
+
+def test_stopping_tests_of_active_learning():
+    assert matching.smoothed([1, 2, 3, 4, 5, 6]) == [1, 2, 3, 4, 5, 6] and matching.smoothed([0, 0, 5, 0, 0]) == [0, 0, 1, 0, 0]
+    assert matching.stops([0.5, 0.995, 0.995, 0.995]) == "sure" and matching.stops([0.5, 0.6]) is None
+    assert matching.stops([0.7 + 0.001 * (i % 2) for i in range(20)]) == "converged"
+    assert matching.stops([0.5 + 0.01 * i for i in range(15)] + [0.6 - 0.02 * i for i in range(15)]) == "degrading"
+
+
+def _two_kinds(spark, n=600):
+    rng = random.Random(7)
+    data = [(i, n + i, y, rng.gauss(0.8 if y else 0.2, 0.08), rng.gauss(0.9 if y else 0.3, 0.08)) for i in range(n) for y in (int(i % 3 == 0),)]
+    return spark.createDataFrame(data, "ltable_id long, rtable_id long, label int, v_v_jac_dlm_dc0_dlm_dc0 double, v_v_cos_dlm_dc0_dlm_dc0 double")
+
+
+def test_active_learning(spark):
+    t = _two_kinds(spark)
+    fs = t.columns[3:]
+    model = matching.active_learning(t, fs, t.where("ltable_id < 12"), rounds=3, pool=50)
+    assert matching.apply_forest(model, t, fs).where("predicted <> label").count() <= 6
+
+
+def test_mixture_options(spark):
+    t = _two_kinds(spark)
+    fs = t.columns[3:]
+    assert matching.mixture(t, fs, blocks=[fs], transitive=True).where("(match > 0.5) <> (label = 1)").count() <= 3
+    assert matching.mixture(t.limit(0), fs).count() == 0
+    x = matching.spread_for(0.01, 0.02, 0.3, 0.015)
+    f = lambda x: math.exp(-math.log((0.01 + x) / (0.02 + x) + (0.02 + x) / (0.01 + x) + 2) - 0.3 / (0.03 + 2 * x))
+    assert f(x) == pytest.approx(f(0) + 0.015, abs=1e-9)
+
+
+def test_transitive_matches(spark):
+    scored = [(1, 2, 0.9, -1.0, -0.1), (1, 3, 0.9, -1.0, -0.1), (2, 3, 0.2, -0.5, -0.6), (7, 8, 0.9, -1.0, -0.1), (7, 9, 0.6, -0.4, -0.5)]
+    df = spark.createDataFrame(scored, "ltable_id long, rtable_id long, match double, _q0 double, _q1 double")
+    got = {r[:2]: r.match for r in matching.transitive_matches(df).collect()}
+    assert got[1, 2] * got[1, 3] <= got[2, 3] + 1e-6  # raised, or one of the others lowered
+    assert got[7, 8] * got[7, 9] <= 1e-6  # (8, 9) is no candidate
+    assert matching.transitive_matches(df.where("ltable_id = 1 and rtable_id = 2")).first().match == 0.9
+
+
+def test_whole_path_from_rules_to_matches(spark):
+    rng = random.Random(3)
+    cities = [("new york", "nyc"), ("los angeles", "la"), ("san francisco", "sf")]
+    a = [(i, f"shop {i} {i * 7} street {i % 11}", cities[i % 3][0]) for i in range(150)]
+    b = [(1000 + i, f"shop {i} {i * 7} street {i % 11}", cities[i % 3][rng.randrange(2)]) for i in range(150)]
+    a, b = (spark.createDataFrame(x, "_id long, name string, city string") for x in (a, b))
+    gold = spark.createDataFrame([(i, 1000 + i) for i in range(150)], "id1 long, id2 long")
+    pairs = blocking.block(parse_rules("1\nname_name_jac_dlm_dc0_dlm_dc0 + 0.3\n"), a, b)
+    fs = [parse_feature(x) for x in ("name_name_jac_dlm_dc0_dlm_dc0", "city_city_jac_dlm_dc0_dlm_dc0", "city_city_exm")]
+    got = matching.two_rounds(a, b, pairs, gold, fs, "city", spark.createDataFrame(cities, "src string, dst string"))
+    found = rows(got)
+    right = [r for r in found if r[0] + 1000 == r[1]]
+    assert len(found) == len({r[:2] for r in found}) and len(right) >= 0.9 * len(found) and len(right) >= 50
+    full = matching.two_rounds(a, b, pairs, gold, fs, "city", full=True)
+    assert {r[:2] for r in rows(full) if r[2] == 1} <= {(r.ltable_id, r.rtable_id) for r in pairs.collect()}
+
+
+def test_rule_combinations():
+    c = rulelearn.Condition
+    jac, cos = "v_v_jac_dlm_dc0_dlm_dc0", "v_v_cos_dlm_dc0_dlm_dc0"
+    forest = [[frozenset({c(jac, "+", 0.8)}), frozenset({c(cos, "+", 0.6), c(jac, "+", 0.2)})], [frozenset({c(jac, "+", 0.5)})], [frozenset({c(cos, "+", 0.9)})]]
+    best = rulelearn.combinations(forest)
+    for rules in best:
+        chosen = {r.feature.name: r.threshold for r in rules}
+        assert rulelearn.covered_trees(forest, chosen) >= 2
+        assert all(rulelearn.covered_trees(forest, {k: v for k, v in chosen.items() if k != f}) < 2 for f in chosen)
+    # by hand: each alone covers two trees only at its loosest threshold; together they may be tighter
+    assert [str(r) for r in rulelearn.optimal(forest)] == [str(r) for r in best[0]]
+    every = [{f: t for f, t in ((jac, x), (cos, y)) if t is not None} for x in (None, 0.8, 0.5, 0.2) for y in (None, 0.9, 0.6)]
+    valid = [e for e in every if rulelearn.covered_trees(forest, e) >= 2 and all(rulelearn.covered_trees(forest, {k: v for k, v in e.items() if k != f}) < 2 for f in e)]
+    assert {tuple(sorted((r.feature.name, r.threshold) for r in x)) for x in best} == {tuple(sorted(e.items())) for e in valid}
+    loose = parse_rules(f"2\n{jac} + 0.2\n{cos} + 0.6\n")
+    assert [str(r) for r in rulelearn.partial(forest, loose)] == [f"{jac} + 0.2000"]
+    nodes = {0: {"left": 1, "right": 2, "stats": [5, 5], "feature": 0, "at": 0.4}, 1: {"left": -1, "right": -1, "stats": [5, 0], "feature": -1, "at": 0}, 2: {"left": -1, "right": -1, "stats": [1, 3], "feature": -1, "at": 0}}
+    assert rulelearn.explain([nodes], [jac], {jac: 0.7}) == [([(jac, ">", 0.4, 0.7)], 0.75)]
+    assert rulelearn.explain([nodes], [jac], {jac: None}) == [([(jac, "<=", 0.4, 0.0)], 0.0)]
+
+
+def test_banded_pairs(spark):
+    rng = random.Random(5)
+    v = [(i, [rng.gauss(0, 1) for _ in range(32)], i % 2) for i in range(60)]
+    got = rows(values.banded_pairs(spark.createDataFrame(v, "value long, vec array<double>, label int"), 3, within="label"))
+    same = lambda x, y, at: all((x[i] > 0) == (y[i] > 0) for i in range(at, at + 3))
+    assert got == [(i, j) for i, x, p in v for j, y, q in v if i < j and p == q and (same(x, y, 0) or same(x, y, 16))]
+
+
+def test_feature_modes(spark):
+    g = spark.createDataFrame([(1, "nyc"), (1, "new york city"), (2, "york"), (2, "jorvik")], "group_id long, value string")
+    p = spark.createDataFrame([(0, 0, "nyc", "york", "x", "x"), (0, 1, "rome", "paris", "x", "y")], "ltable_id long, rtable_id long, ltable_v string, rtable_v string, ltable_w string, rtable_w string")
+    fs = [parse_feature(f"v_v_{s}") for s in ("jac_dlm_dc0_dlm_dc0", "lev")] + [parse_feature("w_w_exm")]
+    assert [tuple(r[2:]) for r in rows(features.feature_table(p, fs, "largest", "v", g))] == [(pytest.approx(1 / 3), 10.0, 1.0), (0.0, 5.0, 0.0)]
+    assert [tuple(r[2:]) for r in rows(features.feature_table(p, fs, "group", "v", g))] == [(pytest.approx(1 / 3), 4.0, 1.0), (0.0, 5.0, 0.0)]
+    assert rows(features.feature_table(p, fs)) == rows(features.extract(p, fs))
+    with pytest.raises(ValueError):
+        features.feature_table(p, fs, "graph", "v", g)
