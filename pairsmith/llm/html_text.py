@@ -376,7 +376,7 @@ def _stays(x: Element | str) -> bool:
 def extract(df: DataFrame, source: str = "html", to: str = "text") -> DataFrame:
     """df without ``source`` and with ``to``, the main text of its whole markup.
 
-    Null, empty and textless markup gives the empty text. Other columns pass unchanged (one named ``to`` is replaced);
+    Null, empty and textless markup gives the empty text, an empty table an empty one. Other columns pass unchanged (one named ``to`` is replaced);
     rows stay in their partitions, so hot hosts and repeated rows need no care. Memory: 2 MB of markup at a time, or one
     page if that is longer."""
     names = [c for c in df.columns if c not in (source, to)]

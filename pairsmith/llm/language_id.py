@@ -152,11 +152,12 @@ def identify(df: DataFrame, text: str = "text", declared: str | None = "lang", h
     the levels above it. Rejected are texts without letters (null and empty ones too: confidence 0) and texts that the
     uniform model explains better than any language, unless they declare a language that has no model: that is then
     lang_id, and the posterior of the uniform model the confidence. Missing declarations and hosts are no evidence;
-    repeated rows are decided alike; ties go to the language first in the alphabet. Without a model one is fitted on the declarations;
-    if there are none, nothing is known and every text with letters is accepted with lang_id null. Columns of the added
-    names are replaced; all others pass unchanged, whatever their names.
+    repeated rows are decided alike; ties go to the language first in the alphabet. Without a model one is fitted on the
+    declarations; if there are none, nothing is known and every text with letters is accepted with lang_id null. An empty
+    table gives an empty one. Columns of the added names are replaced; all others pass unchanged, whatever their names.
 
-    Rows move only if there are more than BROADCAST_HOSTS hosts; the join with their priors is then an ordinary one,
+    The texts are read twice, for the counts and for the result: to keep the likelihoods of the first time would mean to
+    write or to shuffle all texts with them. Rows move only if there are more than BROADCAST_HOSTS hosts; the join with their priors is then an ordinary one,
     which Spark splits where a host is hot. Counts are aggregated before they are shuffled."""
     spark = df.sparkSession
     added = ["lang_id", "lang_confidence", "lang_accepted"]

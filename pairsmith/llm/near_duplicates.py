@@ -243,7 +243,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", widt
     ``width`` words (all its words as one, if they are fewer). Rows link when of * |intersection| >= least * |union|;
     component_id is the smallest key among the rows that links reach. Rows without words (null and empty texts) have
     n_shingles 0 and link with nothing: component_id is their own key. Repeated rows, and rows with equal sets, share a
-    component; rows with one key but different texts are linked only by their texts; a null key never becomes an id
+    component; an empty table gives an empty one; rows with one key but different texts are linked only by their texts; a null key never becomes an id
     unless all keys of the component are null. Other columns are not read.
 
     The prefix rows of rare shingles are shuffled once; leaders of frequent ones are aggregated before the shuffle, and
