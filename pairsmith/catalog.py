@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,8 @@ from pyspark.sql import functions as F
 
 from pairsmith.functions import similarity, tokens
 from pairsmith.operators import blocking, features, joins, sampling, tables, values
-from pairsmith.plans.rules import parse_rules
+from pairsmith.plans.rules import parse_rules, write_rules
+from pairsmith.sources import tables as io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -206,7 +210,7 @@ def m18_cosine(spark, sf):
     return p.select("l", "r", r6(similarity.vector_cosine(F.col("a"), F.col("b"))).alias("sim"))
 
 
-@query()
+@query("WITH p AS (SELECT DISTINCT p_name, p_type, string_split(p_name, ' ') AS a, string_split(p_type, ' ') AS b FROM part) SELECT p_name, p_type, round(jaro_winkler_similarity(p_name, p_type), 6) AS jw, round(list_sum(list_transform(a, lambda x: list_max(list_transform(b, lambda y: jaro_winkler_similarity(x, y))))) / len(a), 6) AS me FROM p")
 def m15_jaro_winkler(spark, sf):
     p = read(spark, sf, "part").select("p_name", "p_type").distinct()
     return p.select("p_name", "p_type", r6(similarity.slow("jaro_winkler")(F.col("p_name"), F.col("p_type"))).alias("jw"), r6(similarity.slow("monge_elkan")(F.col("p_name"), F.col("p_type"))).alias("me"))
@@ -771,7 +775,9 @@ def l1_forest(spark, sf):
     from pairsmith.operators import matching
 
     table, names = _labelled_turns(spark, sf)
-    return matching.apply_forest(matching.train_forest(table, names), table, names).select(*PAIR, "label", "predicted")
+    names = [n for n in names if "overlap" not in n]  # the label is a threshold of the overlap
+    train, rest = sampling.split(table, "ltable_id", 0.5)
+    return matching.apply_forest(matching.train_forest(train, names), rest, names).select(*PAIR, "label", "predicted")
 
 
 @query()
@@ -803,8 +809,134 @@ def v1_value_vectors(spark, sf):
     return embeddings.value_vectors(embeddings.train_vectors(t, "p_name", dim=16, rounds=5), t, "p_name")
 
 
-@query()
+def _md5_number(t) -> F.Column:
+    """A hash that SQL has, too."""
+    return F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("long")
+
+
+@query(f"""WITH {TURNS}, s AS (SELECT ltable_id, rtable_id, list_sort(list_transform({dlm('ltable_text')}, lambda t: CAST('0x' || substring(md5(t), 1, 15) AS BIGINT)))[1:8] AS a, list_sort(list_transform({dlm('rtable_text')}, lambda t: CAST('0x' || substring(md5(t), 1, 15) AS BIGINT)))[1:8] AS b FROM p),
+m AS (SELECT *, least(len(a), len(b)) AS m FROM s) SELECT ltable_id, rtable_id FROM m WHERE m > 0 AND len(list_intersect(list_intersect(list_sort(list_distinct(list_concat(a, b)))[1:m], a), b)) >= ceil(0.25 * m - 1e-5)""")
 def j11_sketch_filter(spark, sf):
     """Pairs of successive turns that the sketches of eight hashes let through."""
-    s = lambda c: joins.sketch(tokens.dlm(F.col(c)), 8)
+    s = lambda c: joins.sketch(tokens.dlm(F.col(c)), 8, _md5_number)
     return turns(spark, sf).where(joins.may_be_similar(s("ltable_text"), s("rtable_text"), 0.25)).select(*PAIR)
+
+
+# files: what is written is read back
+def scratch(spark, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{values.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_sweep)
+    _scratch.append((spark, path))
+    return path
+
+
+_scratch: list = []
+
+
+def _sweep() -> None:
+    for spark, path in _scratch:
+        with contextlib.suppress(Exception):  # the session has ended
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@query(r"SELECT doc_id AS _id, nullif(regexp_replace(text, '\r\n?', chr(10), 'g'), '') AS text, nullif(lang, '') AS lang, nullif(source, '') AS source FROM documents")
+def s1_csv_round_trip(spark, sf):
+    """Documents with their quotes, commas and line breaks through CSV; a line break of any kind reads as one
+    line feed."""
+    path = scratch(spark, "csv")
+    io.write_csv(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source"), path)
+    return io.read_csv(spark, path)
+
+
+@query("SELECT c_custkey AS _id, c_name AS name, (SELECT count(*) FROM customer JOIN supplier ON replace(c_name, 'Customer', '') = replace(s_name, 'Supplier', '')) AS n_gold, (SELECT count(*) FROM supplier) AS n_b FROM customer")
+def s5_load_tables(spark, sf):
+    """A directory of two tables and their gold pairs."""
+    path = scratch(spark, "tables")
+    io.write_csv(read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), f"{path}/table_a.csv")
+    io.write_csv(read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), f"{path}/table_b.csv")
+    io.write_csv(j6_exact_rs(spark, sf).toDF("id1", "id2"), f"{path}/gold.csv")
+    got = io.load_tables(spark, path)
+    counts = got["gold"].agg(F.count("*").alias("n_gold")).join(io.read_directory(spark, path)["table_b"].agg(F.count("*").alias("n_b")))
+    return got["A"].join(F.broadcast(counts))
+
+
+@query("SELECT feature, sign, CAST(threshold AS DOUBLE) AS threshold FROM (VALUES ('text_text_exm', '+', 1.0), ('text_text_dice_dlm_dc0', '+', 0.9), ('text_text_jac_dlm_dc0', '+', 0.8)) AS t(feature, sign, threshold)")
+def s7_rule_file(spark, sf):
+    """Rules and features, written to a text file and read back."""
+    path = scratch(spark, "rules")
+    lines = [(i, x) for i, x in enumerate((write_rules(parse_rules(RULES_SELF))).splitlines())]
+    spark.createDataFrame(lines, "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.text(path)
+    back = parse_rules("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))  # a rule file
+    return spark.createDataFrame([("_".join(filter(None, (r.feature.lattr, r.feature.rattr, r.feature.sim, r.feature.tok, r.feature.setting))), r.sign, r.threshold) for r in back], "feature string, sign string, threshold double")
+
+
+@query(f"WITH {VPAIRS}, {edges(0.1)} SELECT src, dst FROM e")
+def s9_graph_file(spark, sf):
+    path, e = scratch(spark, "graph"), semantic(spark, sf)
+    v = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().withColumn("value", F.concat(F.lit("v "), "id"))
+    io.write_graph(v, e, path)
+    return io.read_graph(spark, path)[1]
+
+
+@query("SELECT c.c_custkey AS ltable_id, s.s_suppkey AS rtable_id, c_name AS ltable_name, s_name AS rtable_name FROM customer c JOIN supplier s ON replace(c_name, 'Customer', '') = replace(s_name, 'Supplier', '')")
+def s13_pair_sink(spark, sf):
+    """Pairs with the attributes of both rows."""
+    path = scratch(spark, "pairs")
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("_id"), F.col("c_name").alias("name"))
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("_id"), F.col("s_name").alias("name"))
+    io.write_pairs(j6_exact_rs(spark, sf), path, c, s)
+    return spark.read.parquet(path)
+
+
+@query("SELECT count(*) AS n_pairs, true AS in_chunks FROM customer JOIN supplier ON replace(c_name, 'Customer', '') = replace(s_name, 'Supplier', '')")
+def s12_chunked_sink(spark, sf):
+    """The counts that are written beside a result in files of 30 rows."""
+    path = scratch(spark, "chunks")
+    io.write_chunks(j6_exact_rs(spark, sf).coalesce(1), path, 30)
+    stat = spark.read.csv(f"{path}/stat", header=True)
+    return stat.select(F.col("n_pairs").cast("long").alias("n_pairs"), (F.col("n_files") == F.ceil(F.col("n_pairs") / 30)).alias("in_chunks"))
+
+
+@query(f"WITH {TURNS}, {SETS} SELECT ltable_id, rtable_id, CAST(o >= 2 AS INTEGER) AS predicted FROM n")
+def s16_match_sinks(spark, sf):
+    path = scratch(spark, "matches")
+    t, names = _labelled_turns(spark, sf)
+    io.write_matches(t.select(*PAIR, F.col("label").alias("predicted")), path)
+    return spark.read.parquet(f"{path}/match_res").where("predicted = 1").unionByName(spark.read.parquet(f"{path}/neg_match_res").where("predicted = 0"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n_other")
+def s17_model_store(spark, sf):
+    """How many predictions differ after a forest was saved and loaded."""
+    from pyspark.ml import PipelineModel
+
+    from pairsmith.operators import matching
+
+    path = scratch(spark, "model")
+    table, names = _labelled_turns(spark, sf)
+    model = matching.train_forest(table, names)
+    model.write().save(path)
+    both = matching.apply_forest(model, table, names).select(*PAIR, "probability").join(matching.apply_forest(PipelineModel.load(path), table, names).select(*PAIR, F.col("probability").alias("again")), PAIR)
+    return both.agg(F.count(F.when(F.col("probability") != F.col("again"), 1)).alias("n_other"))
+
+
+@query("SELECT p_partkey AS _id, min(p_brand) OVER (PARTITION BY right(p_brand, 1)) AS p_brand FROM part")
+def s18_normalised_tables(spark, sf):
+    path = scratch(spark, "normalised")
+    io.write_normalised(read(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand"), None, brand_groups(spark, sf), "p_brand", path)
+    return io.read_csv(spark, f"{path}/normalized_A")
+
+
+@query("SELECT unnest(['c_name_c_name_jac_qgm_3_qgm_3', 'c_name_c_name_cos_qgm_3_qgm_3', 'c_name_c_name_dice_qgm_3_qgm_3', 'c_name_c_name_overlap_qgm_3_qgm_3', 'c_name_c_name_lev', 'c_name_c_name_exm', 'c_acctbal_c_acctbal_exm', 'c_acctbal_c_acctbal_anm', 'c_acctbal_c_acctbal_lev']) AS feature")
+def f1_generated_features(spark, sf):
+    types = {r.attr: r.type for r in tables.attribute_types(read(spark, sf, "customer"), ["c_name", "c_acctbal"]).collect()}
+    return spark.createDataFrame([(f.name,) for f in features.generate_features(types)], "feature string")
+
+
+@query("WITH f AS (SELECT l_linestatus = 'X' AS same, l_discount, l_tax FROM lineitem) SELECT name FROM (SELECT 'l_discount' AS name, count(DISTINCT l_discount) AS n FROM f UNION ALL SELECT 'l_tax', count(DISTINCT l_tax) FROM f UNION ALL SELECT 'same', count(DISTINCT same) FROM f) WHERE n > 1")
+def p7_informative_columns(spark, sf):
+    t = read(spark, sf, "lineitem").select((F.col("l_linestatus") == "X").alias("same"), "l_discount", "l_tax")
+    return spark.createDataFrame([(c,) for c in tables.informative(t, t.columns)], "name string")

@@ -164,15 +164,22 @@ SLOW: dict[str, Callable[[str, str], float]] = {
     "smith_waterman": lambda a, b: _align(a, b, True, 1.0),
     "needleman_wunsch": lambda a, b: _align(a, b, False, 1.0),
     "affine": _affine,
-    "hamming": lambda a, b: float(sum(x != y for x, y in zip(a, b, strict=False)) + abs(len(a) - len(b))),
 }
 
 
+def hamming(a: Column, b: Column) -> Column:
+    """Places that differ; those beyond the shorter string do."""
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    return F.size(F.filter(F.zip_with(chars(a), chars(b), lambda x, y: ~x.eqNullSafe(y)), lambda d: d)).cast("double")
+
+
 def slow(name: str) -> Callable[[Column, Column], Column]:
     one = SLOW[name]
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        pairs = list(zip(a, b, strict=True))
+        found = {p: None if p[0] is None or p[1] is None else one(*p) for p in set(pairs)}  # values repeat
+        return pd.Series([found[p] for p in pairs], dtype="float64")
 
     return F.pandas_udf(run, "double")
 
@@ -191,7 +198,7 @@ def register_similarity(name: str, builder: Callable[[Column, Column], Column])
     REGISTRY[name] = builder
 
 
-for _name, _f in {"lev": levenshtein_feature, "exm": exact, "anm": absolute_norm, "lev_sim": levenshtein_similarity, "rel_diff": relative_difference}.items():
+for _name, _f in {"lev": levenshtein_feature, "exm": exact, "anm": absolute_norm, "lev_sim": levenshtein_similarity, "rel_diff": relative_difference, "hamming": hamming}.items():
     register_similarity(_name, _f)
 for _name in SLOW:
     register_similarity(_name, lambda a, b, name=_name: slow(name)(a, b))

@@ -7,6 +7,7 @@ sets or empty strings never join.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -205,9 +206,9 @@ def members(pairs: DataFrame, gold: DataFrame, inside: bool = True) -> DataFrame
     return pairs.join(g, ["ltable_id", "rtable_id"], "left_semi" if inside else "left_anti")
 
 
-def sketch(tokens: Column, k: int) -> Column:
+def sketch(tokens: Column, k: int, hashed: Callable[[Column], Column] = F.xxhash64) -> Column:
     """The k smallest hashes of a token set."""
-    return F.slice(F.array_sort(F.transform(tokens, lambda t: F.xxhash64(t))), 1, k)
+    return F.slice(F.array_sort(F.transform(tokens, lambda t: hashed(t))), 1, k)
 
 
 def may_be_similar(a: Column, b: Column, threshold: float) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairsmith.functions import similarity
@@ -15,17 +15,23 @@ PAIR = ["ltable_id", "rtable_id"]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once, in the session's checkpoint folder. Where none is set, a temporary one serves a local master, whose
-    tasks all see it; on a cluster that is an error."""
-    sc = df.sparkSession.sparkContext
+    """df computed once, in the session's checkpoint folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the context's, or the session's spark.checkpoint.dir. Where neither is set, a temporary one
+    serves a local master, whose tasks all see it; on a cluster that is an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="ckpt")
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    return sc.getCheckpointDir()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -78,7 +78,8 @@ def load_tables(spark: SparkSession, paths: str | list[str]) -> dict[str, DataFr
 
 def write_csv(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
     """Quotes only where needed, doubled inside; files of at most so many rows, if given."""
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).csv(path, header=True, quote='"', escape='"')
+    out = df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+    out.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_pairs(pairs: DataFrame, path: str, a: DataFrame | None = None, b: DataFrame | None = None, attrs: list[str] | None = None, rows_per_file: int = 0) -> None:
