@@ -5,8 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from pairsmith.operators.values import shared_folder
+
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -49,7 +49,7 @@ def shuffles_end(spark: SparkSession) -> Iterator[None]:
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation. What was
     shuffled to compute it is deleted."""
-    _folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     with shuffles_end(df.sparkSession):
         return df.select("*").checkpoint()
 
@@ -57,7 +57,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a compressed Parquet table in the same folder, and its path: for rows with whole texts, which checkpoints hold
     as they are. Small row groups bound what a writing task holds. The table goes by ``dropped`` or when the driver ends."""
-    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     kept(df.sparkSession, path)
     with shuffles_end(df.sparkSession):
         df.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
@@ -79,20 +79,6 @@ def dropped(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the context's, or the session's spark.checkpoint.dir. Where neither is set, a temporary one
-    serves a local master, whose tasks all see it; on a cluster that is an error."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not re.fullmatch(r"local(\[.*\])?", sc.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="ckpt")
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
 def hidden(df: DataFrame, *added: str) -> tuple[DataFrame, dict[str, str]]:
     """df with new names for its columns that begin with an underscore or are named in ``added``, and old names by new
     ones: such names are the operators' own while they run. ``withColumnsRenamed`` gives the old names back."""

@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import _folder, cut, kept, table
+from pairsmith.llm.base import cut, kept, table
+from pairsmith.operators.values import shared_folder
 
 SLOTS = 4096
 
@@ -92,7 +93,7 @@ def write_slots(df: DataFrame, slot_map: SlotMap, path: str, key: str = "doc_id"
     slots = df.sparkSession.range(0, len(slot_map.owners), 1, 1).select(F.col("id").cast("int").alias("slot"))
     used = slot_bytes(df, key, text, len(slot_map.owners))
     owners = slot_map.table(df.sparkSession).select(F.col("virtual_slot").alias("slot"), "shard")
-    out = slots.join(F.broadcast(owners), "slot").join(used, "slot", "left").fillna(0, ["rows", "bytes"]).select("slot", "rows", "bytes", "shard")
+    out = slots.join(F.broadcast(owners), "slot").join(F.broadcast(used), "slot", "left").fillna(0, ["rows", "bytes"]).select("slot", "rows", "bytes", "shard")
     out.withColumns({"shards": F.lit(slot_map.shards), "version": F.lit(slot_map.version)}).coalesce(1).write.parquet(path)
 
 
@@ -135,7 +136,7 @@ def assign(df: DataFrame, slot_map: SlotMap, key: str = "doc_id", text: str = "t
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law key: the map of 24 shards, stored with bytes and rows of its slots and read back, without rebalancing."""
-    docs, path = table(spark, sf_dir, "documents"), f"{_folder(spark)}/slots-{uuid.uuid4().hex}"
+    docs, path = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/slots-{uuid.uuid4().hex}"
     kept(spark, path)
     write_slots(docs, SlotMap.of(24), path)
     out = assign(docs, read_slots(spark, path)[0])
