@@ -52,7 +52,11 @@ def _prefixes(base: DataFrame, sim: str, threshold: float) -> DataFrame:
     shuffle by token. Rows are spread by id and their tokens ranked as they stream by."""
     tok = F.transform("toks", lambda t: F.xxhash64(t))
     counted = base.select(F.explode(tok).alias("tok")).groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") >= OFTEN)
-    frequent = F.broadcast(counted.orderBy(F.desc("df"), "tok").limit(FREQUENT))
+    counted = counted.withColumn("step", F.floor(F.log2("df") * 4))
+    # the most frequent tokens that are FREQUENT together: by steps of a quarter power of two (at most 256), none is sorted
+    more = F.sum("n").over(Window.orderBy(F.desc("step")))
+    steps = counted.groupBy("step").agg(F.count("*").alias("n")).withColumn("held", more).where(F.col("held") <= FREQUENT).select("step")
+    frequent = F.broadcast(counted.join(F.broadcast(steps), "step").select("tok", "df"))
     each = base.select("side", "id", "n", tok.alias("toks")).repartition("side", "id").select("side", "id", "n", F.explode("toks").alias("tok"))
     each = each.join(frequent, "tok", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     pos = F.row_number().over(Window.partitionBy("side", "id").orderBy("df", "tok")) - 1
