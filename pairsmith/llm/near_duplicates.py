@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsmith.llm.base import cut, hidden, mapped, shuffles_end, slices, table
+from pairsmith.llm.base import cut, hidden, mapped, slices, table
 from pairsmith.llm.shingles import differing_bits, parity_bits, set_id, shared, shingle_sets
 
 #: Slots known to hold frequent shingles, at most: the size of the one table that is broadcast. Order alone depends on
@@ -89,9 +89,14 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
         if now >= 0:
             yield done()
 
-    got = docs.select("_text").transform(mapped, run, "r int, steps binary").repartition("r").sortWithinPartitions("r").transform(mapped, count, "h long, n long")
-    with shuffles_end(docs.sparkSession):
-        got = got.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    got = cut(docs.select("_text").transform(mapped, run, "r int, steps binary").repartition("r").sortWithinPartitions("r").transform(mapped, count, "h long, n long"))
+    # the largest counts that are FREQUENT together: by steps of a quarter power of two, so that no task sorts for the rest
+    step, held, least = F.floor(F.log2("n") * 4), 0, 0
+    for r in got.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # 160 rows at most
+        if (held := held + r["count"]) > FREQUENT:
+            least = r.step + 1
+            break
+    got = got.where(step >= least).toArrow()
     h, n = got.column("h").to_numpy(), got.column("n").to_numpy()
     order = np.argsort(h)
     return h[order].astype(np.uint32), n[order].astype(np.int32)

@@ -153,17 +153,21 @@ def search(df: DataFrame, is_query: Column, k: int = 20, vector: str = "embeddin
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(takes_part(F.col("v")))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims = [r.d for r in rows.groupBy(F.size("v").alias("d")).agg(F.max("q").alias("q")).where("q").orderBy("d").collect()]  # a row a dimension
+    dims = {r.d: r.n for r in rows.groupBy(F.size("v").alias("d")).agg(F.max("q").alias("q"), F.count("*").alias("n")).where("q").orderBy("d").collect()}  # a row a dimension
     if not dims:
         return empty
-    parts = [_search(rows.where(F.size("v") == d), k, rerank, rows_per_block, queries_per_block) for d in dims]
+    parts = [_search(rows.where(F.size("v") == d), n, k, rerank, rows_per_block, queries_per_block) for d, n in dims.items()]
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def _search(rows: DataFrame, k: int, rerank: int, rows_per_block: int, queries_per_block: int) -> DataFrame:
-    """``search`` among vectors of one dimension: id, v and q."""
+def _search(rows: DataFrame, n: int, k: int, rerank: int, rows_per_block: int, queries_per_block: int) -> DataFrame:
+    """``search`` among n vectors of one dimension: id, v and q."""
     spark = rows.sparkSession
-    sample = rows.orderBy(F.xxhash64("id", "v"), "id").limit(TRAIN_ROWS).select("v").toPandas()
+    hashed = F.xxhash64("id", "v")  # a task sends its share of the sample and little more
+    few = rows.where(F.pmod(hashed, F.lit(1 << 30)) <= min(1 << 30, (1 << 30) * TRAIN_ROWS * 5 // (4 * n)))
+    sample = few.orderBy(hashed, "id").limit(TRAIN_ROWS).select("v").toPandas()
+    if not len(sample):  # all rows are copies of a few, which hash too high
+        sample = rows.limit(1).select("v").toPandas()
     book = spark.sparkContext.broadcast(train(np.stack(sample["v"].to_numpy())))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
