@@ -105,7 +105,7 @@ _REACHED = f"""if(size(_x) > 0, aggregate(
 
 
 def _words(words: list[str]) -> str:
-    return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
+    return f"split('{' '.join(words)}', ' ')"
 
 
 #: Code points of a block of text, from which pieces are cut without a walk from the text's start.
@@ -117,11 +117,13 @@ def _blocks(text: str) -> Column:
 
 
 def _cut(blocks: str, a: str, b: str) -> str:
-    """SQL of the code points from a to b (exclusive, not beyond the end) of a text in blocks."""
-    first, last = f"(({a}) div {PIECE})", f"(({b} - 1) div {PIECE})"
-    head = f"substring({blocks}[cast({first} as int)], cast(({a}) % {PIECE} + 1 as int), cast(({b}) - ({a}) as int))"
-    more = f"concat(array_join(slice({blocks}, cast({first} + 2 as int), cast({last} - {first} - 1 as int)), ''), substring({blocks}[cast({last} as int)], 1, cast(({b} - 1) % {PIECE} + 1 as int)))"
-    return f"if(({b}) <= ({a}), '', concat({head}, if({first} = {last}, '', {more})))"
+    """SQL of the code points from a to b (exclusive, not beyond the end) of a text in blocks. The places are bound once: plans
+    that repeat them grow out of hand."""
+    places = f"named_struct('a', {a}, 'b', {b})"
+    head = f"substring({blocks}[int(r.a div {PIECE})], r.a % {PIECE} + 1, r.b - r.a)"
+    rest = f"array_join(slice({blocks}, int(r.a div {PIECE}) + 2, int((r.b - 1) div {PIECE} - r.a div {PIECE}) - 1), '')"
+    tail = f"substring({blocks}[int((r.b - 1) div {PIECE})], 1, (r.b - 1) % {PIECE} + 1)"
+    return f"transform(array({places}), r -> if(r.b <= r.a, '', if(r.a div {PIECE} = (r.b - 1) div {PIECE}, {head}, concat({head}, {rest}, {tail}))))[0]"
 
 
 def _votes(k: Kind, names: list[str], suffixes: list[str]) -> str:
@@ -156,7 +158,9 @@ def candidates(df: DataFrame, text: str = "text", names: list[str] = NAMES, suff
     parts = []
     for i, k in enumerate(KINDS):
         placed = _PLACED.replace("size(z)", f"size(_z{i})").replace("slice(z,", f"slice(_z{i},")
-        near = f"transform({placed}, x -> named_struct('s', x.s, 'e', x.e, 't', x.t, 'b', {_cut('_b', f'greatest(x.s - {NEAR}, 0)', 'x.s')}, 'a', {_cut('_b', 'x.e', 'least(x.e + 1, _n)')}))"
+        before = f"right(concat(if(x.s < {PIECE}, '', _b[int(x.s div {PIECE}) - 1]), left(_b[int(x.s div {PIECE})], x.s % {PIECE})), {NEAR})"
+        after = f"if(x.e < _n, substring(_b[int(x.e div {PIECE})], x.e % {PIECE} + 1, 1), '')"
+        near = f"transform({placed}, x -> named_struct('s', x.s, 'e', x.e, 't', x.t, 'b', {before}, 'a', {after}))"
         one = f"transform(array(x), y -> named_struct('k', '{k.name}', 's', y.s, 'e', y.e, 'ok', {k.valid}, 'v', array({_votes(k, names, suffixes)})))[0]"
         parts.append(f"if(_z{i} is null, cast(array() as array<struct<k:string,s:int,e:int,ok:boolean,v:array<int>>>), transform({near}, x -> {one}))")
     out = out.withColumn("_spans", F.expr("concat(" + ", ".join(parts) + ")"))
