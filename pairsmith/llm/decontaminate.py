@@ -26,6 +26,8 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 o
 SHINGLE = 4
 #: The filter: bits a token, bits at most (32 MB), places that are tested, and bits a row while it is built.
 BITS, MOST_BITS, TESTS, CHUNK = 32, 1 << 28, 4, 1 << 15
+#: Bytes of hits that are broadcast to the documents, at most.
+BROADCAST = 32 << 20
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -149,7 +151,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_ite
     with one item_id are one item; an empty benchmark hits nothing, empty docs give an empty table. Added columns replace
     those of the same names; all others pass unchanged. What a text holds depends on nothing but the text: copies are
     searched as one (by 128 bits of hash), so thousands of them, or a passage in a third of all rows, meet in no task. The
-    hits come back in a join by that key, which Spark broadcasts where they are few and splits where a key is hot."""
+    hits come back in a join by that key: up to BROADCAST bytes of them are sent to the documents; more are met in a
+    shuffle, which Spark splits where a key is hot."""
     added = ["n_words", "hit_spans", "items", "contaminated"]
     docs, own = hidden(docs.drop(*added))
     text = {c: new for new, c in own.items()}.get(text, text)
@@ -159,6 +162,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_ite
     if found is None:
         out = docs.withColumns({"n_words": n_words, "hit_spans": F.lit(None).cast("array<struct<s:int,e:int>>"), "items": F.lit(None).cast("array<bigint>")})
     else:
+        found = cut(found)
+        size = found.agg(F.sum(F.size("hit_spans") * 16 + F.size("items") * 8 + 64)).first()[0] or 0
+        found = F.broadcast(found) if size <= BROADCAST else found
         out = docs.withColumns({"n_words": n_words, **key}).join(found, ["_h", "_g"], "left").drop("_h", "_g")
     out = out.withColumns({"hit_spans": F.coalesce("hit_spans", F.expr("cast(array() as array<struct<s:int,e:int>>)")), "items": F.coalesce("items", F.expr("cast(array() as array<bigint>)"))})
     return out.withColumn("contaminated", F.size("items") >= min_items).select(*docs.columns, *added).withColumnsRenamed(own)

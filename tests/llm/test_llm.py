@@ -325,6 +325,7 @@ def test_decontamination(spark, monkeypatch):
     assert got(decontaminate.contamination(dd, bb.limit(0))) == Counter((k, len(words(t)), (), (), False) for k, t in docs)
     monkeypatch.setattr(decontaminate, "MOST_BITS", 1 << 6)  # a filter that lets nearly all through changes nothing
     monkeypatch.setattr(decontaminate, "CHUNK", 1 << 4)
+    monkeypatch.setattr(decontaminate, "BROADCAST", 0)
     assert got(decontaminate.contamination(dd, bb)) == expected
     assert got(decontaminate.contamination(dd.limit(0), bb)) == Counter()
 
