@@ -83,7 +83,7 @@ def _spans(text: str, k: Kind) -> Column:
 
 
 _PLACED = f"""aggregate(
-  transform(sequence(0, (size(z) - 2) div {BLOCK}), b -> slice(slice(z, 1, size(z) - 1), b * {BLOCK} + 1, {BLOCK})),
+  transform(sequence(0, (size(q.z) - 2) div {BLOCK}), b -> slice(slice(q.z, 1, size(q.z) - 1), b * {BLOCK} + 1, {BLOCK})),
   named_struct('at', 0, 'out', cast(array() as array<array<struct<s:int,e:int,t:string>>>)),
   (o, block) -> named_struct(
     'at', o.at + aggregate(block, 0, (n, x) -> n + x.g + length(x.m)),
@@ -91,8 +91,6 @@ _PLACED = f"""aggregate(
       (a, x) -> named_struct('at', a.at + x.g + length(x.m), 'out', concat(a.out, array(named_struct('s', a.at + x.g, 'e', a.at + x.g + length(x.m), 't', x.m)))),
       a -> a.out)))),
   o -> flatten(o.out))"""
-
-
 #: For spans _x in order of their starts, the largest end of those before each: summed up in blocks, as above.
 _REACHED = f"""if(size(_x) > 0, aggregate(
   transform(sequence(0, (size(_x) - 1) div {BLOCK}), b -> slice(_x, cast(b * {BLOCK} + 1 as int), {BLOCK})),
@@ -126,8 +124,13 @@ def _cut(blocks: str, a: str, b: str) -> str:
     return f"transform(array({places}), r -> if(r.b <= r.a, '', if(r.a div {PIECE} = (r.b - 1) div {PIECE}, {head}, concat({head}, {rest}, {tail}))))[0]"
 
 
-def _votes(k: Kind, names: list[str], suffixes: list[str]) -> str:
-    """One vote of each labeler (1 for, -1 against, 0 none) on the span y: its text t, b before and a after it."""
+def _by_kind(values: dict[str, str], otherwise: str) -> str:
+    return "case y.k " + " ".join(f"when '{k}' then {v}" for k, v in values.items()) + f" else {otherwise} end"
+
+
+def _votes(names: list[str], suffixes: list[str]) -> str:
+    """One vote of each labeler (1 for, -1 against, 0 none) on the span y: its kind k, its text t, b before and a after it,
+    and whether its kind's rule holds (ok)."""
     lists = {
         "email": f"if(array_contains({_words(suffixes)}, lower(regexp_extract(y.t, '[.]([A-Za-z0-9-]+)$', 1))), 1, -1)",
         "ip": "if(y.t rlike r'^(?:0|127|255)[.]', -1, 1)",
@@ -137,11 +140,12 @@ def _votes(k: Kind, names: list[str], suffixes: list[str]) -> str:
         "masked_email": f"if(array_contains({_words(suffixes)}, lower(regexp_extract(y.t, '([A-Za-z0-9-]+)$', 1))), 1, -1)",
         "person": f"if(arrays_overlap({_words(names)}, split(lower(y.t), '[^a-z]+')), 1, 0)",
     }
+    base = ", ".join(f"'{k.name}'" for k in KINDS if k.base)
     return ", ".join(
         (
-            f"if({k.valid}, 1, -1)" if k.base else "0",
-            lists[k.name],
-            f"if(lower(y.b) rlike '(?<![a-z])(?:{CUES[k.name]})(?![a-z])', 1, 0)",
+            f"if(y.k in ({base}), if(y.ok, 1, -1), 0)",
+            _by_kind(lists, "0"),
+            "if(" + _by_kind({k: f"lower(y.b) rlike '(?<![a-z])(?:{cue})(?![a-z])'" for k, cue in CUES.items()}, "false") + ", 1, 0)",
             f"if(lower(y.b) rlike '(?<![a-z])(?:{AGAINST})[ #:.]*$', -1, 0)",
             "if(y.b rlike '[A-Za-z0-9]$' or y.a rlike '^[A-Za-z0-9]', -1, 1)",
         )
@@ -150,21 +154,19 @@ def _votes(k: Kind, names: list[str], suffixes: list[str]) -> str:
 
 def candidates(df: DataFrame, text: str = "text", names: list[str] = NAMES, suffixes: list[str] = SUFFIXES) -> DataFrame:
     """df with _spans: all candidates as structs (k, s, e, ok, v): kind, code points (end exclusive), whether the kind's
-    own rule holds, votes."""
+    own rule holds, votes. Spans of all kinds go through one expression, which keeps the plan small."""
     out = df.withColumn("_raw", F.coalesce(F.col(text), F.lit("")))
     out = out.withColumns({f"_z{i}": _spans("_raw", k) for i, k in enumerate(KINDS)})
-    any_at_all = F.expr(" or ".join(f"_z{i} is not null" for i in range(len(KINDS))))
-    out = out.withColumns({"_b": F.when(any_at_all, _blocks("_raw")), "_n": F.length("_raw")})
-    parts = []
-    for i, k in enumerate(KINDS):
-        placed = _PLACED.replace("size(z)", f"size(_z{i})").replace("slice(z,", f"slice(_z{i},")
-        before = f"right(concat(if(x.s < {PIECE}, '', _b[int(x.s div {PIECE}) - 1]), left(_b[int(x.s div {PIECE})], x.s % {PIECE})), {NEAR})"
-        after = f"if(x.e < _n, substring(_b[int(x.e div {PIECE})], x.e % {PIECE} + 1, 1), '')"
-        near = f"transform({placed}, x -> named_struct('s', x.s, 'e', x.e, 't', x.t, 'b', {before}, 'a', {after}))"
-        one = f"transform(array(x), y -> named_struct('k', '{k.name}', 's', y.s, 'e', y.e, 'ok', {k.valid}, 'v', array({_votes(k, names, suffixes)})))[0]"
-        parts.append(f"if(_z{i} is null, cast(array() as array<struct<k:string,s:int,e:int,ok:boolean,v:array<int>>>), transform({near}, x -> {one}))")
-    out = out.withColumn("_spans", F.expr("concat(" + ", ".join(parts) + ")"))
-    return out.drop("_raw", "_b", "_n", *(f"_z{i}" for i in range(len(KINDS))))
+    every = ", ".join(f"named_struct('k', '{k.name}', 'z', _z{i})" for i, k in enumerate(KINDS))
+    out = out.withColumn("_q", F.expr(f"filter(array({every}), q -> q.z is not null)"))
+    out = out.withColumns({"_b": F.when(F.size("_q") > 0, _blocks("_raw")), "_n": F.length("_raw")})
+    before = f"right(concat(if(x.s < {PIECE}, '', _b[int(x.s div {PIECE}) - 1]), left(_b[int(x.s div {PIECE})], x.s % {PIECE})), {NEAR})"
+    after = f"if(x.e < _n, substring(_b[int(x.e div {PIECE})], x.e % {PIECE} + 1, 1), '')"
+    valid = _by_kind({k.name: k.valid for k in KINDS if k.valid != "true"}, "true")
+    out = out.withColumn("_y", F.expr(f"flatten(transform(_q, q -> transform({_PLACED}, x -> named_struct('k', q.k, 's', x.s, 'e', x.e, 't', x.t, 'b', {before}, 'a', {after}))))"))
+    out = out.withColumn("_y", F.expr(f"transform(_y, y -> named_struct('k', y.k, 's', y.s, 'e', y.e, 't', y.t, 'b', y.b, 'a', y.a, 'ok', {valid}))"))
+    out = out.withColumn("_spans", F.expr(f"transform(_y, y -> named_struct('k', y.k, 's', y.s, 'e', y.e, 'ok', y.ok, 'v', array({_votes(names, suffixes)})))"))
+    return out.drop("_raw", "_q", "_b", "_n", "_y", *(f"_z{i}" for i in range(len(KINDS))))
 
 
 @dataclass(frozen=True)
