@@ -229,7 +229,7 @@ def learn(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 60) -> C
 
 def train(df: DataFrame, text: str = "text", names: list[str] = NAMES, suffixes: list[str] = SUFFIXES) -> Classifier:
     """The classifier from the votes on all candidates of df; from none, weights that trust every labeler."""
-    each = candidates(df.select(text), text, names, suffixes).where(F.size("_spans") > 0).select(F.explode("_spans").alias("x"))
+    each = candidates(df.select(text), text, names, suffixes).select(F.explode_outer("_spans").alias("x")).where("x is not null")
     rows = each.groupBy(F.col("x.k").alias("k"), F.col("x.v").alias("v")).count().collect()  # at most kinds * 3^labelers rows
     return learn({(r.k, tuple(r.v)): r["count"] for r in rows})
 
