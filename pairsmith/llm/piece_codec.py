@@ -33,7 +33,7 @@ LONG = 64
 #: Characters of new units that are composed at a time.
 COMPOSED = 1 << 17
 #: Units that are memoised, in each of two generations, so that common units stay.
-KNOWN = 150_000
+KNOWN = 200_000
 #: In place of a piece: a character that becomes bytes.
 BYTES = -2
 codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
@@ -261,14 +261,14 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...]
 
     model: path of a SentencePiece BPE model with byte fallback. Null text counts as empty: no ids, decoded empty; an
     empty table gives an empty one. Whole texts; rows stay in their partitions, so neither hot keys nor repeated rows matter. exact is false only for texts
-    that hold U+2581 themselves, which the model writes as a space. Memory: 2 MB of text at a time (or one text, if
+    that hold U+2581 themselves, which the model writes as a space. Memory: half a megabyte of text at a time (or one text, if
     longer) and bounded tables of known units."""
     kept = [df.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
-            for part in slices(batch, "_text", 2 << 20):
+            for part in slices(batch, "_text", 1 << 19):
                 texts = pc.fill_null(part.column("_text"), "")
                 packed = c.packed(texts.to_pylist())
                 ids = np.frombuffer(b"".join(packed), np.int32)
