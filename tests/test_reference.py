@@ -425,3 +425,25 @@ def test_feature_modes(spark):
     assert rows(features.feature_table(p, fs)) == rows(features.extract(p, fs))
     with pytest.raises(ValueError):
         features.feature_table(p, fs, "graph", "v", g)
+
+
+@pytest.mark.parametrize("in_one", [0, 40, 1000])
+def test_components_of_long_paths_take_few_jobs(spark, in_one):
+    rng = random.Random(in_one)
+    names = rng.sample(range(10_000), 300)
+    path = list(zip(names[:150], names[1:150], strict=False))
+    tree = [(names[i], names[rng.randrange(150, i)]) for i in range(151, 299)]
+    edges = spark.createDataFrame([*path, *tree, (names[299], names[299])], "src long, dst long")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"components{in_one}", "")
+    got = rows(values.components(edges, in_one).select("node", "component"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = [(x, min(part)) for part in (names[:150], names[150:299], names[299:]) for x in part]
+    assert got == sorted(want)
+    assert in_one or len(tracker.getJobIdsForGroup("components0")) < 400
+    assert in_one < 1000 or len(tracker.getJobIdsForGroup("components1000")) < 20
+
+
+def test_components_of_strings(spark):
+    edges = spark.createDataFrame([("b", "c"), ("c", "a"), ("y", "x")], "src string, dst string")
+    assert rows(values.components(edges)) == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")]
