@@ -447,3 +447,10 @@ def test_components_of_long_paths_take_few_jobs(spark, in_one):
 def test_components_of_strings(spark):
     edges = spark.createDataFrame([("b", "c"), ("c", "a"), ("y", "x")], "src string, dst string")
     assert rows(values.components(edges)) == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")]
+
+
+def test_cluster_queries_keep_all_pairs(spark, tmp_path):
+    turns = [(i, t, role, f"word other thing{i % 2}") for i in range(330) for t, role in enumerate(("user", "assistant"))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for q in (catalog.d7_cluster_rs_dense, catalog.d4_cluster_rs):
+        assert q(spark, str(tmp_path)).count() == 330 * 330
