@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -454,3 +455,14 @@ def test_cluster_queries_keep_all_pairs(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     for q in (catalog.d7_cluster_rs_dense, catalog.d4_cluster_rs):
         assert q(spark, str(tmp_path)).count() == 330 * 330
+
+
+def test_neighbouring_values_are_compared_once(spark):
+    """6,000 pairs of the same two values, with 100 neighbours each, which were compared 60,000,000 times."""
+    edges = [(x, f"{x}{i:02}") for x in "ab" for i in range(100)]
+    edges = spark.createDataFrame(edges + [(y, x) for x, y in edges], "src string, dst string")
+    pairs = spark.range(6000).select(F.col("id").alias("ltable_id"), F.col("id").alias("rtable_id"), F.lit("a").alias("ltable_v"), F.when(F.col("id") % 2 == 0, "b").alias("rtable_v"))
+    began = time.time()
+    got = features.neighbouring(pairs, edges, "v", [parse_feature("v_v_lev")]).groupBy("v_v_lev").count()
+    assert rows(got.na.fill(-1.0)) == [(-1.0, 3000), (1.0, 3000)]
+    assert time.time() - began < 15
