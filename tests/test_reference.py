@@ -466,3 +466,21 @@ def test_neighbouring_values_are_compared_once(spark):
     got = features.neighbouring(pairs, edges, "v", [parse_feature("v_v_lev")]).groupBy("v_v_lev").count()
     assert rows(got.na.fill(-1.0)) == [(-1.0, 3000), (1.0, 3000)]
     assert time.time() - began < 15
+
+
+def test_rows_with_the_same_tokens_are_joined_as_one(spark, monkeypatch):
+    base, asked = joins._prefixes, []
+    monkeypatch.setattr(joins, "_prefixes", lambda df, *a: asked.append(df.count()) or base(df, *a))
+    df = spark.range(90).select(F.col("id").alias("_id"), F.concat(F.lit("a b c d e f g h x"), F.col("id") % 3).alias("v"))
+    got = rows(joins.set_join(df, None, "jac", 0.8, tokens.dlm(F.col("v"))))
+    assert asked == [3]
+    assert got == [(i, j, 9 if i % 3 == j % 3 else 8, 9, 9) for i in range(90) for j in range(i + 1, 90)]
+
+
+def test_jaccard_and_dice_rules_take_one_join(spark, monkeypatch):
+    base, asked = joins.set_join, []
+    monkeypatch.setattr(joins, "set_join", lambda *a, **k: asked.append(a[2:4]) or base(*a, **k))
+    df = spark.createDataFrame([(0, "a b c d e f g h i"), (1, "a b c d e f g h z"), (2, "a b c d e f g h i j")], "_id long, text string")
+    rules = parse_rules("2\ntext_text_jac_dlm_dc0_dlm_dc0 + 0.8\ntext_text_dice_dlm_dc0_dlm_dc0 + 0.9\n")
+    assert rows(blocking.block(rules, df)) == [(0, 1, 1), (0, 2, 2)]
+    assert set(asked) == {("jac", 0.8)}
