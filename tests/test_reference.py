@@ -484,3 +484,11 @@ def test_jaccard_and_dice_rules_take_one_join(spark, monkeypatch):
     rules = parse_rules("2\ntext_text_jac_dlm_dc0_dlm_dc0 + 0.8\ntext_text_dice_dlm_dc0_dlm_dc0 + 0.9\n")
     assert rows(blocking.block(rules, df)) == [(0, 1, 1), (0, 2, 2)]
     assert set(asked) == {("jac", 0.8)}
+
+
+def test_interchangeable_pairs_of_rows_are_not_looked_through_again(spark):
+    df = spark.range(3000).select(F.col("id").alias("_id"), F.concat(F.lit("v"), F.col("id") % 2).alias("v"))
+    groups = spark.createDataFrame([(1, "v0"), (2, "v1"), (2, "v0")], "group_id long, value string")
+    out = joins.interchangeable_join(df, groups, "jac", 1.0, "v", tokens.dlm)
+    assert "Deduplicate" not in out._jdf.queryExecution().analyzed().toString().splitlines()[0]
+    assert (out.count(), out.distinct().count()) == (3000 * 2999 // 2,) * 2
