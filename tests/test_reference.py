@@ -2,6 +2,7 @@ import math
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -531,3 +532,45 @@ def test_negatives_of_a_dense_group_are_not_multiplied_out(spark):
     got = values.rewrite_negatives(p, e, v, "v").groupBy("ltable_v", "rtable_v").count()
     assert rows(got) == [(0, 0, 79_800 - 399), (1, 1, 398), (2, 2, 1)]
     assert time.time() - began < 30
+
+
+def counted(spark):
+    """A measure of two columns, and how often it has been computed."""
+    n = spark.sparkContext.accumulator(0)
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        n.add(len(a))
+        return pd.Series([1.0 if x == y else 0.5 for x, y in zip(a, b, strict=True)])
+
+    return F.pandas_udf(run, "double"), n
+
+
+def nations(spark, path):
+    """60 customers each of five names and balances and 60 suppliers each of three, in two nations."""
+    for t, key, n in (("customer", "c_custkey", 5), ("supplier", "s_suppkey", 3)):
+        v, p = F.col("id") % n, t[0]
+        spark.range(60 * n).select(F.col("id").alias(key), (v % 2).alias(f"{p}_nationkey"), F.concat(F.lit("n"), v).alias(f"{p}_name"), (v + 1.0).alias(f"{p}_acctbal")).write.parquet(f"{path}/{t}.parquet")
+    return str(path)
+
+
+def test_names_of_a_nation_are_compared_once(spark, tmp_path, monkeypatch):
+    measure, n = counted(spark)
+    monkeypatch.setattr(similarity, "levenshtein_feature", measure)
+    got = catalog.m11_lev(spark, nations(spark, tmp_path))
+    assert rows(got.groupBy("lev", "lev_sim", "exm").count()) == [(0.5, 0.5, 0.0, 3600 * 5), (1.0, 1.0, 1.0, 3600 * 3)]
+    assert got.select(*PAIR).distinct().count() == 3600 * 8
+    assert n.value <= 3 * 8
+
+
+@pytest.mark.parametrize("most", [2, 1024])
+def test_measured_join_equals_brute_force(spark, monkeypatch, most):
+    """With null keys, values and ids, and repeated rows."""
+    monkeypatch.setattr(joins, "LISTED", most)
+    rng = random.Random(most)
+    a, b = ([(rng.choice([None, *range(9)]), rng.choice([None, 0, 1]), rng.choice([None, "", "x", "xy", "ab"])) for _ in range(40)] for _ in range(2))
+    want = [(i, j, float(v == w) if v and w else None) for i, k, v in a for j, m, w in b if k is not None and k == m]
+    l, r = spark.createDataFrame(a, "_id long, k int, l string"), spark.createDataFrame(b, "_id long, k int, r string")
+    got = joins.measured_join(l, r, "k", {"exm": similarity.exact(F.col("l"), F.col("r"))})
+    plain = lambda x: sorted(tuple(-1 if c is None else c for c in t) for t in x)
+    assert got.columns == [*PAIR, "exm"]
+    assert plain(got.collect()) == plain(want)
