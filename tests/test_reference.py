@@ -574,3 +574,27 @@ def test_measured_join_equals_brute_force(spark, monkeypatch, most):
     plain = lambda x: sorted(tuple(-1 if c is None else c for c in t) for t in x)
     assert got.columns == [*PAIR, "exm"]
     assert plain(got.collect()) == plain(want)
+
+
+def test_equal_numbers_are_joined_as_one(spark, tmp_path, monkeypatch):
+    measure, n = counted(spark)
+    monkeypatch.setattr(similarity, "absolute_norm", measure)
+    got = catalog.j7_numeric_rs(spark, nations(spark, tmp_path))
+    assert rows(got.groupBy("sim").count()) == [(1.0, 3600 * 3)]
+    assert n.value <= 3 * 15
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_numeric_join_equals_brute_force(spark, monkeypatch, own):
+    monkeypatch.setattr(joins, "LISTED", 2)
+    rng = random.Random(8)
+    a, b = ([(i, rng.choice([None, 0.0, -5.0, 5.0, 4.9, 4.5, -4.6, 100.0, 99.0, 1e-6])) for i in range(60)] for _ in range(2))
+    b = a if own else b
+    want = [(i, j) for i, x in a for j, y in b if x and y and abs(x) > 1e-5 and abs(y) > 1e-5 and 1 - abs(x - y) / max(abs(x), abs(y)) >= 0.9 and (i < j or not own)]
+    l, r = (spark.createDataFrame(t, "_id long, v double") for t in (a, b))
+    assert rows(joins.numeric_join(l, None if own else r, 0.9, "v").select(*PAIR)) == sorted(want)
+
+
+def test_rounding_of_doubles(spark):
+    got = [one(spark, catalog.half_away6(F.lit(x))) for x in (0.9843751, 0.0000005, -0.0078125, 0.0078125, 0.9999994, -1.0, 0.0, None)]
+    assert got == [0.984375, 0.000001, -0.007813, 0.007813, 0.999999, -1.0, 0.0, None]
