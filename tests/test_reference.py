@@ -598,3 +598,11 @@ def test_numeric_join_equals_brute_force(spark, monkeypatch, own):
 def test_rounding_of_doubles(spark):
     got = [one(spark, catalog.half_away6(F.lit(x))) for x in (0.9843751, 0.0000005, -0.0078125, 0.0078125, 0.9999994, -1.0, 0.0, None)]
     assert got == [0.984375, 0.000001, -0.007813, 0.007813, 0.999999, -1.0, 0.0, None]
+
+
+def test_balances_of_a_nation_are_compared_once(spark, tmp_path, monkeypatch):
+    measure, n = counted(spark)
+    monkeypatch.setattr(similarity, "absolute_norm", measure)
+    got = catalog.m14_abs_norm(spark, nations(spark, tmp_path))
+    assert rows(got.groupBy("anm").count()) == [(0.5, 3600 * 5), (1.0, 3600 * 3)]
+    assert n.value <= 3 * 8
