@@ -2,6 +2,7 @@ import math
 import random
 import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -606,3 +607,38 @@ def test_balances_of_a_nation_are_compared_once(spark, tmp_path, monkeypatch):
     got = catalog.m14_abs_norm(spark, nations(spark, tmp_path))
     assert rows(got.groupBy("anm").count()) == [(0.5, 3600 * 5), (1.0, 3600 * 3)]
     assert n.value <= 3 * 8
+
+
+def test_tokens_are_encoded_before_rows_are_compared(spark, monkeypatch):
+    base, asked = joins._compared, []
+    monkeypatch.setattr(joins, "_compared", lambda pairs, df, *a: asked.append(dict(df.dtypes)) or base(pairs, df, *a))
+    df = spark.createDataFrame([(0, "a b c d e f g h i"), (1, "a b c d e f g h z")], "_id long, v string")
+    assert rows(joins.set_join(df, None, "jac", 0.8, tokens.dlm(F.col("v")))) == [(0, 1, 8, 9, 9)]
+    assert "array<string>" not in asked[0].values()  # no texts are sent to meet
+
+
+@pytest.mark.parametrize("frequent", [1 << 20, 3, 0])
+def test_set_join_with_equal_hashes_of_different_tokens(spark, monkeypatch, frequent):
+    """Tokens known by their length and last letter alone, which are told apart by their other hash."""
+    rng = random.Random(4)
+    data = [(i, " ".join(rng.choices([a + b for a in "abcdefgh" for b in ("x", "xyz")], k=rng.randint(0, 7)))) for i in range(120)]
+    monkeypatch.setattr(joins, "FREQUENT", frequent)
+    monkeypatch.setattr(joins, "_hashes", lambda t: (F.xxhash64(F.length(t)).bitwiseOR(F.lit(-1 << 63)), F.xxhash64(t)))
+    sets = {i: set(s.split()) for i, s in data}
+    want = sorted((i, j, len(sets[i] & sets[j])) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 3)
+    got = joins.set_join(spark.createDataFrame(data, "_id long, v string"), None, "overlap", 3, tokens.dlm(F.col("v")))
+    assert rows(got.select(*PAIR, "overlap")) == want
+
+
+def test_codes_survive_their_bytes():
+    rng = np.random.default_rng(1)
+    rare = [np.sort(rng.integers(-(1 << 63), 0, k)) for k in (0, 3, 0, 1, 0)]
+    often = [np.array(x, np.int64) for x in ([0, 127, 128, 1 << 20], [], [], [5], [1 << 40])]
+    steps = [np.diff(x, prepend=0) if len(x) else x for x in often]
+    data, ends = joins._varints(np.concatenate(steps))
+    cells = joins._binary(data, np.concatenate([[0], ends])[np.cumsum([len(x) for x in often])])
+    raw = joins._binary(np.concatenate(rare).view(np.uint8), np.cumsum([8 * len(x) for x in rare]))
+    for at in (0, 1, 4):  # also slices
+        got, n = joins._codes(raw[at:], cells[at:])
+        assert n.tolist() == [len(x) + len(y) for x, y in zip(rare, often, strict=True)][at:]
+        assert got.tolist() == np.concatenate([z for p in list(zip(rare, often, strict=True))[at:] for z in p]).tolist()
