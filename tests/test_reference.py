@@ -642,3 +642,25 @@ def test_codes_survive_their_bytes():
         got, n = joins._codes(raw[at:], cells[at:])
         assert n.tolist() == [len(x) + len(y) for x, y in zip(rare, often, strict=True)][at:]
         assert got.tolist() == np.concatenate([z for p in list(zip(rare, often, strict=True))[at:] for z in p]).tolist()
+
+
+def test_bits_differ_at_no_more_places_than_sets():
+    rng = np.random.default_rng(2)
+    sets = [rng.choice(400, k, replace=False) for k in (1, 5, 60, 64, 65, 130, 300)]
+    data, ends = joins._parities(np.concatenate(sets).astype(np.int64), np.array([len(x) for x in sets]))
+    bits = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    for x, a in zip(sets, bits, strict=True):
+        for y, b in zip(sets, bits, strict=True):
+            k = min(len(a), len(b))
+            one, two = (np.bitwise_xor.reduce(z.reshape(-1, k), axis=0) for z in (a, b))
+            assert joins.ONES[one ^ two].sum() <= len(set(x) ^ set(y))
+
+
+def test_rows_that_share_one_rare_token_do_not_meet_to_be_compared(spark, monkeypatch):
+    base, asked = joins._compared, []
+    monkeypatch.setattr(joins, "_compared", lambda pairs, *a: asked.append(pairs.count()) or base(pairs, *a))
+    data = [(i, " ".join(["rare", *(f"w{i}x{j}" for j in range(200))])) for i in range(20)]
+    data += [(20, data[0][1] + " more")]
+    got = rows(joins.set_join(spark.createDataFrame(data, "_id long, v string"), None, "jac", 0.8, tokens.dlm(F.col("v"))))
+    assert got == [(0, 20, 201, 201, 202)]
+    assert asked == [1]
