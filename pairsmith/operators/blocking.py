@@ -41,11 +41,11 @@ def _nested(rules: list[Rule]) -> list[list[Rule]]:
     return [sorted(group, key=_jaccard) if len(group) > 1 else group for group in out.values()]
 
 
-def _parts(group: list[Rule], a: DataFrame, b: DataFrame | None, key: str) -> list[DataFrame]:
+def _parts(group: list[Rule], a: DataFrame, b: DataFrame | None, key: str, known: dict[Rule, DataFrame]) -> list[DataFrame]:
     """The pairs of each rule of a group, with their number of rules as rows of one table where one join finds them all."""
+    found = known[group[0]] if group[0] in known else join_rule(group[0], a, b, key)
     if len(group) == 1:
-        return [join_rule(group[0], a, b, key)]
-    found = join_rule(group[0], a, b, key)
+        return [found]
     holds = [F.col("overlap") >= joins.least_overlap(r.feature.sim, r.threshold, F.col("size_l"), F.col("size_r")) for r in group]
     return [found.withColumn("n", functools.reduce(Column.__add__, (h.cast("long") for h in holds)))]
 
@@ -56,10 +56,10 @@ def merge(parts: list[DataFrame]) -> DataFrame:
     return union.groupBy(*PAIR).agg(F.sum("n").alias("n_rules"))
 
 
-def block(rules: list[Rule], a: DataFrame, b: DataFrame | None = None, key: str = "_id", max_pairs: int | None = None, rank_attr: str | None = None) -> DataFrame:
+def block(rules: list[Rule], a: DataFrame, b: DataFrame | None = None, key: str = "_id", max_pairs: int | None = None, rank_attr: str | None = None, known: dict[Rule, DataFrame] | None = None) -> DataFrame:
     """Candidates (ltable_id, rtable_id, n_rules) that any rule finds; b None is a self join. With max_pairs the
-    best by K1 on rank_attr are kept (K6)."""
-    out = merge([part for group in _nested(simplify(rules)) for part in _parts(group, a, b, key)])
+    best by K1 on rank_attr are kept (K6). known: what join_rule gives for rules of which that is at hand."""
+    out = merge([part for group in _nested(simplify(rules)) for part in _parts(group, a, b, key, known or {})])
     if max_pairs is not None:
         rows = attach(out, a, b, [rank_attr], key)
         best = top_k(rows, max_pairs, f"ltable_{rank_attr}", f"rtable_{rank_attr}")

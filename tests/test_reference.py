@@ -664,3 +664,12 @@ def test_rows_that_share_one_rare_token_do_not_meet_to_be_compared(spark, monkey
     got = rows(joins.set_join(spark.createDataFrame(data, "_id long, v string"), None, "jac", 0.8, tokens.dlm(F.col("v"))))
     assert got == [(0, 20, 201, 201, 202)]
     assert asked == [1]
+
+
+def test_compare_takes_one_set_join(spark, monkeypatch):
+    base, asked = joins.set_join, []
+    monkeypatch.setattr(joins, "set_join", lambda *a, **k: asked.append(a[2:4]) or base(*a, **k))
+    df = spark.createDataFrame([(0, "a b c d e f g h i"), (1, "a b c d e f g h z"), (2, "a b c d e f g h i"), (3, " "), (4, " ")], "_id long, text string")
+    monkeypatch.setattr(catalog, "docs", lambda *a: df)
+    assert rows(catalog.a13_compare(spark, "")) == [("both", 3, 1), ("first", 1, 1)]
+    assert len(asked) == 1
