@@ -673,3 +673,10 @@ def test_compare_takes_one_set_join(spark, monkeypatch):
     monkeypatch.setattr(catalog, "docs", lambda *a: df)
     assert rows(catalog.a13_compare(spark, "")) == [("both", 3, 1), ("first", 1, 1)]
     assert len(asked) == 1
+
+
+def test_interchangeable_query_has_groups_of_several_brands(spark, monkeypatch):
+    brands = ["Brand#11", "Brand#21", "Brand#12", "Brand#11"]
+    part = spark.createDataFrame(list(enumerate(brands)), "p_partkey long, p_brand string")
+    monkeypatch.setattr(catalog, "read", lambda *a: part)
+    assert rows(catalog.j10_interchangeable(spark, "")) == [(0, 1), (0, 3), (1, 3)]
